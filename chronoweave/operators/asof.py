@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from chronoweave.functions.times import DAY_MICROS, midnight_micros, utc_day
 from chronoweave.sources.scratch import materialize
+from chronoweave.sources.shipping import ship_package
 
 OPEN_END = 2**62
 INTERVAL = ["lo", "hi", "valid_from", "system_from", "version_id"]
@@ -56,6 +57,7 @@ def asof_versions(events: DataFrame, versions: DataFrame, hot_rows: int = 250_00
     events and versions together is cut into ``slices`` time slices at the
     quantiles of its events.
     """
+    ship_package(events.sparkSession)
     asked = (
         events.where("observation_id is not null and relationship_id is not null and observed_at is not null")
         .select("observation_id", F.col("relationship_id").alias("entity"), F.unix_micros("observed_at").alias("at"))
