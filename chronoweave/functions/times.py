@@ -23,7 +23,8 @@ MONTHS = {
 
 def day_literal(value: str | dt.date, name: str = "date") -> Column:
     """A validated DATE literal from ``YYYY-MM-DD`` text or a ``date``."""
-    return F.lit(parse_day(value, name))
+    # Text and a cast, folded before planning: Python dates before year 1000 do not survive conversion.
+    return F.lit(parse_day(value, name).isoformat()).cast("date")
 
 
 def parse_day(value: str | dt.date, name: str = "date") -> dt.date:

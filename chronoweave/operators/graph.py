@@ -9,8 +9,6 @@ executor's work be read back.
 
 from __future__ import annotations
 
-import datetime as dt
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -18,7 +16,7 @@ from pyspark.sql import functions as F
 
 from chronoweave.errors import ValidationError
 from chronoweave.operators.temporal import Day, Spine, active
-from chronoweave.functions.times import day_literal, parse_day
+from chronoweave.functions.times import FAR_DAY, day_literal
 from chronoweave.sources.scratch import materialize
 from chronoweave.sources.shipping import ship_package
 
@@ -157,17 +155,17 @@ def first_connected(versions: DataFrame, a: str, b: str, start: Day | None = Non
     """
     check_depth(max_depth)
     spark = versions.sparkSession
-    low, high = parse_day(start or "0001-01-01", "start"), parse_day(end or "9999-12-31", "end")
+    low, high, never = day_literal(start or "0001-01-01", "start"), day_literal(end or FAR_DAY, "end"), day_literal(FAR_DAY)
     if a == b:
-        return spark.range(1).select(F.lit(low if start else None).cast("date").alias("first_connected"))
-    first_open = versions.where(F.col("valid_from").between(F.lit(low), F.lit(high))).agg(F.min("valid_from").alias("d"))
-    links = versions.where((F.col("subject_id") != F.col("object_id")) & (F.col("valid_from") <= F.lit(high)) & (F.col("valid_to").isNull() | (F.col("valid_to") >= F.lit(low)))).select(
+        return spark.range(1).select((low if start else F.lit(None).cast("date")).alias("first_connected"))
+    first_open = versions.where(F.col("valid_from").between(low, high)).agg(F.min("valid_from").alias("d"))
+    links = versions.where((F.col("subject_id") != F.col("object_id")) & (F.col("valid_from") <= high) & (F.col("valid_to").isNull() | (F.col("valid_to") >= low))).select(
         F.explode(F.array(F.struct(F.col("subject_id").alias("src"), F.col("object_id").alias("dst")), F.struct(F.col("object_id").alias("src"), F.col("subject_id").alias("dst")))).alias("e"),
-        F.greatest("valid_from", F.lit(low)).alias("since"),
-        F.coalesce("valid_to", F.lit(dt.date(9999, 12, 31))).alias("until"),
+        F.greatest("valid_from", low).alias("since"),
+        F.coalesce("valid_to", never).alias("until"),
     ).select("e.*", "since", "until")
     links = materialize(_undominated(links, ["src", "dst"]), "links")
-    frontier = spark.range(1).select(F.lit(a).alias("node"), F.lit(low).alias("since"), F.lit(dt.date(9999, 12, 31)).alias("until"))
+    frontier = spark.range(1).select(F.lit(a).alias("node"), low.alias("since"), never.alias("until"))
     arrivals: list[DataFrame] = []
     for level in range(1, max_depth + 1):
         f = frontier.alias("f")
@@ -182,7 +180,7 @@ def first_connected(versions: DataFrame, a: str, b: str, start: Day | None = Non
     for more in arrivals[1:]:
         reached = reached.unionByName(more)
     # first_open is one row.  A path open at ``low`` counts from the first date something opens.
-    dates = reached.crossJoin(F.broadcast(first_open)).select(F.greatest("since", "d").alias("at"), "until").where(F.col("at").isNotNull() & (F.col("at") <= F.col("until")) & (F.col("at") <= F.lit(high)))
+    dates = reached.crossJoin(F.broadcast(first_open)).select(F.greatest("since", "d").alias("at"), "until").where(F.col("at").isNotNull() & (F.col("at") <= F.col("until")) & (F.col("at") <= high))
     return dates.agg(F.min("at").alias("first_connected"))
 
 

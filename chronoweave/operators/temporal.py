@@ -161,16 +161,16 @@ class Spine:
         return spark.range(self.size).select(F.col("id").cast("int").alias("tick"), self.date(F.col("id")).alias("date"))
 
     def date(self, tick: Column) -> Column:
-        return F.date_add(F.lit(self.start), (tick * self.step).cast("int"))
+        return F.date_add(day_literal(self.start), (tick * self.step).cast("int"))
 
     def first(self) -> Column:
         """First tick that a version covers, from 0."""
-        return F.greatest(F.lit(0), F.ceil(F.datediff("valid_from", F.lit(self.start)) / self.step)).cast("int")
+        return F.greatest(F.lit(0), F.ceil(F.datediff("valid_from", day_literal(self.start)) / self.step)).cast("int")
 
     def last(self) -> Column:
         """Last tick that a version covers, below ``size``."""
         return F.least(
-            F.lit(self.size - 1), F.floor(F.datediff(F.coalesce("valid_to", F.lit(self.end)), F.lit(self.start)) / self.step)
+            F.lit(self.size - 1), F.floor(F.datediff(F.coalesce("valid_to", day_literal(self.end)), day_literal(self.start)) / self.step)
         ).cast("int")
 
     def cover(self, versions: DataFrame) -> DataFrame:
@@ -182,7 +182,7 @@ class Spine:
     def bounded(self, versions: DataFrame) -> DataFrame:
         """Versions that cover a tick at all, with the first and last one (t0, t1)."""
         return (
-            versions.where(overlaps(F.lit(self.start), F.lit(self.end)))
+            versions.where(overlaps(day_literal(self.start), day_literal(self.end)))
             .withColumns({"t0": self.first(), "t1": self.last()})
             .where("t0 <= t1")
         )

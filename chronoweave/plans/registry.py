@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronoweave.plans import problem_queries
+from chronoweave.plans import graph_queries, problem_queries
+
+
+def flagship(spark: SparkSession, folder: str) -> DataFrame:
+    return graph_queries.trade_match(spark, folder)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(problem_queries.QUERIES)
+    return {**graph_queries.QUERIES, **problem_queries.QUERIES}
 
 
 def oracles() -> dict[str, str]:
-    return dict(problem_queries.ORACLES)
+    return {**graph_queries.ORACLES, **problem_queries.ORACLES}

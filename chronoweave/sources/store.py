@@ -12,7 +12,7 @@ import json
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chronoweave.errors import SchemaVersionError, StorageError, ValidationError
@@ -126,8 +126,7 @@ class TemporalGraph:
 
     def dump(self, path: str) -> None:
         """Facts as JSON lines, sorted by start; NULLs are written."""
-        facts = self.versions.orderBy("valid_from", "version_id").select(*FACTS.names)
-        facts.write.mode("errorifexists").option("ignoreNullFields", "false").json(path)
+        dump_facts(self.versions, path)
 
     @classmethod
     def restore(cls, spark: SparkSession, dump_path: str, path: str) -> "TemporalGraph":
@@ -140,10 +139,12 @@ class TemporalGraph:
             raise StorageError(f"{path} already holds a graph")
         now = F.lit(dt.datetime.now(dt.timezone.utc))
         facts = spark.read.schema(FACTS).json(dump_path)
+        # Equal facts are told apart by their number among their equals.
+        facts = facts.withColumn("copy", F.row_number().over(Window.partitionBy(*FACTS.names).orderBy(F.lit(0))))
         # Loaded ids are negative, those of later events positive.
         number = lambda *c: -F.abs(F.shiftrightunsigned(F.xxhash64(*c), 1)) - 1
         loaded = facts.select(
-            number(*TRIPLE, "valid_from", "valid_to").alias("version_id"), number(*TRIPLE).alias("relationship_id"), *TRIPLE, "valid_from", "valid_to",
+            number(*FACTS.names, "copy").alias("version_id"), number(*TRIPLE).alias("relationship_id"), *TRIPLE, "valid_from", "valid_to",
             now.alias("system_from"), F.when(F.col("valid_to").isNotNull(), now).alias("system_to"),
             F.coalesce("valid_to", "valid_from").alias("last_confirmed"), "confidence",
         )
@@ -359,6 +360,12 @@ def track(versions: DataFrame, metric: str, target: str | tuple, start: temporal
     return metrics.GraphSignal(metrics.densify(found.withColumnRenamed(metric, "value"), spine, 0.0))
 
 
+def dump_facts(versions: DataFrame, path: str) -> None:
+    """Facts as JSON lines, sorted by start; NULLs are written."""
+    facts = versions.orderBy("valid_from", "version_id").select(*FACTS.names)
+    facts.write.mode("errorifexists").option("ignoreNullFields", "false").json(path)
+
+
 def _number(value: float | None) -> float | None:
     if value is None or value != value:
         return None
