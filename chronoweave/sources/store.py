@@ -43,8 +43,12 @@ class _Files:
         return self._fs.exists(self._path(f"{self.root}/{name}"))
 
     def read_text(self, name: str) -> str:
-        rows = self.spark.read.text(f"{self.root}/{name}", wholetext=True).collect()
-        return rows[0][0] if rows else ""
+        # Spark's readers skip names that start with an underscore.
+        stream = self._fs.open(self._path(f"{self.root}/{name}"))
+        try:
+            return self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
 
     def write_text(self, name: str, text: str) -> None:
         out = self._fs.create(self._path(f"{self.root}/{name}"), True)
