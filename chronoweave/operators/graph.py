@@ -1,14 +1,18 @@
 """Bounded traversal, centrality and connection over active edges.
 
 Edges carry a ``date`` key, so one job answers for all dates of a spine and
-all source entities at once; a date or entity asked for is a filter.  Depth is
-bounded, so traversal is a fixed number of joins; every level is written to the
-shared folder before it is used twice, which keeps plans flat and lets a lost
-executor's work be read back.
+all source entities at once; a date or entity asked for is a filter.  Two ways
+are built in and chosen by counted size: dates whose graph is within a bound are
+solved by array kernels, dates and blocks of sources side by side; larger ones
+by a fixed number of joins per depth, every level written to the shared folder
+before it is used twice, which keeps plans flat and lets a lost executor's work
+be read back.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -70,9 +74,21 @@ def bfs_distances(edges: DataFrame, sources: DataFrame, max_depth: int = 4) -> D
     return seen.where("dist > 0")
 
 
-def closeness(versions: DataFrame, dates: Dates, entities: list[str] | None = None, max_depth: int = 4) -> DataFrame:
-    """(date, entity, closeness): sum of 1/distance; entities without an edge on the date give no row."""
-    edges = undirected_edges(versions, dates)
+def closeness(versions: DataFrame, dates: Dates, entities: list[str] | None = None, max_depth: int = 4, local_edges: int = 200_000) -> DataFrame:
+    """(date, entity, closeness): sum of 1/distance; entities without an edge on the date give no row.
+
+    As with betweenness, dates with few edges go to an array kernel, others to joins.
+    """
+    check_depth(max_depth)
+    edges = materialize(undirected_edges(versions, dates), "edges")
+    small, large = _by_size(edges, local_edges)
+    scores = _blocks(small, lambda s, d, n, roots: closeness_kernel(s, d, n, max_depth, roots), entities)
+    if large is not None:
+        scores = scores.unionByName(_closeness_joins(large, entities, max_depth))
+    return scores.withColumnRenamed("score", "closeness")
+
+
+def _closeness_joins(edges: DataFrame, entities: list[str] | None, max_depth: int) -> DataFrame:
     sources = edges.select("date", F.col("src").alias("source")).distinct()
     if entities is not None:
         sources = sources.where(F.col("source").isin(entities))
@@ -81,30 +97,50 @@ def closeness(versions: DataFrame, dates: Dates, entities: list[str] | None = No
         .groupBy("date", "dist", F.col("source").alias("entity"))
         .agg(F.count(F.lit(1)).alias("n"))
         .groupBy("date", "entity")
-        .agg(F.sum(F.col("n") / F.col("dist")).alias("closeness"))
+        .agg(F.sum(F.col("n") / F.col("dist")).alias("score"))
     )
 
 
+def closeness_kernel(src: np.ndarray, dst: np.ndarray, n: int, max_depth: int, sources: np.ndarray, at_once: int = 64) -> np.ndarray:
+    total = np.zeros(n)
+    for first in range(0, len(sources), at_once):
+        roots = sources[first : first + at_once]
+        row = np.arange(len(roots))
+        seen = np.zeros((len(roots), n), dtype=bool)
+        seen[row, roots] = True
+        wave = seen.copy()
+        for level in range(1, max_depth + 1):
+            wave = (_spread(wave, src, dst, n) > 0) & ~seen
+            if not wave.any():
+                break
+            seen |= wave
+            total[roots] += wave.sum(1) / level
+    return total
+
+
 def path_steps(versions: DataFrame, dates: Dates) -> DataFrame:
-    """(date, src, dst, step, version): each active version in both directions with its place in scan order."""
-    forward = F.struct(
-        F.col("subject_id").alias("src"), F.col("object_id").alias("dst"),
-        F.struct(F.lit(0).alias("side"), F.col("predicate").alias("p"), F.lit("").alias("s"), F.col("valid_from").alias("f"), F.col("version_id").alias("v")).alias("step"),
-    )
-    backward = F.struct(
-        F.col("object_id").alias("src"), F.col("subject_id").alias("dst"),
-        F.struct(F.lit(1).alias("side"), F.col("predicate").alias("p"), F.col("subject_id").alias("s"), F.col("valid_from").alias("f"), F.col("version_id").alias("v")).alias("step"),
-    )
-    rows = dated(versions.where(F.col("subject_id") != F.col("object_id")), dates)
-    return rows.select("date", F.struct(*versions.columns).alias("version"), F.explode(F.array(forward, backward)).alias("e")).select("date", "version", "e.*")
+    """(date, src, dst, step): each active version in both directions with its place in scan order.
+
+    ``step`` ends with the version_id; the version's other columns are fetched
+    for the finished paths only.
+    """
+    step = lambda side, s: F.struct(F.lit(side).alias("side"), F.col("predicate").alias("p"), s.alias("s"), F.col("valid_from").alias("f"), F.col("version_id").alias("v")).alias("step")
+    forward = F.struct(F.col("subject_id").alias("src"), F.col("object_id").alias("dst"), step(0, F.lit("")))
+    backward = F.struct(F.col("object_id").alias("src"), F.col("subject_id").alias("dst"), step(1, F.col("subject_id")))
+    wanted = versions.where(F.col("subject_id") != F.col("object_id")).select("version_id", "subject_id", "predicate", "object_id", "valid_from", "valid_to")
+    rows = dated(wanted, dates).select("date", F.explode(F.array(forward, backward)).alias("e")).select("date", "e.*")
+    # Of parallel versions between two entities only the first in scan order can be on a path.
+    return rows.groupBy("date", "src", "dst").agg(F.min("step").alias("step"))
 
 
-def shortest_paths(versions: DataFrame, a: str, b: str, dates: Dates, max_depth: int = 4) -> DataFrame:
+def shortest_paths(versions: DataFrame, a: str, b: str, dates: Dates, max_depth: int = 4, local_edges: int = 200_000) -> DataFrame:
     """(date, hops, path): a shortest undirected path per date that has one within ``max_depth`` hops.
 
     Ties go to the path that breadth-first search in scan order meets first:
     every node keeps its least *rank*, the list of steps that led to it.  From
-    an entity to itself the path is empty, on every date.
+    an entity to itself the path is empty, on every date.  Dates with at most
+    ``local_edges`` edges are searched one per task, others level by level with
+    joins.
     """
     check_depth(max_depth)
     spark = versions.sparkSession
@@ -113,23 +149,75 @@ def shortest_paths(versions: DataFrame, a: str, b: str, dates: Dates, max_depth:
         kind = versions.select(F.struct(*versions.columns).alias("x")).schema["x"].dataType.simpleString()
         return all_dates.select("date", F.lit(0).alias("hops"), F.from_json(F.lit("[]"), f"array<{kind}>").alias("path"))
     steps = materialize(path_steps(versions, dates), "path-steps")
+    small, large = _by_size(steps, local_edges)
+    ranked = _paths_local(small, a, b, max_depth)
+    if large is not None:
+        ranked = ranked.unionByName(_paths_joins(large, a, b, max_depth))
+    version = F.struct(*versions.columns).alias("version")
+    return (
+        ranked.select("date", "hops", F.posexplode("ids").alias("hop", "version_id"))
+        .join(versions.select(F.col("version_id").alias("id"), version), F.col("id") == F.col("version_id"))
+        .groupBy("date", "hops")
+        .agg(F.array_sort(F.collect_list(F.struct("hop", "version"))).alias("p"))
+        .select("date", "hops", F.col("p.version").alias("path"))
+    )
+
+
+def _paths_joins(steps: DataFrame, a: str, b: str, max_depth: int) -> DataFrame:
+    """(date, hops, ids) by a join per level; every node keeps its least rank."""
     seen: DataFrame | None = None
     for level in range(1, max_depth + 1):
+        # The last level is only asked for the target.
+        usable = steps.where(F.col("dst") == b) if level == max_depth else steps.where(F.col("dst") != a)
         if seen is None:
-            found = steps.where(F.col("src") == a).select("date", F.col("dst").alias("node"), F.array("step").alias("rank"), F.array("version").alias("path"))
+            found = usable.where(F.col("src") == a).select("date", F.col("dst").alias("node"), F.array("step").alias("rank"))
         else:
             # Dates whose target is reached are done; their frontier is not expanded any more.
             done = seen.where(F.col("node") == b).select("date")
             frontier = seen.where(F.col("hops") == level - 1).join(done, "date", "left_anti")
-            found = frontier.join(steps, (frontier["date"] == steps["date"]) & (frontier["node"] == steps["src"])).select(
-                frontier["date"], F.col("dst").alias("node"),
-                F.concat("rank", F.array("step")).alias("rank"), F.concat("path", F.array("version")).alias("path"),
-            ).where(F.col("node") != a)
-        new = found.groupBy("date", "node").agg(F.min(F.struct("rank", "path")).alias("m")).select("date", "node", F.lit(level).alias("hops"), "m.rank", "m.path")
+            found = frontier.join(usable, (frontier["date"] == usable["date"]) & (frontier["node"] == usable["src"])).select(
+                frontier["date"], F.col("dst").alias("node"), F.concat("rank", F.array("step")).alias("rank")
+            )
+        new = found.groupBy("date", "node").agg(F.min("rank").alias("rank")).select("date", "node", F.lit(level).alias("hops"), "rank")
         if seen is not None:
             new = seen.unionByName(new.join(seen.select("date", "node"), ["date", "node"], "left_anti"))
         seen = materialize(new, "path")
-    return seen.where(F.col("node") == b).select("date", "hops", "path")
+    return seen.where(F.col("node") == b).select("date", "hops", F.col("rank.v").alias("ids"))
+
+
+def _paths_local(steps: DataFrame, a: str, b: str, max_depth: int) -> DataFrame:
+    """(date, hops, ids) of dates whose steps ``_by_size`` has bounded, one date per task."""
+    ship_package(steps.sparkSession)
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(["src", "side", "p", "s", "f", "v"], kind="stable")
+        src, dst, ids = part["src"].to_numpy(), part["dst"].to_numpy(), part["v"].to_numpy()
+        begin = dict(zip(src[::-1].tolist(), range(len(src) - 1, -1, -1)))
+        came: dict[str, tuple[str, int] | None] = {a: None}
+        wave = [a]
+        for _ in range(max_depth):
+            following = []
+            for node in wave:
+                k = begin.get(node, len(src))
+                while k < len(src) and src[k] == node:
+                    if dst[k] not in came:
+                        came[dst[k]] = (node, int(ids[k]))
+                        following.append(dst[k])
+                    k += 1
+            wave = following
+            if b in came or not wave:
+                break
+        if b not in came:
+            return pd.DataFrame({"date": part["date"].iloc[:0], "hops": pd.Series(dtype="int32"), "ids": pd.Series(dtype=object)})
+        path: list[int] = []
+        node = b
+        while came[node] is not None:
+            node, step = came[node]
+            path.append(step)
+        return pd.DataFrame({"date": [part["date"].iloc[0]], "hops": [len(path)], "ids": [path[::-1]]})
+
+    flat = steps.select("date", "src", "dst", "step.side", "step.p", "step.s", F.unix_date("step.f").alias("f"), "step.v")
+    return flat.groupBy("date").applyInPandas(run, "date date, hops int, ids array<bigint>")
 
 
 def path_history(versions: DataFrame, a: str, b: str, spine: Spine, max_depth: int = 4) -> DataFrame:
@@ -205,12 +293,35 @@ def betweenness(versions: DataFrame, dates: Dates, max_depth: int = 4, local_edg
     # Self-loops make an entity active though they are no edge.
     nodes = dated(versions, dates).select("date", F.explode(F.array("subject_id", "object_id")).alias("entity")).distinct()
     small, large = _by_size(edges, local_edges)
-    scores = _local(small, lambda s, d, n: betweenness_kernel(s, d, n, max_depth))
+    scores = _blocks(small, lambda s, d, n, roots: betweenness_kernel(s, d, n, max_depth, roots))
     if large is not None:
         scores = scores.unionByName(_betweenness_joins(large, max_depth))
     return nodes.join(scores, ["date", "entity"], "left").select("date", "entity", F.coalesce("score", F.lit(0.0)).alias("betweenness"))
 
 
+def _blocks(edges: DataFrame, kernel, entities: list[str] | None = None, blocks: int = 16) -> DataFrame:
+    """Run a kernel (src, dst, node count, sources) -> scores with the sources of a date dealt to ``blocks`` tasks.
+
+    Each task has that date's edges, which ``_by_size`` has bounded.  Scores of
+    one entity from several blocks are added up.
+    """
+    ship_package(edges.sparkSession)
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for date, block, src, dst in zip(part["date"], part["block"], part["src"], part["dst"]):
+                names, codes = np.unique(np.concatenate([src, dst]).astype(str), return_inverse=True)
+                roots = np.arange(len(names)) if entities is None else np.flatnonzero(np.isin(names, entities))
+                score = kernel(codes[: len(src)], codes[len(src) :], len(names), roots[block::blocks])
+                kept = np.flatnonzero(score)
+                if len(kept):
+                    yield pd.DataFrame({"date": [date] * len(kept), "entity": names[kept], "score": score[kept]})
+
+    packed = edges.groupBy("date").agg(F.collect_list(F.struct("src", "dst")).alias("e")).select("date", "e.src", "e.dst")
+    dealt = packed.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).repartition("date", "block")
+    return dealt.mapInPandas(run, "date date, entity string, score double").groupBy("date", "entity").agg(F.sum("score").alias("score"))
+
+
 def _by_size(edges: DataFrame, limit: int) -> tuple[DataFrame, DataFrame | None]:
     """Edges of dates within ``limit`` and of dates beyond it (None if there are none)."""
     sizes = materialize(edges.groupBy("date").agg(F.count(F.lit(1)).alias("n")), "edge-counts")
@@ -232,13 +343,13 @@ def _local(edges: DataFrame, kernel) -> DataFrame:
     return edges.groupBy("date").applyInPandas(run, "date date, entity string, score double")
 
 
-def betweenness_kernel(src: np.ndarray, dst: np.ndarray, n: int, max_depth: int, block: int = 64) -> np.ndarray:
-    """Brandes from a block of sources at a time, with sparse frontier steps on arrays."""
+def betweenness_kernel(src: np.ndarray, dst: np.ndarray, n: int, max_depth: int, sources: np.ndarray, at_once: int = 64) -> np.ndarray:
+    """Brandes from some sources, ``at_once`` at a time, with frontier steps on arrays."""
     order = np.argsort(src, kind="stable")
     s, d = src[order], dst[order]
     total = np.zeros(n)
-    for first in range(0, n, block):
-        roots = np.arange(first, min(first + block, n))
+    for first in range(0, len(sources), at_once):
+        roots = sources[first : first + at_once]
         k = len(roots)
         sigma = np.zeros((k, n))
         dist = np.full((k, n), -1, dtype=np.int16)

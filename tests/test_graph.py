@@ -67,6 +67,16 @@ def test_pagerank(versions, local):
     assert got == pytest.approx({f"n{k:02d}": x for k, x in rank.items()})
 
 
+@pytest.mark.parametrize("seed", [7, 8])
+def test_both_ways_agree(versions, seed):
+    pairs, v = random_graph(versions, seed, 14, 0.12)
+    for depth in (2, 4):
+        near, far = (sorted((r["entity"], round(r["closeness"], 9)) for r in graph.closeness(v, "2026-01-01", None, depth, n).collect()) for n in (200_000, 0))
+        assert near == far and near
+    one, other = ([[x["version_id"] for x in r["path"]] for r in graph.shortest_paths(v, "n01", "n09", "2026-01-01", 6, n).collect()] for n in (200_000, 0))
+    assert one == other
+
+
 def test_star_and_path(versions):
     star = versions(*((f"leaf{k}", "L", "hub", "2026-01-01", None, None) for k in range(4)))
     close = {r["entity"]: r["closeness"] for r in graph.closeness(star, "2026-01-01").collect()}
@@ -85,8 +95,9 @@ def chain(versions):
     )
 
 
-def test_paths(chain):
-    ids = lambda a, b, d, depth=4: [[v["version_id"] for v in r["path"]] for r in graph.shortest_paths(chain, a, b, d, depth).collect()]
+@pytest.mark.parametrize("local", [200_000, 0])
+def test_paths(chain, local):
+    ids = lambda a, b, d, depth=4: [[v["version_id"] for v in r["path"]] for r in graph.shortest_paths(chain, a, b, d, depth, local).collect()]
     assert ids("A", "D", "2026-01-04") == []
     assert ids("A", "D", "2026-01-05") == [[1, 2, 3]]
     assert ids("A", "D", "2026-01-05", 2) == []
