@@ -21,6 +21,7 @@ import re
 import unicodedata
 import zlib
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -41,10 +42,12 @@ DOUBLED = re.compile(r"(.)\1+")
 INSULT, SEXUAL, HOSTILE, PERSON, DISGUISED, CAPITAL, SINGLE = (1 << k for k in range(32, 39))
 HASH = (1 << 32) - 1
 WINDOW = 8
+PURE = 3.0
 FEATURES = (
     "cue_window", "cue_second", "cue_best", "cue_total", "cue_count", "cue_negative",
     "insults", "sexual", "hostile", "seed_window", "person_distance", "disguised_seeds",
     "capitals", "exclamations", "disguise_rate", "seed_run", "log_words",
+    "pure_window", "pure_count", "purest", "lowered_beside", "seed_beside",
 )
 
 
@@ -111,16 +114,34 @@ _FRAGMENT_BITMAP = np.zeros(1 << 20, dtype=bool)
 _FRAGMENT_BITMAP[_FRAGMENT_KEYS & ((1 << 20) - 1)] = True
 
 
+#: The words of an identifier like tellThatBoss; short parts are rather a disguise, as in mOrOn.
+CAMEL = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[^A-Za-z]+")
+
+
 class Words(dict):
-    """Word to number: 32 bits of hash and, above, the flags; remembers what it has seen."""
+    """Word to its numbers: 32 bits of hash and, above, the flags; remembers what it has seen.
+
+    An identifier in camel case has one number per part, anything else one.
+    """
 
     LIMIT = 1_000_000
 
-    def __missing__(self, word: str) -> int:
-        code = self.encode(word)
+    def __init__(self) -> None:
+        super().__init__()
+        self.letters: dict[int, str] = {}
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        parts = [word]
+        if len(word) > 5 and word.isascii() and not (word.islower() or word.isupper() or word[1:].islower()):
+            split = CAMEL.findall(word)
+            if len(word) >= 3 * len(split):
+                parts = split
+        codes = tuple(self.encode(p) for p in parts)
+        if len(word) == 1:
+            self.letters[codes[0]] = word
         if len(self) < self.LIMIT:
-            self[word] = code
-        return code
+            self[word] = codes
+        return codes
 
     @staticmethod
     def encode(word: str) -> int:
@@ -148,9 +169,8 @@ def encode_texts(texts: Iterable[str | None], words: Words) -> tuple[np.ndarray,
         text = text or ""
         if not text.isascii():
             text = text.translate(INVISIBLE)
-        found = WORD.findall(text)
-        codes = np.fromiter(map(words.__getitem__, found), dtype=np.int64, count=len(found))
-        codes = _join_spelled(codes, found, words)
+        codes = np.fromiter(chain.from_iterable(map(words.__getitem__, WORD.findall(text))), dtype=np.int64)
+        codes = _join_spelled(codes, words)
         parts.append(codes)
         total += len(codes)
         offsets.append(total)
@@ -159,7 +179,7 @@ def encode_texts(texts: Iterable[str | None], words: Words) -> tuple[np.ndarray,
     return flat, np.asarray(offsets, dtype=np.int64), np.asarray(marks, dtype=np.float64)
 
 
-def _join_spelled(codes: np.ndarray, found: list[str], words: Words) -> np.ndarray:
+def _join_spelled(codes: np.ndarray, words: Words) -> np.ndarray:
     """Put words together again that were spelled out (a b c) or cut in two (ab-c)."""
     if len(codes) < 2:
         return codes
@@ -168,16 +188,16 @@ def _join_spelled(codes: np.ndarray, found: list[str], words: Words) -> np.ndarr
         edge = np.flatnonzero(np.diff(np.r_[0, single.astype(np.int8), 0]))
         for a, b in zip(edge[::2], edge[1::2]):
             if b - a > 3:
+                letters = [words.letters.get(c, "") for c in codes[a:b].tolist()]
                 # The run may hold further one-letter words at its borders.
                 for i, j in ((a, b), (a + 1, b), (a, b - 1)):
-                    form = normal("".join(found[i:j]))[0]
+                    form = normal("".join(letters[i - a : j - a]) or "#")[0]
                     if SEEDS.get(form, 0) & SEED_BITS:
                         codes[i] = _hash(form) | SEEDS[form] | DISGUISED
                         codes[i + 1 : j] = 0
                         break
                 else:
-                    form = normal("".join(found[a:b]))[0]
-                    codes[a] = _hash(form) | DISGUISED
+                    codes[a] = _hash(normal("".join(letters) or "#")[0]) | DISGUISED
                     codes[a + 1 : b] = 0
         codes = codes[codes != 0]
         if len(codes) < 2:
@@ -330,13 +350,23 @@ def dense(codes: np.ndarray, offsets: np.ndarray, marks: np.ndarray, cues: Cues)
         run[1:] = np.where(seed[1:] & seed[:-1] & (owner[1:] == owner[:-1]), run[:-1] + 1, run[1:])
     out[:, 15] = most(run)
     out[:, 16] = np.log1p(size)
+    # Cues that hardly occur in unmarked documents, and what stands beside the best of them.
+    sharp = sum((w > PURE).astype(np.float64) for w in weights)
+    pure = windowed(sharp)
+    out[:, 17] = most(pure)
+    out[:, 18] = total((sharp > 0).astype(np.float64))
+    out[:, 19] = most(np.maximum.reduce(weights[1:]))
+    low, seeded = windowed(-lowered), windowed(seed.astype(np.float64))
+    at_best = (win >= best[owner] - 1e-9) & (win > 0)
+    out[:, 20] = most(np.where(at_best, low, 0.0))
+    out[:, 21] = most(np.where(at_best, seeded, 0.0))
     return out
 
 
 class Trees:
     """Gradient-boosted symmetric trees for a logistic loss."""
 
-    def __init__(self, rounds: int = 80, depth: int = 4, rate: float = 0.12, bins: int = 32, shrink: float = 4.0):
+    def __init__(self, rounds: int = 120, depth: int = 4, rate: float = 0.1, bins: int = 32, shrink: float = 4.0):
         self.rounds, self.depth, self.rate, self.bins, self.shrink = rounds, depth, rate, bins, shrink
         self.base = 0.0
         self.splits: list[list[tuple[int, float]]] = []
@@ -558,11 +588,11 @@ def score_documents(documents: DataFrame, model: bytes) -> DataFrame:
     return documents.select("doc_id", "source", "text").mapInArrow(run, "doc_id bigint, source string, score double")
 
 
-def abusive(scored: DataFrame, threshold: float = 0.6) -> DataFrame:
+def abusive(scored: DataFrame, threshold: float = 0.7) -> DataFrame:
     return scored.where(F.col("score") >= threshold).select("doc_id").distinct()
 
 
-def source_rates(scored: DataFrame, threshold: float = 0.6) -> DataFrame:
+def source_rates(scored: DataFrame, threshold: float = 0.7) -> DataFrame:
     """Per source: documents, abusive documents, their rate and the mean score."""
     flag = (F.col("score") >= threshold).cast("int")
     return scored.groupBy("source").agg(
