@@ -246,7 +246,9 @@ def first_connected(versions: DataFrame, a: str, b: str, start: Day | None = Non
     low, high, never = day_literal(start or "0001-01-01", "start"), day_literal(end or FAR_DAY, "end"), day_literal(FAR_DAY)
     if a == b:
         return spark.range(1).select((low if start else F.lit(None).cast("date")).alias("first_connected"))
-    first_open = versions.where(F.col("valid_from").between(low, high)).agg(F.min("valid_from").alias("d"))
+    opens = versions.where(F.col("valid_from").between(low, high)).agg(F.min("valid_from").cast("string")).first()[0]
+    if opens is None:
+        return spark.range(1).select(F.lit(None).cast("date").alias("first_connected"))
     links = versions.where((F.col("subject_id") != F.col("object_id")) & (F.col("valid_from") <= high) & (F.col("valid_to").isNull() | (F.col("valid_to") >= low))).select(
         F.explode(F.array(F.struct(F.col("subject_id").alias("src"), F.col("object_id").alias("dst")), F.struct(F.col("object_id").alias("src"), F.col("subject_id").alias("dst")))).alias("e"),
         F.greatest("valid_from", low).alias("since"),
@@ -267,8 +269,8 @@ def first_connected(versions: DataFrame, a: str, b: str, start: Day | None = Non
     reached = arrivals[0]
     for more in arrivals[1:]:
         reached = reached.unionByName(more)
-    # first_open is one row.  A path open at ``low`` counts from the first date something opens.
-    dates = reached.crossJoin(F.broadcast(first_open)).select(F.greatest("since", "d").alias("at"), "until").where(F.col("at").isNotNull() & (F.col("at") <= F.col("until")) & (F.col("at") <= high))
+    # A path that is there at ``low`` counts from the first date something opens.
+    dates = reached.select(F.greatest("since", day_literal(opens)).alias("at"), "until").where((F.col("at") <= F.col("until")) & (F.col("at") <= high))
     return dates.agg(F.min("at").alias("first_connected"))
 
 

@@ -65,11 +65,10 @@ def salted_counts(rows: DataFrame, heavy: DataFrame, salts: int = 32) -> DataFra
 
 def frequent_keys(versions: DataFrame, share: float = 0.01, salt_share: float = 0.001, salts: int = 32) -> DataFrame:
     """(field_name, entity_id, versions): keys held by at least ``share`` of all distinct versions."""
+    total = versions.select("version_id").where("version_id is not null").distinct().count()
     rows = endpoint_rows(versions)
     counts = salted_counts(rows, heavy_keys(rows, salt_share), salts)
-    total = versions.select("version_id").where("version_id is not null").distinct().agg(F.count(F.lit(1)).alias("total"))
-    # total is one row: the only thing that is joined without a key.
-    return counts.join(F.broadcast(total), F.col("versions") >= F.col("total") * F.lit(share)).select(*KEY, "versions")
+    return counts.where(F.col("versions") >= F.lit(total) * F.lit(share)).select(*KEY, "versions")
 
 
 def days_covered(versions: DataFrame) -> DataFrame:

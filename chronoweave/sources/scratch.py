@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from chronoweave.errors import StorageError
 
 _LOCAL: dict[str, str] = {}
+_KNOWN: set[str] = set()
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -33,7 +34,13 @@ def shared_root(spark: SparkSession) -> str:
             atexit.register(shutil.rmtree, folder, ignore_errors=True)
             _LOCAL[app] = f"file://{folder}"
         base = _LOCAL[app]
-    return f"{base.rstrip('/')}/chronoweave-{app}"
+    root = f"{base.rstrip('/')}/chronoweave-{app}"
+    if app not in _KNOWN:
+        _KNOWN.add(app)
+        # Gone with the application; until then lost executors can read everything back.
+        path = context._jvm.org.apache.hadoop.fs.Path(root)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return root
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
