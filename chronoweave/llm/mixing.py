@@ -89,14 +89,9 @@ def shares(mixture: DataFrame, plan: DataFrame) -> DataFrame:
     reached = mixture.groupBy("source").agg(
         F.count(F.lit(1)).alias("documents"), F.sum(F.col("tokens") * F.col("uses")).alias("tokens_used"), F.max("uses").alias("most_uses")
     )
-    total = reached.agg(F.sum("tokens_used").alias("total"))
-    # total is one row.
-    return (
-        plan.join(reached, "source", "left")
-        .crossJoin(F.broadcast(total))
-        .select(
-            "source", "target_share", "max_repeats", "available", "budget", "epochs",
-            *(F.coalesce(c, F.lit(0)).alias(c) for c in ("documents", "tokens_used", "most_uses")),
-            F.coalesce(F.try_divide("tokens_used", "total"), F.lit(0.0)).alias("actual_share"),
-        )
+    total = mixture.agg(F.sum(F.col("tokens") * F.col("uses"))).first()[0] or 0
+    return plan.join(reached, "source", "left").select(
+        "source", "target_share", "max_repeats", "available", "budget", "epochs",
+        *(F.coalesce(c, F.lit(0)).alias(c) for c in ("documents", "tokens_used", "most_uses")),
+        F.coalesce(F.try_divide(F.col("tokens_used"), F.lit(total)), F.lit(0.0)).alias("actual_share"),
     )

@@ -124,7 +124,9 @@ def pack(documents: DataFrame, sizes: DataFrame, tokenizer: str = TOKENIZER, win
     NULL container.  Repeated rows are packed as often as they come.  Container
     ids are unique within a pack.
     """
-    packs = [(r["pack_name"], int(r["capacity_tokens"])) for r in sizes.where("pack_name is not null and capacity_tokens > 0").orderBy("pack_name").limit(1_000).collect()]
+    packs = [(r["pack_name"], int(r["capacity_tokens"])) for r in sizes.where("pack_name is not null and capacity_tokens > 0").select("pack_name", "capacity_tokens").distinct().take(1_001)]
+    if len(packs) > 1_000:
+        raise ValueError("more than 1,000 capacities; pack them in several calls")
     measured = materialize(measure(documents, tokenizer).select("doc_id", "tokens", "x", "y", "z"), "pack-sizes")
     total = measured.agg(F.sum("tokens")).first()[0] or 0
     ranges = max(1, -(-total // task_tokens))
