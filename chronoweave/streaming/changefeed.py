@@ -38,20 +38,16 @@ def change_log(feed: DataFrame) -> DataFrame:
     """State per change id: earliest ingestion and payload.  ``feed`` may be a stream or a table.
 
     Changes that neither set nor remove (polarity other than 1 or -1), and
-    rows without change id or key, are dropped.
+    rows without change id or key, are dropped.  Copies of a change agree in
+    key and polarity, so these are part of the state's key and its value is two
+    numbers, which the hash aggregation updates in place.
     """
     return (
         feed.where("polarity in (1, -1) and assertion_id is not null and relationship_id is not null")
-        .groupBy("assertion_id")
-        .agg(
-            F.min(F.struct("ingested_at", "relationship_id", "polarity")).alias("first"),
-            F.max("ingested_at").alias("seen_last"),
-        )
-        .select(
-            "assertion_id", "first.relationship_id", "first.polarity", F.col("first.ingested_at").alias("ingestion"),
-            (~F.col("seen_last").eqNullSafe(F.col("first.ingested_at"))).alias("moved"),
-        )
-    )
+        .groupBy("assertion_id", "relationship_id", "polarity")
+        .agg(F.min("ingested_at").alias("ingestion"), F.max("ingested_at").alias("seen_last"))
+        .select("assertion_id", "relationship_id", "polarity", "ingestion", (~F.col("seen_last").eqNullSafe(F.col("ingestion"))).alias("moved"))
+    )
 
 
 def current_rows(changes: DataFrame) -> DataFrame:
@@ -65,16 +61,23 @@ def current_rows(changes: DataFrame) -> DataFrame:
     )
 
 
+STATE_SETTINGS = {
+    "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
+    "spark.sql.streaming.stateStore.rocksdb.compression": "zstd",
+}
+
+
 @contextmanager
 def _state_settings(spark: SparkSession):
-    """RocksDB state, so that state is not held on the heap; the session's own setting comes back after."""
-    name = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, ROCKSDB)
+    """RocksDB state, so that state is not held on the heap; the session's own settings come back after."""
+    before = {name: spark.conf.get(name, None) for name in STATE_SETTINGS}
+    for name, value in STATE_SETTINGS.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.set(name, before) if before else spark.conf.unset(name)
+        for name, value in before.items():
+            spark.conf.set(name, value) if value else spark.conf.unset(name)
 
 
 def _upserts(stream: DataFrame, root: str, name: str) -> str:
