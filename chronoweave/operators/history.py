@@ -4,8 +4,8 @@ What a (subject, predicate) held is stored as a full *checkpoint* on every
 ``every``-th counted day and as *patches* - one per object that came, went or
 changed its attribute - on the days between.  Validity rows are rebuilt by
 folding the patches of a segment forward from its checkpoint and joining the
-segments where an object is carried over.  Segments fold independently, so a
-long history is spread over many tasks.
+segments where an object is carried over.  An item has at most one row per
+counted day, so no task gets more of a hot one than the calendar has days.
 """
 
 from __future__ import annotations
@@ -105,7 +105,8 @@ def reconstruct(store: DeltaStore) -> DataFrame:
     log = store.checkpoints.withColumn("op", F.lit("full")).unionByName(store.patches)
     fold = Window.partitionBy(*ITEM, "segment").orderBy("ordinal")
     pieces = (
-        log.where("op != 'set'")
+        # One shuffle serves the fold, the joining of segments and the final grouping.
+        log.where("op != 'set'").repartition(*ITEM)
         .withColumn("dropped_after", F.lead(F.when(F.col("op") == "drop", F.col("day"))).over(fold))
         .where("op != 'drop'")
     )
