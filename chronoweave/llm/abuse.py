@@ -589,7 +589,8 @@ def score_documents(documents: DataFrame, model: bytes) -> DataFrame:
 
 
 def abusive(scored: DataFrame, threshold: float = 0.7) -> DataFrame:
-    return scored.where(F.col("score") >= threshold).select("doc_id").distinct()
+    """(doc_id) of the documents that score ``threshold`` or more, each once; a NULL id names none."""
+    return scored.where((F.col("score") >= threshold) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
 
 
 def source_rates(scored: DataFrame, threshold: float = 0.7) -> DataFrame:

@@ -69,7 +69,8 @@ def mix(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER, se
     and once more if the fractional selection takes it; never more than
     max_repeats times.  Selection goes by key until the budget is met; the
     document at the border is taken if that brings the sum nearer to it.
-    Documents without tokens or of sources without target are not used.
+    Documents without tokens or of sources without target are not used; rows
+    with a NULL doc_id are documents like others, with the same draw.
     """
     measured = materialize(sampling_keys(measure(documents, tokenizer).select("doc_id", "source", "tokens", "quality").where("tokens > 0"), seed), "mix-sizes")
     per_bucket = measured.groupBy("source", "bucket").agg(F.sum("tokens").alias("tokens"))
@@ -77,7 +78,7 @@ def mix(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER, se
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_bucket.select("source", "bucket", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("offset"))
     bounded = plan.select("source", "epochs", "remainder", "max_repeats").join(offsets, "source")
-    inside = Window.partitionBy("source", "bucket").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "tokens").rowsBetween(Window.unboundedPreceding, -1)
     placed = measured.join(bounded, ["source", "bucket"]).withColumn("upto", F.col("offset") + F.coalesce(F.sum("tokens").over(inside), F.lit(0)))
     extra = ((F.col("upto") + F.col("tokens") / 2) <= F.col("remainder")) & (F.col("epochs") < F.col("max_repeats"))
     mixture = placed.select("doc_id", "source", "tokens", (F.col("epochs") + extra.cast("bigint")).alias("uses")).where("uses > 0")

@@ -89,7 +89,7 @@ def fill(items: Iterable[tuple[int, int]], capacity: int, window_tokens: int) ->
 
     def place() -> Iterator[tuple[int, int, int, int, int]]:
         nonlocal made, open_spaces
-        for tokens, doc, piece, first in sorted(window, key=lambda w: (-w[0], w[1], w[2])):
+        for tokens, doc, piece, first in sorted(window, key=lambda w: (-w[0], w[1] is None, w[1] or 0, w[2])):
             at = bisect_left(open_spaces, (tokens, -1))
             if at < len(open_spaces):
                 space, container = open_spaces.pop(at)
@@ -121,8 +121,8 @@ def pack(documents: DataFrame, sizes: DataFrame, tokenizer: str = TOKENIZER, win
     ``sizes``: pack_name, capacity_tokens - a handful of rows, of which those
     without name or with no positive capacity are ignored.  Documents without
     tokens (NULL or empty text) occupy nothing: one row each and pack with a
-    NULL container.  Repeated rows are packed as often as they come.  Container
-    ids are unique within a pack.
+    NULL container.  Repeated rows are packed as often as they come, rows with a
+    NULL doc_id too.  Container ids are unique within a pack.
     """
     packs = [(r["pack_name"], int(r["capacity_tokens"])) for r in sizes.where("pack_name is not null and capacity_tokens > 0").select("pack_name", "capacity_tokens").distinct().take(1_001)]
     if len(packs) > 1_000:
@@ -138,14 +138,9 @@ def pack(documents: DataFrame, sizes: DataFrame, tokenizer: str = TOKENIZER, win
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        docs: list[np.ndarray] = []
-        sizes_: list[np.ndarray] = []
-        for b in batches:
-            docs.append(b.column("doc_id").to_numpy(zero_copy_only=False))
-            sizes_.append(b.column("tokens").to_numpy(zero_copy_only=False))
-        if not docs:
+        items = [pair for b in batches for pair in zip(b.column("doc_id").to_pylist(), b.column("tokens").to_pylist())]
+        if not items:
             return
-        items = list(zip(np.concatenate(docs).tolist(), np.concatenate(sizes_).tolist()))
         high = TaskContext.get().partitionId() << 40
         for name, capacity in packs:
             rows: list[tuple] = [(None, d, 0, 0, 0) for d, t in items if not t]

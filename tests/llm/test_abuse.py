@@ -108,14 +108,14 @@ def test_held_out_accuracy_on_review_marks(spark):
 
 def test_operator(spark):
     texts, y = planted(300, 4)
-    documents = spark.createDataFrame([(k, t, "a" if k % 2 else None, "x") for k, t in enumerate(texts)] + [(900, None, "a", "x"), (901, "", "b", "x")], "doc_id bigint, text string, source string, score string")
+    documents = spark.createDataFrame([(k, t, "a" if k % 2 else None, "x") for k, t in enumerate(texts)] + [(900, None, "a", "x"), (901, "", "b", "x"), (None, "you are a pathetic moron", "c", "x")], "doc_id bigint, text string, source string, score string")
     labels = spark.createDataFrame([(k, int(v), "r") for k, v in enumerate(y)] + [(0, None, "r"), (None, 1, "r"), (5000, 1, "r"), (1, 0, "r"), (1, 1, "s")], "doc_id bigint, abusive int, reviewer string")
     assert abuse.labelled(documents, labels, 100).count() <= 100
     scored = abuse.score_documents(documents, abuse.fit(documents, labels)).cache()
-    assert scored.count() == 302 and scored.where("score is null or score < 0 or score > 1").count() == 0
+    assert scored.count() == 303 and scored.where("score is null or score < 0 or score > 1").count() == 0
     found = {r.doc_id for r in abuse.abusive(scored).collect()}
     assert not found & {900, 901} and len(found & set(np.flatnonzero(y).tolist())) > 0.7 * y.sum()
     rates = {r.source: r for r in abuse.source_rates(scored).collect()}
-    assert rates["b"].rate == 0 and sum(r.documents for r in rates.values()) == 302 and sum(r.abusive for r in rates.values()) == len(found)
+    assert rates["b"].rate == 0 and sum(r.documents for r in rates.values()) == 303 and sum(r.abusive for r in rates.values()) == len(found) + rates["c"].abusive
     empty = abuse.score_documents(documents.limit(0), abuse.fit(documents.limit(0), labels.limit(0)))
     assert empty.count() == 0

@@ -66,6 +66,12 @@ def test_keys_are_exponential_by_weight(spark):
     assert math.isclose(sum(means.values()), 5, rel_tol=0.03)
 
 
+def test_null_ids_are_documents(spark):
+    rows = [(None, "a few words", "big", "", "", ""), (None, "some more words than that", "big", "", "", ""), (1, "word", "big", "", "", "")]
+    mixture, plan = mixing.mix(spark.createDataFrame(rows, D), spark.createDataFrame([("big", 1.0, 1, "")], T))
+    assert mixture.count() == 3 and mixing.shares(mixture, plan).first().tokens_used == plan.first().available
+
+
 def test_same_draw_again_another_with_another_seed(spark):
     frame, targets = spark.createDataFrame(documents(), D), spark.createDataFrame([("big", 1.0, 1, "")], T)
     draw = lambda seed: {r.doc_id for r in mixing.mix(frame, targets, seed=seed, total_tokens=1_500)[0].collect()}

@@ -53,7 +53,7 @@ def documents():
     words = [f"w{k}" for k in range(50)]
     r = random.Random(2)
     rows = [(d, " ".join(r.choices(words, k=r.randint(1, 400))), "s", "x", 1, None) for d in range(60)]
-    return rows + [(100, None, "s", "x", 1, None), (101, "", None, "x", 1, None), (102, "long " * 30_000, "s", "x", 1, None), rows[0], (103, "ünïcödé ​ 😀", "s", "x", 1, None)]
+    return rows + [(None, "no id " * 9, "s", "x", 1, None), (None, "no id either " * 5, "s", "x", 1, None), (100, None, "s", "x", 1, None), (101, "", None, "x", 1, None), (102, "long " * 30_000, "s", "x", 1, None), rows[0], (103, "ünïcödé ​ 😀", "s", "x", 1, None)]
 
 
 def test_pack_documents(spark):
