@@ -22,6 +22,11 @@ DAY, START, END, KNOWN = "2022-06-01", "2022-01-01", "2022-12-31", "2022-09-01"
 HUB, YARD, FAR = "CARR_0000017", "YARD_0000033", "CARR_0000204"
 MONTHS = Spine.of(START, END, 30)
 FLAGSHIP = "MATCH (?s, BUYS_FROM, SUPP_1) AS OF '1998-06-01'"
+#: What a query reads of a version; a distinct does not prune by itself.
+SPANS = ("version_id", "relationship_id", "subject_id", "object_id", "valid_from", "valid_to")
+WEIGHTED = (*SPANS, "confidence")
+FACTS = (*WEIGHTED, "predicate")
+KNOWN_FACTS = (*FACTS, "system_from", "system_to")
 DATES = ("valid_from", "valid_to", "last_confirmed", "date", "first_seen", "last_seen", "event_time", "first_connected")
 
 
@@ -34,14 +39,16 @@ def _facts(frame: DataFrame, *more: str) -> DataFrame:
 
 
 def _statement(text: str):
+    columns = KNOWN_FACTS if "KNOWN BY" in text else FACTS
+
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        return _facts(compile_statement(text, graph_versions(spark, folder)))
+        return _facts(compile_statement(text, graph_versions(spark, folder, columns)))
 
     return run
 
 
 def match_bindings(spark: SparkSession, folder: str) -> DataFrame:
-    found = compile_statement(f"MATCH ({HUB}, ?how, ?what) AS OF '{DAY}'", graph_versions(spark, folder))
+    found = compile_statement(f"MATCH ({HUB}, ?how, ?what) AS OF '{DAY}'", graph_versions(spark, folder, FACTS))
     return found.select("version_id", F.col("bindings")["how"].alias("how"), F.col("bindings")["what"].alias("what"))
 
 
@@ -51,137 +58,137 @@ def trade_match(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def diff_edges(spark: SparkSession, folder: str) -> DataFrame:
-    return _facts(compile_statement(f"DIFF BETWEEN '{START}' AND '{END}'", graph_versions(spark, folder)), "change")
+    return _facts(compile_statement(f"DIFF BETWEEN '{START}' AND '{END}'", graph_versions(spark, folder, FACTS)), "change")
 
 
 def diff_nodes(spark: SparkSession, folder: str) -> DataFrame:
-    return temporal.diff(graph_versions(spark, folder), START, END, Pattern(HUB)).nodes
+    return temporal.diff(graph_versions(spark, folder, FACTS), START, END, Pattern(HUB)).nodes
 
 
 def range_days(spark: SparkSession, folder: str) -> DataFrame:
-    return compile_statement(f"RANGE ({HUB}, ?p, ?o) BETWEEN '{START}' AND '{END}'", graph_versions(spark, folder))
+    return compile_statement(f"RANGE ({HUB}, ?p, ?o) BETWEEN '{START}' AND '{END}'", graph_versions(spark, folder, FACTS))
 
 
 def range_days_reverse(spark: SparkSession, folder: str) -> DataFrame:
-    return compile_statement(f"RANGE (?s, ?p, {YARD}) BETWEEN '{START}' AND '{END}'", graph_versions(spark, folder))
+    return compile_statement(f"RANGE (?s, ?p, {YARD}) BETWEEN '{START}' AND '{END}'", graph_versions(spark, folder, FACTS))
 
 
 def range_days_all(spark: SparkSession, folder: str) -> DataFrame:
-    return temporal.day_counts(graph_versions(spark, folder), Pattern(), START, END)
+    return temporal.day_counts(graph_versions(spark, folder, SPANS), Pattern(), START, END)
 
 
 def series_counts(spark: SparkSession, folder: str) -> DataFrame:
-    return _text_days(temporal.series_counts(graph_versions(spark, folder), Pattern(), Spine.of("2019-01-01", "2025-12-31", 7)))
+    return _text_days(temporal.series_counts(graph_versions(spark, folder, SPANS), Pattern(), Spine.of("2019-01-01", "2025-12-31", 7)))
 
 
 def series_facts(spark: SparkSession, folder: str) -> DataFrame:
-    return _facts(compile_statement(f"SERIES ({HUB}, ?p, ?o) BETWEEN '{START}' AND '{END}' RESOLUTION '30d'", graph_versions(spark, folder)), "date")
+    return _facts(compile_statement(f"SERIES ({HUB}, ?p, ?o) BETWEEN '{START}' AND '{END}' RESOLUTION '30d'", graph_versions(spark, folder, FACTS)), "date")
 
 
 def degree_all(spark: SparkSession, folder: str) -> DataFrame:
-    return metrics.degrees(graph_versions(spark, folder), DAY).withColumn("weighted_degree", F.round("weighted_degree", 6))
+    return metrics.degrees(graph_versions(spark, folder, WEIGHTED), DAY).withColumn("weighted_degree", F.round("weighted_degree", 6))
 
 
 def edge_weight_all(spark: SparkSession, folder: str) -> DataFrame:
-    return metrics.edge_weights(graph_versions(spark, folder), DAY)
+    return metrics.edge_weights(graph_versions(spark, folder, FACTS), DAY)
 
 
 def track_degree(spark: SparkSession, folder: str) -> DataFrame:
-    return _text_days(metrics.track_degree(graph_versions(spark, folder), MONTHS))
+    return _text_days(metrics.track_degree(graph_versions(spark, folder, SPANS), MONTHS))
 
 
 def track_weighted_degree(spark: SparkSession, folder: str) -> DataFrame:
-    return _text_days(metrics.track_weighted_degree(graph_versions(spark, folder), MONTHS)).withColumn("value", F.round("value", 6))
+    return _text_days(metrics.track_weighted_degree(graph_versions(spark, folder, WEIGHTED), MONTHS)).withColumn("value", F.round("value", 6))
 
 
 def track_edge_weight(spark: SparkSession, folder: str) -> DataFrame:
-    return _text_days(metrics.track_edge_weight(graph_versions(spark, folder), MONTHS, Pattern(HUB)))
+    return _text_days(metrics.track_edge_weight(graph_versions(spark, folder, FACTS), MONTHS, Pattern(HUB)))
 
 
 def signal_join(spark: SparkSession, folder: str) -> DataFrame:
     """Facts active per week beside the number of assertions of that day."""
-    signal = temporal.series_counts(graph_versions(spark, folder), Pattern(), Spine.of("2019-01-01", "2025-12-31", 7)).withColumn("value", F.col("facts").cast("double"))
+    signal = temporal.series_counts(graph_versions(spark, folder, SPANS), Pattern(), Spine.of("2019-01-01", "2025-12-31", 7)).withColumn("value", F.col("facts").cast("double"))
     other = table(spark, folder, "assertions").where("event_time is not null").groupBy(F.col("event_time").alias("date")).agg(F.count_distinct("assertion_id").cast("double").alias("other"))
     return _text_days(metrics.join_signal(signal.select("date", "value"), other))
 
 
 def active_entities(spark: SparkSession, folder: str) -> DataFrame:
-    return metrics.active_entities(graph_versions(spark, folder), DAY)
+    return metrics.active_entities(graph_versions(spark, folder, SPANS), DAY)
 
 
 def neighbors(spark: SparkSession, folder: str) -> DataFrame:
-    return metrics.neighbors(graph_versions(spark, folder), DAY)
+    return metrics.neighbors(graph_versions(spark, folder, SPANS), DAY)
 
 
 def out_neighbors(spark: SparkSession, folder: str) -> DataFrame:
-    return metrics.out_neighbors(graph_versions(spark, folder), DAY)
+    return metrics.out_neighbors(graph_versions(spark, folder, SPANS), DAY)
 
 
 def bfs_distances(spark: SparkSession, folder: str) -> DataFrame:
-    return _text_days(graph.path_lengths(graph_versions(spark, folder), [HUB], DAY, 4))
+    return _text_days(graph.path_lengths(graph_versions(spark, folder, SPANS), [HUB], DAY, 4))
 
 
 def closeness_all(spark: SparkSession, folder: str) -> DataFrame:
-    return graph.closeness(graph_versions(spark, folder), DAY, None, 3).select("entity", F.round("closeness", 6).alias("closeness"))
+    return graph.closeness(graph_versions(spark, folder, SPANS), DAY, None, 3).select("entity", F.round("closeness", 6).alias("closeness"))
 
 
 def track_closeness(spark: SparkSession, folder: str) -> DataFrame:
-    found = graph.closeness(graph_versions(spark, folder), MONTHS, [HUB, FAR], 3)
+    found = graph.closeness(graph_versions(spark, folder, SPANS), MONTHS, [HUB, FAR], 3)
     return _text_days(found.select("date", "entity", F.round("closeness", 6).alias("value")))
 
 
 def path_hops(spark: SparkSession, folder: str) -> DataFrame:
-    found = graph.shortest_paths(graph_versions(spark, folder), HUB, FAR, MONTHS)
+    found = graph.shortest_paths(graph_versions(spark, folder, FACTS), HUB, FAR, MONTHS)
     return _text_days(found.select("date", "hops"))
 
 
 def path_edges(spark: SparkSession, folder: str) -> DataFrame:
     """The versions along the path of every date; ties are broken by scan order, which SQL does not tell."""
-    found = graph.shortest_paths(graph_versions(spark, folder), HUB, FAR, DAY)
+    found = graph.shortest_paths(graph_versions(spark, folder, FACTS), HUB, FAR, DAY)
     return _facts(found.select(F.posexplode("path").alias("hop", "v")).select("hop", "v.*"), "hop")
 
 
 def path_history(spark: SparkSession, folder: str) -> DataFrame:
-    found = graph.path_history(graph_versions(spark, folder), HUB, YARD, MONTHS)
+    found = graph.path_history(graph_versions(spark, folder, FACTS), HUB, YARD, MONTHS)
     return _text_days(found.select("date", F.coalesce("hops", F.lit(-1)).alias("hops")))
 
 
 def first_connected(spark: SparkSession, folder: str) -> DataFrame:
-    return _text_days(graph.first_connected(graph_versions(spark, folder), HUB, FAR, START, END, 2))
+    return _text_days(graph.first_connected(graph_versions(spark, folder, SPANS), HUB, FAR, START, END, 2))
 
 
 def pagerank_fixed_iters(spark: SparkSession, folder: str) -> DataFrame:
-    found = graph.pagerank(graph_versions(spark, folder), DAY, max_iterations=20, tolerance=0.0)
+    found = graph.pagerank(graph_versions(spark, folder, SPANS), DAY, max_iterations=20, tolerance=0.0)
     return found.select("entity", F.round("pagerank", 8).alias("pagerank"))
 
 
 def track_pagerank(spark: SparkSession, folder: str) -> DataFrame:
-    found = graph.pagerank(graph_versions(spark, folder), MONTHS)
+    found = graph.pagerank(graph_versions(spark, folder, SPANS), MONTHS)
     return _text_days(found.select("date", "entity", F.round("pagerank", 8).alias("pagerank")))
 
 
 def betweenness_all(spark: SparkSession, folder: str) -> DataFrame:
-    return graph.betweenness(graph_versions(spark, folder), DAY, 3).select("entity", F.round("betweenness", 4).alias("betweenness"))
+    return graph.betweenness(graph_versions(spark, folder, SPANS), DAY, 3).select("entity", F.round("betweenness", 4).alias("betweenness"))
 
 
 def track_betweenness(spark: SparkSession, folder: str) -> DataFrame:
-    found = graph.betweenness(graph_versions(spark, folder), Spine.of(START, END, 180), 2)
+    found = graph.betweenness(graph_versions(spark, folder, SPANS), Spine.of(START, END, 180), 2)
     return _text_days(found.select("date", "entity", F.round("betweenness", 4).alias("betweenness")))
 
 
 def changepoints(spark: SparkSession, folder: str) -> DataFrame:
     """Change points of the monthly degree of every entity, one task per signal."""
-    signal = metrics.track_degree(graph_versions(spark, folder), Spine.of("2019-01-01", "2025-12-31", 30))
+    signal = metrics.track_degree(graph_versions(spark, folder, SPANS), Spine.of("2019-01-01", "2025-12-31", 30))
     return _text_days(changepoint.changepoints(signal, ["entity"]))
 
 
 def why_changed_status(spark: SparkSession, folder: str) -> DataFrame:
-    return provenance.change_status(graph_versions(spark, folder), START, END)
+    return provenance.change_status(graph_versions(spark, folder, FACTS), START, END)
 
 
 def why_changed_evidence(spark: SparkSession, folder: str) -> DataFrame:
     claims = provenance.unique_assertions(table(spark, folder, "assertions"))
-    found = provenance.evidence(graph_versions(spark, folder), claims, table(spark, folder, "sources"), START, END)
+    found = provenance.evidence(graph_versions(spark, folder, FACTS), claims, table(spark, folder, "sources"), START, END)
     return _text_days(found.select("assertion_id", "version_id", "subject_id", "predicate", "object_id", "event_time", "source_id", "url"))
 
 
@@ -201,7 +208,7 @@ def fold_sync_snapshot(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def entities_seen(spark: SparkSession, folder: str) -> DataFrame:
-    return _text_days(ingest.entities_seen(graph_versions(spark, folder)))
+    return _text_days(ingest.entities_seen(graph_versions(spark, folder, ("version_id", "subject_id", "object_id", "valid_from", "last_confirmed"))))
 
 
 def entity_lookup(spark: SparkSession, folder: str) -> DataFrame:
@@ -214,7 +221,7 @@ def sources_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def relationships_found(spark: SparkSession, folder: str) -> DataFrame:
-    return ingest.relationships_of(graph_versions(spark, folder)).drop("created_at")
+    return ingest.relationships_of(graph_versions(spark, folder, ("version_id", "relationship_id", "subject_id", "predicate", "object_id", "system_from"))).drop("created_at")
 
 
 def stats(spark: SparkSession, folder: str) -> DataFrame:
@@ -228,7 +235,7 @@ def stats(spark: SparkSession, folder: str) -> DataFrame:
 
 def dump_restore_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     dump, place = scratch_path(spark, "dump"), scratch_path(spark, "restored")
-    store.dump_facts(graph_versions(spark, folder), dump)
+    store.dump_facts(graph_versions(spark, folder, FACTS), dump)
     restored = store.TemporalGraph.restore(spark, dump, place).versions
     return _text_days(restored.groupBy("subject_id", "predicate", "object_id", "valid_from", "valid_to", "confidence").agg(F.count(F.lit(1)).alias("n")))
 
