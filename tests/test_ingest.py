@@ -52,7 +52,7 @@ def model(events):
     return sorted((r for r in rows if r[3] is None or r[3] >= r[2]), key=str)
 
 
-@settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(logs=st.lists(st.lists(event, min_size=1, max_size=12), min_size=6, max_size=6))
 def test_fold_equals_the_verbs_one_by_one(spark, logs):
     """Several logs at once, each under its own predicate."""

@@ -15,7 +15,7 @@ def graph(versions):
 
 
 def ids(frame):
-    return sorted(r["version_id"] for r in frame.collect())
+    return sorted(r["version_id"] for r in frame.select("version_id").collect())
 
 
 def test_closed_interval(graph):
