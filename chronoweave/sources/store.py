@@ -1,8 +1,9 @@
 """A graph on disk: an append-only event log in Parquet, and the tables folded from it.
 
-Layout below the root: ``_meta.json`` (schema version), ``events/`` (the log,
-one append per write batch), ``facts/`` (intervals loaded from a dump).  One
-writer at a time; readers see whole appends.
+Layout below the root: ``_meta.json`` (schema version, state of compaction),
+``events/`` (the log, one append per write batch), ``facts/`` (intervals loaded
+from a dump), ``versions-N/`` (the log folded up to event N, clustered by
+subject and predicate).  One writer at a time; readers see whole appends.
 """
 
 from __future__ import annotations
@@ -64,16 +65,18 @@ class TemporalGraph:
         self._files = _Files(spark, self.path)
         self._staged: list[tuple] | None = None
         self._check_schema()
-        self._seq = self._last_seq()
+        self._seq = self._last_written = self._last_seq()
 
     # --- storage ------------------------------------------------------------------------
 
     def _check_schema(self) -> None:
+        self._compacted: int | None = None
         if not self._files.exists("_meta.json"):
             self._files.write_text("_meta.json", json.dumps({"schema_version": SCHEMA_VERSION}))
             return
         try:
-            found = json.loads(self._files.read_text("_meta.json")).get("schema_version")
+            meta = json.loads(self._files.read_text("_meta.json"))
+            found, self._compacted = meta.get("schema_version"), meta.get("compacted")
         except (ValueError, AttributeError) as exc:
             raise StorageError(f"{self.path}/_meta.json cannot be read") from exc
         if found != SCHEMA_VERSION:
@@ -92,12 +95,31 @@ class TemporalGraph:
 
     @property
     def versions(self) -> DataFrame:
-        """The fact table: what the log folds to, and intervals that a restore loaded."""
-        folded = ingest.folded_versions(self.events()).select(*VERSIONS.names)
+        """The fact table: what the log folds to, and intervals that a restore loaded.
+
+        Right after ``compact`` the folded table is read instead of the log.
+        """
+        if self._compacted is not None and self._compacted == self._last_written:
+            folded = self.spark.read.schema(VERSIONS).parquet(f"{self.path}/versions-{self._compacted}")
+        else:
+            folded = ingest.folded_versions(self.events()).select(*VERSIONS.names)
         if not self._files.exists("facts"):
             return folded
         return folded.unionByName(self.spark.read.schema(VERSIONS).parquet(f"{self.path}/facts"))
 
+    def compact(self) -> None:
+        """Fold the log once and keep the result, clustered so that a pattern reads few row groups.
+
+        The new table is written beside the old one before the marker is
+        switched to it, so a reader never sees half of it.  The log stays.
+        """
+        at = self._last_written
+        folded = ingest.folded_versions(self.events()).select(*VERSIONS.names)
+        clustered = folded.repartitionByRange("subject_id", "predicate").sortWithinPartitions("subject_id", "predicate", "valid_from", "version_id")
+        clustered.write.mode("overwrite").parquet(f"{self.path}/versions-{at}")
+        self._files.write_text("_meta.json", json.dumps({"schema_version": SCHEMA_VERSION, "compacted": at}))
+        self._compacted = at
+
     @property
     def relationships(self) -> DataFrame:
         return ingest.relationships_of(self.versions)
@@ -188,6 +210,7 @@ class TemporalGraph:
     def _append(self, rows: list[tuple]) -> None:
         if rows:
             self.spark.createDataFrame(rows, EVENTS).coalesce(1).write.mode("append").parquet(f"{self.path}/events")
+            self._last_written = max(r[0] for r in rows)
 
     def _line(self, subject: str, predicate: str) -> DataFrame:
         """The log of one subject and predicate, with what is staged."""
@@ -260,7 +283,7 @@ class TemporalGraph:
         good, bad = ingest.split_events(events.select(*EVENTS.names))
         moved = good.withColumn("seq", F.col("seq") + F.lit(self._seq))
         moved.write.mode("append").parquet(f"{self.path}/events")
-        self._seq = self._last_seq()
+        self._seq = self._last_written = self._last_seq()
         return bad
 
     def get_entity(self, entity_id: str) -> dict | None:

@@ -135,3 +135,20 @@ def test_bulk_load(spark, db):
     assert [r.reason for r in rejected.collect()] == ["bad subject"]
     assert sorted(spans(db)) == [("B", "2026-01-01", "2026-01-01"), ("C", "2026-01-02", None)]
     assert db.assert_fact("A", "L", "C", "2026-01-04") == db.history(Pattern("A", "L", "C")).first().version_id
+
+
+def test_compaction(spark, db, tmp_path):
+    with db.write_batch():
+        for k in range(5):
+            db.assert_fact(f"S{k}", "L", "B", "2026-01-01", 0.5)
+    before = sorted(map(tuple, db.versions.collect()))
+    db.compact()
+    assert "versions-5" in db.versions._jdf.queryExecution().toString()
+    assert sorted(map(tuple, db.versions.collect())) == before
+    again = open_graph(spark, db.path)
+    assert sorted(map(tuple, again.versions.collect())) == before
+    # A later write goes on from the log until the next compaction.
+    again.retract_fact("S0", "L", "B", "2026-02-01")
+    assert again.history(Pattern("S0")).first().valid_to is not None
+    again.compact()
+    assert again.history(Pattern("S0")).first().valid_to is not None and again.versions.count() == 5
