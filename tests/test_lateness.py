@@ -42,22 +42,43 @@ def rows(at):
 def test_cut_off_and_counters(spark, at):
     records = lateness.registers(spark.createDataFrame(rows(at) * 2, A))
     assert [tuple(x) for x in lateness.late_records(records).collect()] == [("2022-01", 2)]
-    (total,) = lateness.totals(lateness.merge(lateness.publish(records))).collect()
-    assert (total.event_month, total.records) == ("2022-01", 4)
-    assert total.mean_confidence == pytest.approx(0.7)
+    for cuts in ((), ("2020-01-01", "2022-01-09", "2023-01-01")):
+        (total,) = lateness.totals(lateness.count_by_waves(records, cuts)).collect()
+        assert (total.event_month, total.records, total.late_records) == ("2022-01", 4, 1)
+        assert total.mean_confidence == pytest.approx(0.7)
 
 
-def test_merging_is_idempotent_and_orderless(spark, at):
-    more = [(k, k % 3, dt.date(2022, 1 + k % 2, 3), None, at(f"2022-0{1 + k % 4}-20"), k / 50, "", "") for k in range(40)]
-    published = lateness.publish(lateness.registers(spark.createDataFrame(more, A)))
-    want = sorted(map(tuple, lateness.totals(lateness.merge(published)).collect()), key=str)
-    early = published.where("sequence < 24266")
-    for deliveries in ((published, published), (early, published), (published, early, early)):
-        got = sorted(map(tuple, lateness.totals(lateness.merge(*deliveries)).collect()), key=str)
-        assert [(m, n, round(c, 9)) for m, n, c in got] == [(m, n, round(c, 9)) for m, n, c in want]
+def claims(at, spark):
+    more = [(k, k % 3 or None, dt.date(2022, 1 + k % 2, 3), None, at(f"2022-0{1 + k % 9}-20"), k / 50, "", "") for k in range(60)]
+    return lateness.registers(spark.createDataFrame(more, A))
+
+
+def held(state):
+    return sorted(((m, n, late, round(c, 9)) for m, n, late, c in map(tuple, lateness.totals(state).collect())), key=str)
+
+
+def test_waves_repeats_and_order_do_not_matter(spark, at):
+    records = claims(at, spark)
+    want = held(lateness.count_by_waves(records, ()))
+    assert sum(n + late for _, n, late, _ in want) == 60 and any(late for _, _, late, _ in want)
+    assert held(lateness.count_by_waves(records, ("2022-03-01",))) == want
+    assert held(lateness.count_by_waves(records, ("2022-02-01", "2022-04-01", "2022-06-01"), repeat=True)) == want
+
+
+def test_deliveries_in_any_order_and_a_wave_published_twice(spark, at):
+    added = lateness.increments(claims(at, spark), ("2022-04-01",)).cache()
+    first = lateness.publish(None, added.where("sequence = 1")).cache()
+    second = lateness.publish(first, added.where("sequence = 2")).cache()
+    want = held(lateness.merge(first, second))
+    assert sum(n + late for _, n, late, _ in want) == 60
+    for deliveries in ((second, first), (second, second, first, first), (first, second, first)):
+        assert held(lateness.merge(*deliveries)) == want
+    # Counting a wave on from a state that has it already adds nothing.
+    merged = lateness.merge(first, second)
+    assert lateness.publish(merged, added.where("sequence = 2")).count() == 0
 
 
 def test_empty(spark):
     records = lateness.registers(spark.createDataFrame([], A))
     assert lateness.late_records(records).count() == 0
-    assert lateness.totals(lateness.merge(lateness.publish(records))).count() == 0
+    assert lateness.totals(lateness.count_by_waves(records)).count() == 0
