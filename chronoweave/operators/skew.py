@@ -2,10 +2,13 @@
 
 Two-stage salted aggregation: rows of heavy keys get a salt, partial results
 are computed per key and salt, and the partials are merged by the original
-key.  The salt is a hash of what is counted, not a fresh random number: it
-spreads the rows as evenly, gives the same partials when a lost task is run
-again, and makes the distinct values of two salts disjoint, so their counts
-add up exactly.
+key.  The salt is a hash of the version's id rather than a fresh random number:
+it spreads the rows of any key as evenly, however few partners the key has, and
+gives the same partials when a lost task is run again.
+
+Which keys are heavy is only a hint for the salt and never changes a result.
+It comes from a frequent-items sketch of bounded size, made in the scan and
+merged from one small row per task, so rows are counted once.
 """
 
 from __future__ import annotations
@@ -14,18 +17,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronoweave.operators.intervals import periods
+from chronoweave.sources.scratch import materialize
 
 FIELDS = ("subject_id", "object_id")
+#: Under this field every version is counted once, as the number of all.
+TOTAL = "version_id"
 KEY = ["field_name", "entity_id"]
 
 
-def endpoint_rows(versions: DataFrame) -> DataFrame:
+def endpoint_rows(versions: DataFrame, with_total: bool = False) -> DataFrame:
     """Each version twice, under its subject and under its object, with the other one as partner.
 
     Equal rows count once.  A NULL endpoint gives no row of its own; a version
-    without id is not a version.
+    without id is not a version.  ``with_total``: once more under ``TOTAL``.
     """
+    all_ = [F.struct(F.lit(TOTAL).alias("field_name"), F.lit("").alias("entity_id"), F.lit(None).cast("string").alias("partner"))] if with_total else []
     ends = F.array(
+        *all_,
         F.struct(F.lit("subject_id").alias("field_name"), F.col("subject_id").alias("entity_id"), F.col("object_id").alias("partner")),
         F.struct(F.lit("object_id").alias("field_name"), F.col("object_id").alias("entity_id"), F.col("subject_id").alias("partner")),
     )
@@ -39,36 +47,56 @@ def endpoint_rows(versions: DataFrame) -> DataFrame:
     )
 
 
-def heavy_keys(rows: DataFrame, share: float) -> DataFrame:
-    """Keys with at least ``share`` of their field's rows: at most ``1 / share`` per field, whatever the data."""
-    counts = rows.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"))
-    sums = counts.groupBy("field_name").agg(F.sum("n").alias("total"))
-    # sums has one row per field (two), so broadcasting it is bounded by construction.
-    return counts.join(F.broadcast(sums), "field_name").where(F.col("n") >= F.col("total") * share).select(*KEY)
+def heavy_keys(versions: DataFrame, share: float, tracked: int = 20_000) -> list[tuple[str, str]]:
+    """(field_name, entity_id) that may hold ``share`` of the rows or more: at most ``1 / share`` per field, whatever the data.
+
+    The sketch keeps ``tracked`` counters per field, which finds every key above
+    a few times ``1 / tracked`` of the rows; equal rows count as often as they come.
+    """
+    top = min(round(1 / share), tracked)
+    row = versions.agg(F.count(F.lit(1)).alias("n"), *(F.call_function("approx_top_k", F.col(f), F.lit(top), F.lit(tracked)).alias(f) for f in FIELDS)).first()
+    return [(f, r["item"]) for f in FIELDS for r in row[f] or [] if r["item"] is not None and r["count"] >= row["n"] * share]
+
+
+def _salted(rows: DataFrame, heavy: list[tuple[str, str]], salts: int) -> DataFrame:
+    """Rows with their salt; keys that are not heavy have the salt 0."""
+    salt = F.pmod(F.xxhash64("version_id"), F.lit(salts)).cast("int")
+    if not heavy:
+        return rows.withColumn("salt", F.lit(0))
+    # heavy_keys bounds this table, so it may be broadcast.
+    named = rows.sparkSession.createDataFrame([(*k, True) for k in heavy], "field_name string, entity_id string, heavy boolean")
+    return rows.join(F.broadcast(named), KEY, "left").withColumn("salt", F.when(F.col("heavy"), salt).otherwise(F.lit(0)))
+
 
+def salted_counts(rows: DataFrame, heavy: list[tuple[str, str]], salts: int = 32) -> DataFrame:
+    """(field_name, entity_id, versions, salts_used) by the two-stage aggregation."""
+    partial = _salted(rows, heavy, salts).groupBy(*KEY, "salt").agg(F.count(F.lit(1)).alias("versions"))
+    return partial.groupBy(*KEY).agg(F.sum("versions").alias("versions"), F.count(F.lit(1)).alias("salts_used"))
 
-def salted_counts(rows: DataFrame, heavy: DataFrame, salts: int = 32) -> DataFrame:
-    """(field_name, entity_id, versions, partners, salts_used) by the two-stage aggregation.
 
-    ``heavy`` must be bounded, as ``heavy_keys`` makes it: it is broadcast.
+def salted_partners(rows: DataFrame, heavy: list[tuple[str, str]], salts: int = 32) -> DataFrame:
+    """(field_name, entity_id, versions, partners): the same with distinct partners.
+
+    Partials are per key, salt and partner; merging them by key makes partners
+    distinct, in steps by key and partner first, so no task gets all of a key.
     """
-    marked = rows.join(F.broadcast(heavy.withColumn("heavy", F.lit(True))), KEY, "left")
-    salt = F.when(F.col("heavy"), F.pmod(F.xxhash64("partner"), F.lit(salts))).otherwise(F.lit(0)).cast("int")
-    # A version has one partner, so versions may be counted per partner first;
-    # this stage also makes partners distinct, and combines before it shuffles.
-    per_partner = marked.groupBy(*KEY, salt.alias("salt"), "partner").agg(F.count(F.lit(1)).alias("versions"))
-    partial = per_partner.groupBy(*KEY, "salt").agg(F.sum("versions").alias("versions"), F.count("partner").alias("partners"))
-    return partial.groupBy(*KEY).agg(
-        F.sum("versions").alias("versions"), F.sum("partners").alias("partners"), F.count("salt").alias("salts_used")
-    )
+    partial = _salted(rows, heavy, salts).groupBy(*KEY, "salt", "partner").agg(F.count(F.lit(1)).alias("versions"))
+    per_partner = partial.groupBy(*KEY, "partner").agg(F.sum("versions").alias("versions"))
+    return per_partner.groupBy(*KEY).agg(F.sum("versions").alias("versions"), F.count("partner").alias("partners"))
 
 
 def frequent_keys(versions: DataFrame, share: float = 0.01, salt_share: float = 0.001, salts: int = 32) -> DataFrame:
-    """(field_name, entity_id, versions): keys held by at least ``share`` of all distinct versions."""
-    total = versions.select("version_id").where("version_id is not null").distinct().count()
-    rows = endpoint_rows(versions)
-    counts = salted_counts(rows, heavy_keys(rows, salt_share), salts)
-    return counts.where(F.col("versions") >= F.lit(total) * F.lit(share)).select(*KEY, "versions")
+    """(field_name, entity_id, versions): keys held by at least ``share`` of all distinct versions.
+
+    Equal rows count once; versions without subject or object count in the
+    total only; an empty table gives no row.
+    """
+    rows = endpoint_rows(versions, with_total=True)
+    # The total is a key like the others and comes out of the same pass; the counts are kept, so that it stays one.
+    counts = materialize(salted_counts(rows, heavy_keys(versions, salt_share) + [(TOTAL, "")], salts), "key-counts")
+    total = counts.where(F.col("field_name") == TOTAL).select(F.col("versions").alias("total"))
+    found = counts.where((F.col("field_name") != TOTAL) & (F.col("versions") >= share * F.lit(total.scalar())))
+    return found.select(*KEY, "versions")
 
 
 def days_covered(versions: DataFrame) -> DataFrame:
@@ -93,7 +121,7 @@ def days_covered(versions: DataFrame) -> DataFrame:
 def key_summary(versions: DataFrame, salt_share: float = 0.001, salts: int = 32) -> DataFrame:
     """(field_name, entity_id, versions, partners, days) for every subject and every object."""
     rows = endpoint_rows(versions)
-    counts = salted_counts(rows, heavy_keys(rows, salt_share), salts)
+    counts = salted_partners(rows, heavy_keys(versions, salt_share), salts)
     days = days_covered(versions.where("version_id is not null"))
     return (
         counts.join(days, KEY, "left")

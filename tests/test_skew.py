@@ -51,10 +51,18 @@ def test_frequent_keys_and_salts(spark):
     frame = spark.createDataFrame(rows, V)
     got = skew.frequent_keys(frame, salt_share=0.05, salts=4).collect()
     assert {(r.field_name, r.entity_id) for r in got} == want
-    ends = skew.endpoint_rows(frame)
-    counted = skew.salted_counts(ends, skew.heavy_keys(ends, 0.05), 4)
-    assert {r.entity_id for r in counted.where(F.col("salts_used") > 1).collect()} >= {"hub"}
-    assert counted.where(F.col("salts_used") > 4).count() == 0
+    assert {k for _, k in skew.heavy_keys(frame, 0.05)} == {"hub"}
+    ends = skew.endpoint_rows(frame, with_total=True)
+    counted = skew.salted_counts(ends, [("subject_id", "hub"), (skew.TOTAL, "")], 4)
+    used = {(r.field_name, r.entity_id): r.salts_used for r in counted.collect()}
+    assert {k for k, n in used.items() if n > 1} == {("subject_id", "hub"), (skew.TOTAL, "")} and max(used.values()) == 4
+
+
+def test_a_heavy_key_with_one_partner_uses_all_salts(spark):
+    rows = [(v, "hub", "only", None, None, "x", 1, "y") for v in range(400)]
+    ends = skew.endpoint_rows(spark.createDataFrame(rows, V))
+    sizes = [r.n for r in skew._salted(ends, [("subject_id", "hub")], 8).where("field_name = 'subject_id'").groupBy("salt").agg(F.count("*").alias("n")).collect()]
+    assert len(sizes) == 8 and max(sizes) < 2 * 400 / 8
 
 
 def test_empty(spark):
