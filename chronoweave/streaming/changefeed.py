@@ -12,14 +12,19 @@ Two incremental streams, both with their state in the state store:
 
 Both emit upserts through ``foreachBatch``, each micro-batch into its own
 ``batch=N`` folder that a retry overwrites, so the output is idempotent.  A
-reader takes the row of the greatest batch per key.
+reader takes the row of the greatest batch per key.  Once there are many
+folders, the upserts of the current rows are brought down to one row per key.
 
 State is aggregated map-side before it is shuffled, so a key with a third of
 all changes reaches its state as one row per task.
 
-A change whose position was lowered *after* it had been passed on could leave
-a key with too new a sequence.  Changes seen with more than one position mark
-their key; marked keys are folded again from the change log, exactly.
+A change whose position is lowered *after* it was emitted could leave a key
+with too new a sequence.  The first stream's state therefore remembers the
+position it emitted first; only a change that has fallen below it marks its
+key, and marked keys are folded again from the change log, exactly.
+
+The state of the first stream grows with the number of change ids, as any copy
+of any change may still come; it lives in RocksDB on disk, not on the heap.
 """
 
 from __future__ import annotations
@@ -39,25 +44,26 @@ def change_log(feed: DataFrame) -> DataFrame:
 
     Changes that neither set nor remove (polarity other than 1 or -1), and
     rows without change id or key, are dropped.  Copies of a change agree in
-    key and polarity, so these are part of the state's key and its value is two
-    numbers, which the hash aggregation updates in place.
+    key and polarity, so these are part of the state's key.  ``lowered``: the
+    position is below that of the micro-batch the change first came in, which
+    ``current_timestamp`` - one instant per micro-batch, kept in its log -
+    tells apart.  No ingestion is the lowest position.
     """
+    lowest = F.coalesce(F.unix_micros("ingested_at"), F.lit(-(2**62)))
     return (
         feed.where("polarity in (1, -1) and assertion_id is not null and relationship_id is not null")
+        .select("assertion_id", "relationship_id", "polarity", F.unix_micros(F.current_timestamp()).alias("came"), lowest.alias("position"))
         .groupBy("assertion_id", "relationship_id", "polarity")
-        .agg(F.min("ingested_at").alias("ingestion"), F.max("ingested_at").alias("seen_last"))
-        .select("assertion_id", "relationship_id", "polarity", "ingestion", (~F.col("seen_last").eqNullSafe(F.col("ingestion"))).alias("moved"))
+        .agg(F.min("position").alias("position"), F.min(F.struct("came", "position")).alias("first"))
+        .select("assertion_id", "relationship_id", "polarity", "position", (F.col("position") < F.col("first.position")).alias("lowered"))
     )
 
 
 def current_rows(changes: DataFrame) -> DataFrame:
-    """State per key: the newest change with its payload and tombstone.
-
-    A NULL ingestion comes before every other.
-    """
+    """State per key: the newest change with its payload and tombstone, and whether a change of the key was lowered."""
     return changes.groupBy("relationship_id").agg(
-        F.max(F.struct("ingestion", "assertion_id", (F.col("polarity") == -1).alias("tombstone"))).alias("last"),
-        F.max("moved").alias("moved"),
+        F.max(F.struct("position", "assertion_id", (F.col("polarity") == -1).alias("tombstone"))).alias("last"),
+        F.max("lowered").alias("lowered"),
     )
 
 
@@ -102,11 +108,13 @@ def _upserts(stream: DataFrame, root: str, name: str) -> str:
     return target
 
 
-def apply_feed(spark: SparkSession, path: str, root: str | None = None, files_per_batch: int = 1_000) -> DataFrame:
+def apply_feed(spark: SparkSession, path: str, root: str | None = None, files_per_batch: int = 1_000, compact_after: int = 64) -> DataFrame:
     """(relationship_id, assertion_id): the keys that hold after all changes, with the change that last set each.
 
     ``path`` is a folder or file of Parquet change rows: assertion_id,
-    relationship_id, polarity, ingested_at; extra columns are not read.
+    relationship_id, polarity, ingested_at; extra columns are not read.  Given
+    a ``root``, a later call goes on from where this one stopped; beyond
+    ``compact_after`` micro-batches the upserts are compacted.
     """
     root = root or scratch_path(spark, "changefeed")
     schema = spark.read.parquet(path).select("assertion_id", "relationship_id", "polarity", "ingested_at").schema
@@ -118,20 +126,43 @@ def apply_feed(spark: SparkSession, path: str, root: str | None = None, files_pe
         log_schema = spark.read.parquet(log_path).drop("batch").schema
         changes = spark.readStream.schema(log_schema).option("maxFilesPerTrigger", files_per_batch).parquet(f"{log_path}/batch=*")
         row_path = _upserts(current_rows(changes), root, "rows")
-    upserts = spark.read.parquet(row_path)
-    rows = upserts.groupBy("relationship_id").agg(F.max(F.struct("batch", "last", "moved")).alias("r"))
-    settled = rows.where("not r.moved").select("relationship_id", "r.last")
-    marked = rows.where("r.moved").select("relationship_id")
-    again = (
-        spark.read.parquet(log_path)
-        .join(marked, "relationship_id", "left_semi")
-        .groupBy("assertion_id", "relationship_id", "polarity")
-        .agg(F.min("ingestion").alias("ingestion"), F.max("moved").alias("moved"))
-    )
-    refolded = current_rows(again).select("relationship_id", "last")
+    _compact(spark, row_path, compact_after)
+    rows = _newest(spark, row_path)
+    settled = rows.where("not lowered").select("relationship_id", "last")
+    again = spark.read.parquet(log_path).join(rows.where("lowered").select("relationship_id"), "relationship_id", "left_semi")
+    refolded = current_rows(
+        again.groupBy("assertion_id", "relationship_id", "polarity").agg(F.min("position").alias("position"), F.max("lowered").alias("lowered"))
+    ).select("relationship_id", "last")
     return settled.unionByName(refolded).where("not last.tombstone").select("relationship_id", "last.assertion_id")
 
 
+def _newest(spark: SparkSession, row_path: str) -> DataFrame:
+    """(relationship_id, last, lowered): per key the upsert of the greatest batch."""
+    rows = spark.read.parquet(row_path).groupBy("relationship_id").agg(F.max(F.struct("batch", "last", "lowered")).alias("r"))
+    return rows.select("relationship_id", "r.last", "r.lowered")
+
+
+def _compact(spark: SparkSession, row_path: str, most: int) -> None:
+    """Bring all upserts down to one row per key once there are more than ``most`` batches.
+
+    The compacted rows get the number of the newest batch and take its place,
+    written beside and renamed; older batches go only after that, and upserts
+    that are still there in between change nothing, being older.
+    """
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = at(row_path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    batches = sorted(int(f.getPath().getName()[6:]) for f in fs.listStatus(at(row_path)) if f.getPath().getName().startswith("batch="))
+    if len(batches) <= most:
+        return
+    beside, newest = f"{row_path}-compacting", f"{row_path}/batch={batches[-1]}"
+    _newest(spark, row_path).write.mode("overwrite").option("compression", "zstd").parquet(beside)
+    fs.rename(at(newest), at(f"{row_path}-replaced"))
+    fs.rename(at(beside), at(newest))
+    for batch in batches[:-1]:
+        fs.delete(at(f"{row_path}/batch={batch}"), True)
+    fs.delete(at(f"{row_path}-replaced"), True)
+
+
 def _as_source(spark: SparkSession, path: str) -> str:
     """A file source wants a folder or a glob; a single file becomes a glob of itself."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

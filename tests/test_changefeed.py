@@ -71,3 +71,29 @@ def test_settings_come_back(spark, at, tmp_path):
     spark.createDataFrame(feed(1, at, 10), A).write.parquet(str(tmp_path / "f"))
     changefeed.apply_feed(spark, str(tmp_path / "f"))
     assert spark.conf.get(name, None) == before
+
+
+def test_only_changes_lowered_after_they_were_emitted_mark_their_key(spark, at, tmp_path):
+    old, new = at("2022-01-01"), at("2022-05-01")
+    path, root = str(tmp_path / "feed"), f"file://{tmp_path}/state"
+    marked = lambda: {r[0] for r in changefeed._newest(spark, f"{root}/rows").where("lowered").select("relationship_id").collect()}
+    first = [(1, 10, 1, new, "", 0), (1, 10, 1, old, "", 0), (2, 20, 1, new, "", 0), (3, 20, -1, at("2022-03-01"), "", 0), (4, 30, 1, old, "", 0)]
+    spark.createDataFrame(first, A).coalesce(1).write.parquet(path)
+    assert {tuple(x) for x in changefeed.apply_feed(spark, path, root).collect()} == {(10, 1), (20, 2), (30, 4)}
+    # Copies in one micro-batch are merged before anything is emitted.
+    assert marked() == set()
+    # 2 turns out to be older than the removal 3; the copy of 4 is newer and lowers nothing.
+    later = [(2, 20, 1, old, "", 0), (4, 30, 1, new, "", 0)]
+    spark.createDataFrame(later, A).coalesce(1).write.mode("append").parquet(path)
+    assert {tuple(x) for x in changefeed.apply_feed(spark, path, root).collect()} == {(10, 1), (30, 4)}
+    assert marked() == {20}
+
+
+def test_compaction_of_upserts(spark, at, tmp_path):
+    rows = feed(11, at, 120)
+    path, root = str(tmp_path / "feed"), f"file://{tmp_path}/state"
+    spark.createDataFrame(rows[:90], A).repartition(4).write.parquet(path)
+    assert {tuple(x) for x in changefeed.apply_feed(spark, path, root, files_per_batch=1, compact_after=2).collect()} == brute(rows[:90])
+    assert len(list((tmp_path / "state" / "rows").glob("batch=*"))) == 1
+    spark.createDataFrame(rows[90:], A).repartition(2).write.mode("append").parquet(path)
+    assert {tuple(x) for x in changefeed.apply_feed(spark, path, root, files_per_batch=1, compact_after=2).collect()} == brute(rows)
