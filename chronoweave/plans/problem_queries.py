@@ -11,9 +11,13 @@ from chronoweave.sources.tables import table
 from chronoweave.streaming import changefeed
 
 
-def _tracker(spark: SparkSession, folder: str) -> orphans.OrphanTracker:
+#: Ends of the epochs that p1_monthly counts after; one more follows the last.
+CUTS = ("2021-07-01", "2022-07-01", "2023-07-01")
+
+
+def _tracker(spark: SparkSession, folder: str, **how) -> orphans.OrphanTracker:
     names = ("versions", "assertions", "sources", "source_removals")
-    return orphans.track_graph(spark, *(table(spark, folder, n) for n in names))
+    return orphans.track_graph(spark, *(table(spark, folder, n) for n in names), **how)
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -22,7 +26,7 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p1_monthly(spark: SparkSession, folder: str) -> DataFrame:
     """Orphans per referring field and month, as they stood after each epoch."""
-    return _tracker(spark, folder).snapshots()
+    return _tracker(spark, folder, cuts=CUTS).snapshots()
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -105,6 +109,30 @@ refs AS (
   WHERE u.ref_id IS NOT NULL AND u.ref_id NOT IN (SELECT assertion_id FROM ing WHERE assertion_id IS NOT NULL)
 )"""
 
+
+
+def _p1_monthly() -> str:
+    """What dangled at each cut, told from the whole tables as they were then."""
+    parts = []
+    for k, cut in enumerate((*CUTS, "9999-01-01"), 1):
+        t = f"TIMESTAMPTZ '{cut} 00:00:00+00'"
+        seen = f"(seen_at IS NULL OR seen_at < {t})"
+        parts.append(f"""
+  SELECT {k} AS epoch, ref_field, period FROM refs WHERE {seen} AND ref_field = 'assertions.source_id' AND (ref_id NOT IN (SELECT source_id FROM sources WHERE source_id IS NOT NULL)
+    OR ref_id IN (SELECT source_id FROM source_removals WHERE source_id IS NOT NULL AND (removed_at IS NULL OR removed_at < {t}) AND (restored_at IS NULL OR restored_at >= {t})))
+  UNION ALL SELECT {k}, ref_field, period FROM refs LEFT JOIN ver ON version_id = ref_id WHERE {seen} AND ref_field = 'assertions.version_id' AND (version_id IS NULL OR sf >= {t} OR sf > seen_at)
+  UNION ALL SELECT {k}, ref_field, period FROM refs LEFT JOIN ing ON assertion_id = ref_id WHERE {seen} AND ref_field = 'versions.assertion_ids' AND (assertion_id IS NULL OR t >= {t})""")
+    return f"""
+WITH ing AS (SELECT assertion_id, min(ingested_at) AS t FROM assertions GROUP BY 1),
+ver AS (SELECT version_id, min(system_from) AS sf FROM versions GROUP BY 1),
+r AS (SELECT 'assertions.source_id' AS ref_field, assertion_id AS row_id, source_id AS ref_id, min(ingested_at) AS seen_at FROM assertions WHERE assertion_id IS NOT NULL AND source_id IS NOT NULL GROUP BY ALL
+  UNION ALL SELECT 'assertions.version_id', assertion_id, version_id, min(ingested_at) FROM assertions WHERE assertion_id IS NOT NULL AND version_id IS NOT NULL GROUP BY ALL
+  UNION ALL SELECT 'versions.assertion_ids', version_id, ref_id, min(system_from) FROM (SELECT version_id, system_from, unnest(assertion_ids) AS ref_id FROM versions) WHERE version_id IS NOT NULL AND ref_id IS NOT NULL GROUP BY ALL),
+refs AS (SELECT *, strftime(seen_at AT TIME ZONE 'UTC', '%Y-%m') AS period FROM r),
+o AS ({" UNION ALL ".join(parts)})
+SELECT epoch::INTEGER AS epoch, ref_field, period, count(*)::BIGINT AS orphans FROM o GROUP BY ALL"""
+
+
 _DAY = """
 CASE
  WHEN regexp_matches(trim(published_at), '^\\d{4}[-/]?\\d{2}[-/]?\\d{2}')
@@ -146,6 +174,7 @@ i AS (SELECT *, k - row_number() OVER (PARTITION BY subject_id, predicate, objec
 
 ORACLES = {
     "p1_found": f"{_P1} SELECT ref_field, row_id, ref_id FROM refs",
+    "p1_monthly": _p1_monthly(),
     "p2_found": """
 WITH c AS (SELECT o.observation_id, v.version_id, row_number() OVER (PARTITION BY o.observation_id, o.relationship_id, o.observed_at
     ORDER BY v.valid_from DESC, v.system_from DESC, v.version_id DESC) AS rn

@@ -78,3 +78,25 @@ def test_parents_resolve_and_deletions_reopen(spark):
     assert held(third) == [(1, 7), (2, 8), (4, 7)]
     counts = {(x.epoch, x.period): x.orphans for x in tracker.snapshots().collect()}
     assert counts == {(1, "2022-01"): 2, (2, "2022-01"): 1, (3, "2022-01"): 2, (3, "2022-02"): 1}
+
+
+def test_a_parent_that_comes_again_resolves_its_orphans(spark):
+    refs = "ref_field string, row_id bigint, ref_id bigint, known_at timestamp, period string"
+    parents = "ref_field string, ref_id bigint, available_at timestamp"
+    dels = "ref_field string, ref_id bigint"
+    frame = lambda schema, *rows: spark.createDataFrame(list(rows), schema)
+    tracker = orphans.OrphanTracker(spark)
+    held = lambda f: sorted((x.row_id, x.ref_id) for x in f.collect())
+    assert held(tracker.advance(frame(refs, ("f", 1, 7, None, "m")), frame(parents, ("f", 7, None)), frame(dels))) == []
+    assert held(tracker.advance(frame(refs), frame(parents), frame(dels, ("f", 7), ("f", 7)))) == [(1, 7)]
+    assert held(tracker.advance(frame(refs, ("f", 2, 7, None, "m")), frame(parents, ("f", 7, None)), frame(dels))) == []
+    assert held(tracker.advance(frame(refs), frame(parents), frame(dels, ("f", 7)))) == [(1, 7), (2, 7)]
+
+
+def test_a_source_is_missing_only_while_it_is_away(spark, at):
+    versions, sources = spark.createDataFrame([], V), spark.createDataFrame([(1, "u"), (2, "u")], S)
+    claims = spark.createDataFrame([(5, 1, None, at("2020-01-01"), "x"), (6, 2, None, at("2020-01-01"), "x")], A)
+    gone = [(1, at("2021-01-01"), at("2022-01-01")), (2, at("2021-03-01"), at("2021-04-01")), (2, at("2022-03-01"), None)]
+    tracker = orphans.track_graph(spark, versions, claims, sources, spark.createDataFrame(gone, R), cuts=("2020-06-01", "2021-06-01", "2022-02-01"))
+    assert {x.epoch: x.orphans for x in tracker.snapshots().collect()} == {2: 1, 4: 1}
+    assert [tuple(x) for x in orphans.found(tracker).collect()] == [("assertions.source_id", 6, 2)]
