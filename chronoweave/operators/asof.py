@@ -9,10 +9,16 @@ owned by the version that wins the tie (latest valid_from, then system_from,
 then version_id) - and an embedded DuckDB runs ``ASOF LEFT JOIN`` of the events
 against that timeline.
 
-Hot entities are cut into time slices.  An event falls in one slice; a version
-goes to the slices it overlaps only in part (two at most) and, of the versions
-that cover a slice whole, only the strongest is kept, by a map-side combined
-maximum.  So no slice receives more than a bounded share of a hot entity.
+Hot entities are cut into time slices of a bounded number of rows, as many as
+their counted size asks for.  An event falls in one slice; a version goes to
+the slices it overlaps only in part (two at most) and, of the versions that
+cover a slice whole, only the strongest is kept.  The slices a version covers
+whole are not listed one by one: their range is cut into the few nodes of a
+binary tree over the slices, the strongest version is kept per node by a
+map-side combined maximum, and a slice takes the strongest of the nodes above
+it.  Slices end at minutes; if one minute of an entity exceeds the bound, its
+events are dealt to parts by a hash and its versions go to every part, so
+events of one instant are split as well.
 """
 
 from __future__ import annotations
@@ -22,14 +28,15 @@ import heapq
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronoweave.functions.times import DAY_MICROS, midnight_micros, utc_day
+from chronoweave.functions.times import DAY_MICROS, midnight_micros
 from chronoweave.sources.scratch import materialize
 from chronoweave.sources.shipping import ship_package
 
 OPEN_END = 2**62
+MINUTE = 60_000_000
 INTERVAL = ["lo", "hi", "valid_from", "system_from", "version_id"]
 
 
@@ -48,22 +55,22 @@ def answer_intervals(versions: DataFrame) -> DataFrame:
     )
 
 
-def asof_versions(events: DataFrame, versions: DataFrame, hot_rows: int = 250_000, bucket_rows: int = 100_000, slices: int = 64) -> DataFrame:
+def asof_versions(events: DataFrame, versions: DataFrame, hot_rows: int = 250_000, bucket_rows: int = 100_000) -> DataFrame:
     """(observation_id, version_id): each event with the version known and valid at its time.
 
     ``events``: observation_id, relationship_id, observed_at.  Events without a
     version give no row; NULL keys or instants match nothing; equal rows count
     once; other columns are ignored.  An entity with more than ``hot_rows``
-    events and versions together is cut into ``slices`` time slices at the
-    quantiles of its events.
+    events and versions together is cut into time slices of about
+    ``bucket_rows``, the size that buckets have on average too.
     """
     ship_package(events.sparkSession)
     asked = (
         events.where("observation_id is not null and relationship_id is not null and observed_at is not null")
         .select("observation_id", F.col("relationship_id").alias("entity"), F.unix_micros("observed_at").alias("at"))
-        .withColumn("slice", F.lit(0))
+        .withColumns({"slice": F.lit(0), "part": F.lit(0)})
     )
-    offered = answer_intervals(versions).withColumn("slice", F.lit(0))
+    offered = answer_intervals(versions).withColumns({"slice": F.lit(0), "part": F.lit(0)})
     sizes = (
         asked.select("entity").unionByName(offered.select("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n"))
     )
@@ -71,50 +78,112 @@ def asof_versions(events: DataFrame, versions: DataFrame, hot_rows: int = 250_00
     counted = materialize(sizes.groupBy((F.col("n") > hot_rows).alias("hot"), F.when(F.col("n") > hot_rows, F.col("entity")).alias("entity")).agg(F.sum("n").alias("n")), "asof-sizes")
     rows, hot_count = counted.agg(F.sum("n"), F.count("entity")).first()
     if hot_count:
-        asked, offered = _slice_hot(asked, offered, counted.where("hot").select("entity"), slices)
+        asked, offered = _slice_hot(asked, offered, counted.where("hot").select("entity"), bucket_rows)
     buckets = max(1, -(-(rows or 0) // bucket_rows))
-    bucket = F.pmod(F.xxhash64("entity", "slice"), F.lit(buckets)).alias("bucket")
-    left = asked.select(bucket, "entity", "slice", "at", "observation_id")
-    right = offered.select(bucket, "entity", "slice", *INTERVAL)
+    bucket = F.pmod(F.xxhash64("entity", "slice", "part"), F.lit(buckets)).alias("bucket")
+    left = asked.select(bucket, "entity", _piece(), "at", "observation_id")
+    right = offered.select(bucket, "entity", _piece(), *INTERVAL)
     joined = left.groupBy("bucket").cogroup(right.groupBy("bucket")).applyInArrow(
         _join_bucket, "observation_id bigint, version_id bigint"
     )
     return joined.distinct()
 
 
-def _slice_hot(asked: DataFrame, offered: DataFrame, hot: DataFrame, slices: int) -> tuple[DataFrame, DataFrame]:
-    """Give the rows of hot entities their time slice; all others keep slice 0."""
-    steps = [k / slices for k in range(1, slices)]
-    bounds = (
-        asked.join(hot, "entity", "left_semi")
-        .unionByName(offered.join(hot, "entity", "left_semi").select(F.lit(None).cast("bigint").alias("observation_id"), "entity", F.col("lo").alias("at"), "slice"))
-        .groupBy("entity")
-        .agg(F.percentile_approx("at", steps, 2_000).alias("b"))
-        .withColumn("b", F.array_sort(F.array_distinct("b")))
+def _piece() -> Column:
+    return (F.shiftleft(F.col("slice").cast("bigint"), 24) + F.col("part")).alias("slice")
+
+
+def _minute(at: Column) -> Column:
+    return F.floor(at / F.lit(MINUTE)).cast("bigint")
+
+
+def time_slices(marks: DataFrame, slice_rows: int) -> DataFrame:
+    """(entity, minute, slice, slices, opens, closes, parts) of every marked minute.
+
+    ``marks``: entity, minute, weight (rows to be spread).  Consecutive minutes
+    share a slice until it holds about ``slice_rows``; ``opens`` and ``closes``
+    are its first minute and that of the next slice, NULL at the ends.  An
+    entity has one row per minute here, whatever its size.
+    """
+    line = Window.partitionBy("entity").orderBy("minute")
+    before = F.coalesce(F.sum("weight").over(line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = marks.groupBy("entity", "minute").agg(F.sum("weight").alias("weight")).withColumn("at", F.floor(before / slice_rows))
+    # Slices that no minute starts in are left out, so they are numbered without gaps.
+    fresh = placed.withColumn("fresh", F.coalesce((F.lag("at").over(line) != F.col("at")).cast("int"), F.lit(0)))
+    numbered = fresh.withColumn("slice", F.sum("fresh").over(line).cast("int"))
+    of = numbered.groupBy("entity", "slice").agg(F.min("minute").alias("opens"), F.sum("weight").alias("weight"))
+    along = Window.partitionBy("entity").orderBy("slice")
+    bounds = of.select(
+        "entity", "slice", F.when(F.col("slice") > 0, F.col("opens")).alias("opens"), F.lead("opens").over(along).alias("closes"),
+        F.greatest(F.lit(1), F.floor(F.col("weight") / (2 * slice_rows))).cast("int").alias("parts"), F.count(F.lit(1)).over(Window.partitionBy("entity")).cast("int").alias("slices"),
+    )
+    return numbered.select("entity", "minute", "slice").join(bounds, ["entity", "slice"])
+
+
+def _tree(first: Column, behind: Column, leaves: Column) -> Column:
+    """Numbers of the tree nodes that make up the slices from ``first`` to the one before ``behind``.
+
+    The tree has ``leaves`` leaves, a power of two; its root is 1, the children
+    of n are 2n and 2n + 1.  At most two nodes per level.
+    """
+    def nodes(level: Column) -> Column:
+        step = F.pow(F.lit(2), level)
+        low = F.ceil((first + leaves) / step).cast("bigint")
+        high = F.floor((behind + leaves) / step).cast("bigint")
+        open_ = low < high
+        return F.array_compact(F.array(F.when(open_ & (low % 2 == 1), low), F.when(open_ & (high % 2 == 1), high - 1)))
+
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.log2(leaves).cast("int")), nodes))
+
+
+def _slice_hot(asked: DataFrame, offered: DataFrame, hot: DataFrame, slice_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Give the rows of hot entities their time slice and part; all others keep slice 0."""
+    mine, theirs = asked.join(hot, "entity", "left_semi"), offered.join(hot, "entity", "left_semi")
+    mark = lambda frame, at, weight: frame.groupBy("entity", _minute(at).alias("minute")).agg((F.count(F.lit(1)) * weight).alias("weight"))
+    last = F.col("hi") - 1
+    marks = mark(mine, F.col("at"), 1).unionByName(mark(theirs, F.col("lo"), 1)).unionByName(mark(theirs, last, 0))
+    slices = materialize(time_slices(marks, slice_rows), "asof-slices")
+    spot = slices.select("entity", "minute", F.col("slice").alias("s"), F.col("parts").alias("p"))
+    events = (
+        mine.withColumn("minute", _minute(F.col("at")))
+        .join(spot, ["entity", "minute"])
+        .select("observation_id", "entity", "at", F.col("s").alias("slice"), F.pmod(F.xxhash64("observation_id"), F.col("p")).cast("int").alias("part"))
     )
-    bounds = materialize(bounds, "asof-bounds")
-    place = lambda x: F.size(F.filter("b", lambda y: y <= x))
-    asked = asked.join(bounds, "entity", "left").withColumn("slice", F.when(F.col("b").isNotNull(), place(F.col("at"))).otherwise(F.lit(0))).drop("b")
-    cold = offered.join(bounds, "entity", "left_anti")
-    # element k-1 opens slice k, element k closes it; the outer slices are open.
-    spread = (
-        offered.join(bounds, "entity")
-        .withColumn("slice", F.explode(F.sequence(place(F.col("lo")), place(F.col("hi") - 1))))
-        .withColumn("opens", F.coalesce(F.try_element_at("b", F.greatest(F.col("slice"), F.lit(1))), F.lit(-OPEN_END)))
-        .withColumn("opens", F.when(F.col("slice") == 0, F.lit(-OPEN_END)).otherwise(F.col("opens")))
-        .withColumn("closes", F.coalesce(F.try_element_at("b", F.col("slice") + 1), F.lit(OPEN_END)))
-        .withColumn("lo", F.greatest("lo", "opens"))
-        .withColumn("hi", F.least("hi", "closes"))
+    edge = lambda name: slices.select("entity", F.col("minute").alias(f"{name}_minute"), F.col("slice").alias(name), F.col("slices").alias(f"{name}_n"))
+    ranged = (
+        theirs.select("entity", *INTERVAL, _minute(F.col("lo")).alias("a_minute"), _minute(last).alias("b_minute"))
+        .join(edge("a"), ["entity", "a_minute"])
+        .join(edge("b"), ["entity", "b_minute"])
     )
-    whole = (F.col("lo") == F.col("opens")) & (F.col("hi") == F.col("closes"))
-    strongest = (
-        spread.where(whole)
-        .groupBy("entity", "slice")
-        .agg(F.max(F.struct("valid_from", "system_from", "version_id", "lo", "hi")).alias("v"))
-        .select("entity", "slice", *(f"v.{c}" for c in INTERVAL))
+    bounds = materialize(slices.select("entity", "slice", "opens", "closes", "parts", "slices").distinct(), "asof-bounds")
+    opens, closes = (F.coalesce(F.col("opens") * MINUTE, F.lit(-OPEN_END)), F.coalesce(F.col("closes") * MINUTE, F.lit(OPEN_END)))
+    # The first and the last slice of a version are cut; what lies between is covered whole.
+    partly = (
+        ranged.select("entity", *INTERVAL, F.explode(F.array_distinct(F.array("a", "b"))).alias("slice"))
+        .join(bounds, ["entity", "slice"])
+        .withColumns({"lo": F.greatest("lo", opens), "hi": F.least("hi", closes)})
+        .select("entity", "slice", "parts", *INTERVAL)
     )
-    partly = spread.where(~whole).select("entity", "slice", *INTERVAL)
-    return asked, cold.select("entity", "slice", *INTERVAL).unionByName(partly).unionByName(strongest)
+    leaves = lambda n: F.pow(F.lit(2), F.ceil(F.log2(n.cast("double")))).cast("bigint")
+    strong = F.max(F.struct("valid_from", "system_from", "version_id")).alias("v")
+    nodes = (
+        ranged.where("b - a > 1")
+        .select("entity", "valid_from", "system_from", "version_id", F.explode(_tree(F.col("a") + 1, F.col("b"), leaves(F.col("a_n")))).alias("node"))
+        .groupBy("entity", "node")
+        .agg(strong)
+    )
+    above = F.transform(F.sequence(F.lit(0), F.log2(leaves(F.col("slices"))).cast("int")), lambda k: F.floor((F.col("slice") + leaves(F.col("slices"))) / F.pow(F.lit(2), k)).cast("bigint"))
+    whole = (
+        bounds.select("entity", "slice", "parts", opens.alias("lo"), closes.alias("hi"), F.explode(above).alias("node"))
+        .join(nodes, ["entity", "node"])
+        .groupBy("entity", "slice", "parts", "lo", "hi")
+        .agg(F.max("v").alias("v"))
+        .select("entity", "slice", "parts", "lo", "hi", "v.valid_from", "v.system_from", "v.version_id")
+    )
+    cut = partly.unionByName(whole).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    cold_events, cold = asked.join(hot, "entity", "left_anti"), offered.join(hot, "entity", "left_anti")
+    columns = ["entity", "slice", "part", *INTERVAL]
+    return cold_events.unionByName(events), cold.select(*columns).unionByName(cut.select(*columns))
 
 
 def timeline(group: np.ndarray, lo: np.ndarray, hi: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -208,8 +277,3 @@ def _duckdb():
 
 
 _DB = None
-
-
-def observed_day(events: DataFrame) -> DataFrame:
-    """Events with the UTC day they happened on."""
-    return events.withColumn("day", utc_day(F.col("observed_at")))

@@ -42,27 +42,59 @@ def data(seed, rels=6, n=200):
 
 
 @pytest.mark.parametrize("seed", [1, 2, 3])
-@pytest.mark.parametrize("hot", [250_000, 30])
-def test_same_as_brute_force_with_and_without_hot_entities(spark, seed, hot):
+@pytest.mark.parametrize("hot, rows", [(250_000, 50), (30, 20), (30, 3)])
+def test_same_as_brute_force_with_and_without_hot_entities(spark, seed, hot, rows):
     observations, versions = data(seed)
-    got = asof.asof_versions(spark.createDataFrame(observations, O), spark.createDataFrame(versions, V), hot_rows=hot, bucket_rows=50, slices=5)
-    rows = [tuple(x) for x in got.collect()]
-    assert len(rows) == len(set(rows))
-    assert set(rows) == brute(observations, versions)
+    got = asof.asof_versions(spark.createDataFrame(observations, O), spark.createDataFrame(versions, V), hot_rows=hot, bucket_rows=rows)
+    found = [tuple(x) for x in got.collect()]
+    assert len(found) == len(set(found))
+    assert set(found) == brute(observations, versions)
 
 
-def test_hot_slices_do_not_multiply_open_versions(spark):
+def test_slices_follow_the_counted_size_and_open_versions_do_not_multiply(spark):
     """Of versions that cover whole slices one per slice stays: no slice gets all of them."""
     t = dt.datetime(2022, 1, 1, tzinfo=dt.timezone.utc)
     versions = spark.createDataFrame([(v, 1, t.date(), None, t + dt.timedelta(minutes=v), None, "e", 0) for v in range(400)], V)
     observations = spark.createDataFrame([(o, 1, t + dt.timedelta(hours=o), "x") for o in range(400)], O)
     from pyspark.sql import functions as F
 
-    asked = observations.select("observation_id", F.col("relationship_id").alias("entity"), F.unix_micros("observed_at").alias("at"), F.lit(0).alias("slice"))
-    offered = asof.answer_intervals(versions).withColumn("slice", F.lit(0))
-    _, cut = asof._slice_hot(asked, offered, spark.createDataFrame([(1,)], "entity bigint"), 16)
-    assert cut.count() <= 2 * 400 + 16
-    assert asof.asof_versions(observations, versions, hot_rows=10).count() == 400
+    asked = observations.select("observation_id", F.col("relationship_id").alias("entity"), F.unix_micros("observed_at").alias("at"), F.lit(0).alias("slice"), F.lit(0).alias("part"))
+    offered = asof.answer_intervals(versions).withColumns({"slice": F.lit(0), "part": F.lit(0)})
+    for rows in (200, 50, 10):
+        events, cut = asof._slice_hot(asked, offered, spark.createDataFrame([(1,)], "entity bigint"), rows)
+        per = [r.n for r in events.select("slice").unionByName(cut.select("slice")).groupBy("slice").agg(F.count("*").alias("n")).collect()]
+        assert 0.5 * 800 / rows <= len(per) <= 2 * 800 / rows and cut.count() <= 2 * 400 + len(per)
+    assert asof.asof_versions(observations, versions, hot_rows=10, bucket_rows=10).count() == 400
+
+
+def test_events_of_one_instant_are_split(spark):
+    t = dt.datetime(2022, 1, 1, 12, tzinfo=dt.timezone.utc)
+    versions = spark.createDataFrame([(v, 1, t.date(), None, t - dt.timedelta(hours=v), None, "e", 0) for v in range(5)], V)
+    observations = spark.createDataFrame([(o, 1, t, "x") for o in range(300)], O)
+    from pyspark.sql import functions as F
+
+    asked = observations.select("observation_id", F.col("relationship_id").alias("entity"), F.unix_micros("observed_at").alias("at"), F.lit(0).alias("slice"), F.lit(0).alias("part"))
+    offered = asof.answer_intervals(versions).withColumns({"slice": F.lit(0), "part": F.lit(0)})
+    events, _ = asof._slice_hot(asked, offered, spark.createDataFrame([(1,)], "entity bigint"), 10)
+    sizes = [r["count"] for r in events.groupBy("part").count().collect()]
+    assert len(sizes) >= 10 and max(sizes) < 60
+    got = asof.asof_versions(observations, versions, hot_rows=10, bucket_rows=10).collect()
+    assert {(r.observation_id, r.version_id) for r in got} == {(o, 0) for o in range(300)}
+
+
+def test_tree_nodes_cover_a_range_once(spark):
+    from pyspark.sql import functions as F
+
+    cases = [(a, b, n) for n in (1, 2, 8, 16) for a in range(n) for b in range(a, n + 1)]
+    rows = spark.createDataFrame(cases, "a int, b int, n bigint").withColumn("nodes", asof._tree(F.col("a"), F.col("b"), F.col("n"))).collect()
+    for r in rows:
+        leaves = []
+        for node in r.nodes:
+            low = high = node
+            while low < r.n:
+                low, high = 2 * low, 2 * high + 1
+            leaves += range(low - r.n, high - r.n + 1)
+        assert sorted(leaves) == list(range(r.a, r.b)) and len(r.nodes) <= 2 * max(1, int(r.n).bit_length())
 
 
 def test_timeline_matches_painting():
