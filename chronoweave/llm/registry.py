@@ -16,8 +16,9 @@ def p8_containers(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p8_fill(spark: SparkSession, folder: str) -> DataFrame:
-    """Space used per capacity."""
-    return packing.fill_report(p8_containers(spark, folder), table(spark, folder, "pack_sizes"))
+    """Space used and locality per capacity."""
+    sizes = table(spark, folder, "pack_sizes")
+    return packing.fill_report(packing.pack(table(spark, folder, "documents"), sizes, positions=True), sizes)
 
 
 def p9_mixture(spark: SparkSession, folder: str) -> DataFrame:

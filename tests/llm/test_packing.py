@@ -76,8 +76,26 @@ def test_pack_documents(spark):
         assert total == want
         assert {p.doc_id for p in mine if p.container_id is None} == {100, 101}
     assert {p.pack_name for p in packed} == {"a", "b"}
-    report = packing.fill_report(packing.pack(frame, sizes), sizes).where("pack_name = 'b'").first()
-    assert report.filled > 0.9 and report.documents_cut >= 1
+    report = packing.fill_report(packing.pack(frame, sizes, positions=True), sizes).where("pack_name = 'b'").first()
+    assert report.filled > 0.9 and report.documents_cut >= 1 and 0 <= report.locality <= 1
+
+
+def test_any_number_of_capacities(spark):
+    frame = measure.measure(spark.createDataFrame(documents()[:6], D)).cache()
+    sizes = spark.range(1, 1_102).select(F.concat(F.lit("p"), "id").alias("pack_name"), (F.col("id") + 50).alias("capacity_tokens"))
+    total = frame.agg(F.sum("tokens")).first()[0]
+    got = packing.pack_measured(frame, sizes, at_once=500).groupBy("pack_name").agg(F.sum("n_tokens").alias("n")).collect()
+    assert len(got) == 1_101 and {r.n for r in got} == {total}
+
+
+def test_containers_hold_neighbours_at_every_capacity(spark):
+    r = random.Random(4)
+    kinds = [[f"{k}{w}" for w in ("alpha", "beta", "gamma", "delta")] for k in "pqrs"]
+    rows = [(d, " ".join(r.choices(kinds[d % 4], k=r.randint(20, 200))), "s", "", 0, "") for d in range(400)]
+    sizes = spark.createDataFrame([("small", 300), ("large", 3_000)], "pack_name string, capacity_tokens int")
+    measured = measure.measure(spark.createDataFrame(rows, D)).cache()
+    near, far = ({x.pack_name: x.locality for x in packing.fill_report(packing.pack_measured(measured, sizes, w, positions=True), sizes).collect()} for w in (2_000, 10**9))
+    assert near["large"] > 0.6 and near["large"] > far["large"] + 0.2 and near["small"] > 0.6
 
 
 def test_neighbours_on_the_curve_are_alike(spark):
