@@ -47,8 +47,8 @@ def test_shares_repeats_and_budgets(spark):
 
 def test_selection_follows_the_keys(spark):
     frame, targets = spark.createDataFrame(documents(), D), spark.createDataFrame([("big", 1.0, 1, "")], T)
-    mixture, _ = mixing.mix(frame, targets, total_tokens=2_000)
-    taken = {r.doc_id for r in mixture.collect()}
+    taken = {r.doc_id for r in mixing.mix(frame, targets, total_tokens=2_000)[0].collect()}
+    assert taken == {r.doc_id for r in mixing.mix(frame, targets, total_tokens=2_000, bucket_rows=7)[0].collect()}
     keyed = mixing.sampling_keys(measure.measure(frame).where("tokens > 0 and source = 'big'")).orderBy("key").collect()
     upto, want = 0, set()
     for r in keyed:
@@ -56,7 +56,18 @@ def test_selection_follows_the_keys(spark):
             want.add(r.doc_id)
         upto += r.tokens
     assert taken == want
-    assert [r.bucket for r in keyed] == sorted(r.bucket for r in keyed)
+
+
+@pytest.mark.parametrize("quality", [1.0, 0.05, None])
+def test_buckets_are_even_whatever_the_quality(spark, quality):
+    n, rows = 20_000, 250
+    some = F.lit(quality) if quality else F.when(F.col("id") % 3 == 0, 0.05).otherwise(F.pmod(F.xxhash64("id"), F.lit(100)) / 100)
+    keyed = mixing.binned(mixing.sampling_keys(spark.range(n).select(F.col("id").alias("doc_id"), F.lit("s").alias("source"), F.lit(1).alias("tokens"), some.alias("quality"))), n, rows)
+    assert keyed.groupBy("bin").count().agg(F.max("count")).first()[0] <= 1.2 * rows
+    sizes = [r["count"] for r in keyed.join(mixing.key_buckets(keyed, rows), ["source", "bin"]).groupBy("bucket").count().collect()]
+    assert max(sizes) <= 2 * n / len(sizes)
+    order = [r.bucket for r in keyed.join(mixing.key_buckets(keyed, rows), ["source", "bin"]).orderBy("key").collect()]
+    assert order == sorted(order)
 
 
 def test_keys_are_exponential_by_weight(spark):
@@ -67,6 +78,8 @@ def test_keys_are_exponential_by_weight(spark):
 
 
 def test_null_ids_are_documents(spark):
+    draws = mixing.sampling_keys(measure.measure(spark.createDataFrame([(None, "a few words", "big", "", "", ""), (None, "others entirely", "big", "", "", "")], D))).select("key").distinct()
+    assert draws.count() == 2
     rows = [(None, "a few words", "big", "", "", ""), (None, "some more words than that", "big", "", "", ""), (1, "word", "big", "", "", "")]
     mixture, plan = mixing.mix(spark.createDataFrame(rows, D), spark.createDataFrame([("big", 1.0, 1, "")], T))
     assert mixture.count() == 3 and mixing.shares(mixture, plan).first().tokens_used == plan.first().available
