@@ -3,18 +3,21 @@
 Text is cut into words once; every word is brought to a normal form that undoes
 the usual disguises (look-alike letters, digits for letters, repeated letters,
 masks, spaced, dotted or hyphenated spellings) and becomes a number.  All that
-follows is vectorised over the words of a whole batch of documents: seed-word
-densities, distance to a second person or person word, capitals, punctuation,
-disguise rates, and densities of *learned cues* - word sequences whose
-frequency in marked and unmarked documents differs.
+follows is vectorised over the words of a whole batch of documents: densities
+of the seed lexicon, distance to a second-person word and to other people,
+capitals, punctuation, disguise rates, and densities of a *learned lexicon* -
+word sequences whose frequency in marked and unmarked documents differs.
 
 The dense features go to gradient-boosted symmetric trees, their score through
-an isotonic calibration.  Everything is fitted here, on the review labels; cue
-features of the training documents are computed out of fold.
+an isotonic calibration.  Everything is fitted here, on the review labels;
+features of the learned lexicon are computed out of fold for the training
+documents.  The fit does not depend on the order or the partitions in which
+documents come: they are brought to one row per text and sorted by its digest.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 import pickle
 import re
@@ -39,15 +42,16 @@ LOOK_ALIKE = str.maketrans("авсеіјкмнорѕтухԁɡαβερτοικν
 LEET = str.maketrans("013457@$+!", "oieastasti")
 DOUBLED = re.compile(r"(.)\1+")
 
-INSULT, SEXUAL, HOSTILE, PERSON, DISGUISED, CAPITAL, SINGLE = (1 << k for k in range(32, 39))
+INSULT, SEXUAL, HOSTILE, PERSON, DISGUISED, CAPITAL, SINGLE, SECOND = (1 << k for k in range(32, 40))
+EMPHASIS = re.compile(r"[!?]{2,}")
 HASH = (1 << 32) - 1
 WINDOW = 8
 PURE = 3.0
 FEATURES = (
     "cue_window", "cue_second", "cue_best", "cue_total", "cue_count", "cue_negative",
-    "insults", "sexual", "hostile", "seed_window", "person_distance", "disguised_seeds",
+    "insults", "sexual", "hostile", "seed_window", "second_distance", "disguised_seeds",
     "capitals", "exclamations", "disguise_rate", "seed_run", "log_words",
-    "pure_window", "pure_count", "purest", "lowered_beside", "seed_beside",
+    "pure_window", "pure_count", "purest", "lowered_beside", "seed_beside", "emphasis", "person_distance",
 )
 
 
@@ -79,7 +83,7 @@ def normal(word: str) -> tuple[str, bool]:
 
 def _flags() -> dict[str, int]:
     found: dict[str, int] = {}
-    for words, flag in ((lexicon.INSULTS, INSULT), (lexicon.SEXUAL, SEXUAL), (lexicon.HOSTILE, HOSTILE), (lexicon.PEOPLE, PERSON)):
+    for words, flag in ((lexicon.INSULTS, INSULT), (lexicon.SEXUAL, SEXUAL), (lexicon.HOSTILE, HOSTILE), (lexicon.SECOND, SECOND), (lexicon.PEOPLE, PERSON)):
         for w in words:
             form = normal(w)[0]
             found[form] = found.get(form, 0) | flag
@@ -162,7 +166,7 @@ class Words(dict):
 
 
 def encode_texts(texts: Iterable[str | None], words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(codes of all words, offset of each document, exclamation marks of each document)."""
+    """(codes of all words, offset of each document, exclamation marks and emphatic runs of each document)."""
     parts, offsets, marks = [], [0], []
     total = 0
     for text in texts:
@@ -174,9 +178,9 @@ def encode_texts(texts: Iterable[str | None], words: Words) -> tuple[np.ndarray,
         parts.append(codes)
         total += len(codes)
         offsets.append(total)
-        marks.append(text.count("!"))
+        marks.append((text.count("!"), len(EMPHASIS.findall(text)) if "!" in text or "?" in text else 0))
     flat = np.concatenate(parts) if parts else np.zeros(0, dtype=np.int64)
-    return flat, np.asarray(offsets, dtype=np.int64), np.asarray(marks, dtype=np.float64)
+    return flat, np.asarray(offsets, dtype=np.int64), np.asarray(marks, dtype=np.float64).reshape(-1, 2)
 
 
 def _join_spelled(codes: np.ndarray, words: Words) -> np.ndarray:
@@ -262,20 +266,15 @@ class Cues:
         return out
 
 
-def learn_cues(distinct: np.ndarray, owner: np.ndarray, label: np.ndarray, least: int = 3) -> Cues:
-    """Cues from (sequence, document) pairs, each pair once, and the documents' labels.
+def learn_cues(keys: np.ndarray, marked: np.ndarray, seen: np.ndarray, rate: float, least: int = 3) -> Cues:
+    """Cues from sequences, the number of marked documents and of all documents they are in, and the rate of marked ones.
 
     Kept: sequences in at least ``least`` marked documents with clearly raised
     odds, and sequences of many unmarked documents with clearly lowered ones.
     """
-    keys, index = np.unique(distinct, return_inverse=True)
-    bad = np.bincount(index, weights=label[owner], minlength=len(keys))
-    all_ = np.bincount(index, minlength=len(keys))
-    good = all_ - bad
-    rate = min(max(label.mean() if len(label) else 0.5, 1e-3), 1 - 1e-3)
-    prior = math.log(rate / (1 - rate))
-    odds = np.log((bad + 0.3) / (good + 0.7)) - prior
-    keep = ((bad >= least) & (odds > 1.2)) | ((all_ >= 8) & (odds < -1.0))
+    rate = min(max(rate, 1e-3), 1 - 1e-3)
+    odds = np.log((marked + 0.3) / (seen - marked + 0.7)) - math.log(rate / (1 - rate))
+    keep = ((marked >= least) & (odds > 1.2)) | ((seen >= 8) & (odds < -1.0))
     keep &= keys != 0
     return Cues(keys[keep], np.clip(odds[keep], -3, 5))
 
@@ -285,7 +284,7 @@ def dense(codes: np.ndarray, offsets: np.ndarray, marks: np.ndarray, cues: Cues)
     n, docs = len(codes), len(offsets) - 1
     out = np.zeros((docs, len(FEATURES)), dtype=np.float32)
     size = np.diff(offsets)
-    out[:, 10] = 30
+    out[:, [10, 23]] = 30
     if not n or not docs:
         return out
     full = np.flatnonzero(size)
@@ -331,19 +330,21 @@ def dense(codes: np.ndarray, offsets: np.ndarray, marks: np.ndarray, cues: Cues)
     seed = insult | sexual | hostile
     out[:, 6], out[:, 7], out[:, 8] = (total(x.astype(np.float64)) / np.sqrt(words) for x in (insult, sexual, hostile))
     out[:, 9] = most(windowed(seed.astype(np.float64)))
-    person = np.flatnonzero((codes & PERSON) != 0)
     seeds = np.flatnonzero(seed)
-    if len(person) and len(seeds):
-        after = np.searchsorted(person, seeds)
-        gap = np.full(len(seeds), 30)
-        for side in (np.minimum(after, len(person) - 1), np.maximum(after - 1, 0)):
-            distance = np.abs(person[side] - seeds)
-            gap = np.where(owner[person[side]] == owner[seeds], np.minimum(gap, distance), gap)
-        np.minimum.at(out[:, 10], owner[seeds], gap)
+    for column, flag in ((10, SECOND), (23, PERSON)):
+        person = np.flatnonzero((codes & flag) != 0)
+        if len(person) and len(seeds):
+            after = np.searchsorted(person, seeds)
+            gap = np.full(len(seeds), 30)
+            for side in (np.minimum(after, len(person) - 1), np.maximum(after - 1, 0)):
+                distance = np.abs(person[side] - seeds)
+                gap = np.where(owner[person[side]] == owner[seeds], np.minimum(gap, distance), gap)
+            np.minimum.at(out[:, column], owner[seeds], gap)
     hidden = (codes & DISGUISED) != 0
     out[:, 11] = total((seed & hidden).astype(np.float64))
     out[:, 12] = total(((codes & CAPITAL) != 0).astype(np.float64)) / words
-    out[:, 13] = marks / words
+    out[:, 13] = marks[:, 0] / words
+    out[:, 22] = marks[:, 1] / np.sqrt(words)
     out[:, 14] = total(hidden.astype(np.float64)) / words
     run = seed.astype(np.float64)
     for _ in range(2):
@@ -460,81 +461,81 @@ class Model:
         return self.calibration(self.trees.score(dense(codes, offsets, marks, self.cues)))
 
 
-def train(batches: Iterable[tuple[list[str | None], np.ndarray]], folds: int = 5) -> Model:
-    """Fit on batches of (texts, labels between 0 and 1); texts are dropped batch by batch.
-
-    A text that comes again with nearly the same words counts once, so copies
-    cannot make a chance sequence look like a cue.
-    """
+def train(batches: Iterable[tuple[list[str | None], np.ndarray]], folds: int = 4) -> Model:
+    """Fit on batches of (texts, labels between 0 and 1)."""
     words = Words()
-    coded: list[tuple[np.ndarray, float]] = []
-    labels: list[float] = []
-    seen: set[bytes] = set()
+    coded: list[tuple[np.ndarray, np.ndarray, float]] = []
     for texts, y in batches:
         codes, offsets, marks = encode_texts(texts, words)
-        for k in range(len(texts)):
-            own = codes[offsets[k] : offsets[k + 1]]
-            print_ = own[:4000].tobytes()
-            if print_ in seen:
-                continue
-            seen.add(print_)
-            coded.append((own, marks[k]))
-            labels.append(float(y[k]))
-    label = np.asarray(labels)
-    if not len(label):
-        return Model(Cues(np.zeros(0, np.uint64), np.zeros(0)), Trees().fit(np.zeros((0, len(FEATURES))), label), Isotonic(np.zeros(1), np.zeros(1)))
-    hard = (label > 0.5).astype(np.float64)
-    fold = np.arange(len(label)) % folds
-    distinct, owner = _frequent_pairs([c for c, _ in coded])
-
-    def features(rows: np.ndarray, cues: Cues) -> np.ndarray:
+        coded += [(codes[offsets[k] : offsets[k + 1]], marks[k], float(y[k])) for k in range(len(texts))]
+    return train_coded(coded, folds)
+
+
+def train_coded(rows: list[tuple[np.ndarray, np.ndarray, float]], folds: int = 4) -> Model:
+    """Fit on (word codes, punctuation, label) per document.
+
+    Documents with the same words and punctuation count once, with the mean of
+    their labels, so copies cannot make a chance sequence look like a cue;
+    where the marks of copies balance out there is no label, and the text is
+    left out.  Folds go by the digest of a text and rows are sorted by it, so
+    the order in which documents come does not matter.
+    """
+    texts: dict[bytes, tuple[np.ndarray, np.ndarray, list[float]]] = {}
+    for codes, marks, y in rows:
+        digest = hashlib.blake2b(codes.tobytes() + marks.tobytes(), digest_size=16).digest()
+        texts.setdefault(digest, (codes, marks, []))[2].append(y)
+    one = {d: (c, m, sum(sorted(y)) / len(y)) for d, (c, m, y) in sorted(texts.items())}
+    one = {d: row for d, row in one.items() if row[2] != 0.5}
+    if not one:
+        return Model(Cues(np.zeros(0, np.uint64), np.zeros(0)), Trees().fit(np.zeros((0, len(FEATURES))), np.zeros(0)), Isotonic(np.zeros(1), np.zeros(1)))
+    coded = list(one.values())
+    hard = np.array([float(y > 0.5) for *_, y in coded])
+    fold = np.array([int.from_bytes(d[:4], "big") % folds for d in one])
+
+    def features(which: np.ndarray, cues: Cues) -> np.ndarray:
         found = [np.zeros((0, len(FEATURES)), np.float32)]
-        for k in range(0, len(rows), 256):
-            part = [coded[r] for r in rows[k : k + 256]]
-            offsets = np.r_[0, np.cumsum([len(c) for c, _ in part])]
-            found.append(dense(np.concatenate([c for c, _ in part]), offsets, np.array([m for _, m in part]), cues))
+        for k in range(0, len(which), 256):
+            part = [coded[r] for r in which[k : k + 256]]
+            offsets = np.r_[0, np.cumsum([len(c) for c, *_ in part])]
+            found.append(dense(np.concatenate([c for c, *_ in part]), offsets, np.array([m for _, m, _ in part]), cues))
         return np.concatenate(found)
 
-    x = np.zeros((len(label), len(FEATURES)), dtype=np.float32)
+    keys, marked, seen = count_sequences([c for c, *_ in coded], hard, fold, folds)
+    x = np.zeros((len(hard), len(FEATURES)), dtype=np.float32)
+    held_out = np.zeros(len(hard))
     for f in range(folds):
-        inside = fold[owner] != f
-        index = np.cumsum(fold != f) - 1
-        cues = learn_cues(distinct[inside], index[owner[inside]], hard[fold != f])
-        rows = np.flatnonzero(fold == f)
-        x[rows] = features(rows, cues)
-    held_out = np.zeros(len(label))
+        inside = fold != f
+        cues = learn_cues(keys, marked.sum(1) - marked[:, f], seen.sum(1) - seen[:, f], hard[inside].mean() if inside.any() else 0.5)
+        x[~inside] = features(np.flatnonzero(~inside), cues)
     for f in range(folds):
         if (fold == f).any():
             held_out[fold == f] = Trees().fit(x[fold != f], hard[fold != f]).score(x[fold == f])
-    model = Model(learn_cues(distinct, owner, hard), Trees().fit(x, hard), Isotonic(held_out, hard))
+    model = Model(learn_cues(keys, marked.sum(1), seen.sum(1), hard.mean()), Trees().fit(x, hard), Isotonic(held_out, hard))
     model.held_out = (held_out, hard)
     return model
 
 
-def _frequent_pairs(documents: list[np.ndarray], least: int = 3) -> tuple[np.ndarray, np.ndarray]:
-    """(sequence, document) pairs, each once, of the sequences in at least ``least`` documents.
+def count_sequences(documents: list[np.ndarray], label: np.ndarray, fold: np.ndarray, folds: int, least: int = 3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sequences, marked documents, all documents): per sequence in at least ``least`` documents, counts by fold.
 
-    A first pass counts documents per hash slot, so that sequences too rare to
-    become cues are never held in memory.
+    Documents are first counted per hash slot, so that sequences too rare to
+    become cues are never brought together.
     """
-    bits = 24
-    shift = np.uint64(64 - bits)
-    counts = np.zeros(1 << bits, dtype=np.uint8)
-    own = lambda c: np.unique(np.concatenate(grams(c, np.array([0, len(c)]))))
-    for codes in documents:
-        slot = np.unique(own(codes) >> shift)
-        counts[slot] = np.minimum(counts[slot], 254) + 1
-    keys, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-    for k, codes in enumerate(documents):
-        u = own(codes)
-        u = u[counts[u >> shift] >= least]
-        keys.append(u)
-        owners.append(np.full(len(u), k, dtype=np.int64))
-    return np.concatenate(keys), np.concatenate(owners)
-
-
-def labelled(documents: DataFrame, labels: DataFrame, max_documents: int = 20_000) -> DataFrame:
-    """(doc_id, text, label): documents with marks, at most ``max_documents``, chosen by a hash of the id.
+    shift = np.uint64(64 - 22)
+    own = [np.unique(np.concatenate(grams(c, np.array([0, len(c)])))) for c in documents]
+    slots = np.zeros(1 << 22, dtype=np.uint16)
+    for u in own:
+        slots[np.unique(u >> shift)] += 1
+    kept = [u[slots[u >> shift] >= least] for u in own]
+    place = np.repeat(np.arange(len(kept)), [len(u) for u in kept])
+    keys, index = np.unique(np.concatenate(kept) if kept else np.zeros(0, np.uint64), return_inverse=True)
+    cell = index * folds + fold[place]
+    count = lambda weights: np.bincount(cell, weights=weights, minlength=len(keys) * folds).reshape(-1, folds)
+    return keys, count(label[place]), count(None)
+
+
+def labelled(documents: DataFrame, labels: DataFrame, max_documents: int = 8_000) -> DataFrame:
+    """(doc_id, text, label): the training sample, at most ``max_documents`` of the marked documents, chosen by a hash of the id.
 
     Marks of one document are averaged; NULL marks are ignored; documents whose
     marks balance out are left out.
@@ -550,21 +551,39 @@ def labelled(documents: DataFrame, labels: DataFrame, max_documents: int = 20_00
     return documents.select("doc_id", "text").join(F.broadcast(marks), "doc_id")
 
 
-def fit(documents: DataFrame, labels: DataFrame, max_documents: int = 20_000) -> bytes:
-    """Train on the bounded sample, in one task; only the finished model comes to the driver."""
+def fit(documents: DataFrame, labels: DataFrame, max_documents: int = 8_000, max_characters: int = 100_000_000) -> bytes:
+    """Train on a sample bounded in documents and characters; only the finished model comes to the driver.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def parts():
-            for b in batches:
-                yield b.column("text").to_pylist(), b.column("label").to_numpy(zero_copy_only=False)
+    Texts are turned into word codes where they lie; the codes of the sample
+    meet in one task, in the order of a hash of their id, and that task takes
+    documents until they have ``max_characters`` together.
+    """
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words()
+        for b in batches:
+            for k in range(0, b.num_rows, 256):
+                part = b.slice(k, 256)
+                codes, offsets, marks = encode_texts(part.column("text").to_pylist(), words)
+                own = [codes[offsets[i] : offsets[i + 1]].tobytes() for i in range(part.num_rows)]
+                size = [len(t or "") for t in part.column("text").to_pylist()]
+                columns = [part.column("doc_id"), pa.array(size, pa.int64()), pa.array(own, pa.binary()), pa.array([m.tobytes() for m in marks], pa.binary()), part.column("label")]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "size", "codes", "marks", "label"])
 
-        model = train(parts())
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, left = [], max_characters
+        for row in (r for b in batches for r in b.to_pylist()):
+            left -= row["size"]
+            if left < 0:
+                break
+            rows.append((np.frombuffer(row["codes"], dtype=np.int64), np.frombuffer(row["marks"], dtype=np.float64), row["label"]))
+        model = train_coded(rows)
         model.held_out = None
         yield pa.RecordBatch.from_pydict({"model": [pickle.dumps(model)]})
 
     ship_package(documents.sparkSession)
-    sample = labelled(documents, labels, max_documents).select("text", "label")
-    row = sample.repartition(1).mapInArrow(run, "model binary").first()
+    coded = labelled(documents, labels, max_documents).mapInArrow(encode, "doc_id bigint, size bigint, codes binary, marks binary, label double")
+    row = coded.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id").mapInArrow(run, "model binary").first()
     # No marks, no task: the model of nothing gives every text the score 0.
     return pickle.dumps(train([])) if row is None else bytes(row["model"])
 

@@ -32,9 +32,13 @@ disappear ashamed raised birth hurt regret bury grave
 basura ungeziefer raus larguen fremden extranjeros ratten abschaum parasiten vermine ordure
 """.split()
 
-# Words for the person or group spoken of.
+# Words for the person spoken to.
+SECOND = """
+you your yours yourself u ur du dich dir dein deine sie ihr tu te toi ton vous eres tú ti tuo
+""".split()
+
+# Words for other people and groups spoken of.
 PEOPLE = """
-you your yours yourself u ur du dich dir dein deine sie ihr tu te toi ton vous eres tú sei ti tuo
-he she his her him they them their people women men girls guys boy foreigners immigrants faith
-maintainer reviewer intern tester operator boss secretary customer hire guy team mother family everyone nobody
+he she his her him they them their people women men girls guys guy boy sei foreigners immigrants faith
+maintainer reviewer intern boss team mother family everyone nobody
 """.split()

@@ -8,26 +8,32 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronoweave.llm import abuse, mixing, packing
+from chronoweave.llm.measure import TOKENIZER
 from chronoweave.sources.tables import table
 
 
+def _tokenizer(spark: SparkSession) -> str:
+    """Path of the vocabulary: a setting of the session, by default that of the public vocabularies."""
+    return spark.conf.get("spark.chronoweave.tokenizer", TOKENIZER)
+
+
 def p8_containers(spark: SparkSession, folder: str) -> DataFrame:
-    return packing.pack(table(spark, folder, "documents"), table(spark, folder, "pack_sizes"))
+    return packing.pack(table(spark, folder, "documents"), table(spark, folder, "pack_sizes"), _tokenizer(spark))
 
 
 def p8_fill(spark: SparkSession, folder: str) -> DataFrame:
     """Space used and locality per capacity."""
     sizes = table(spark, folder, "pack_sizes")
-    return packing.fill_report(packing.pack(table(spark, folder, "documents"), sizes, positions=True), sizes)
+    return packing.fill_report(packing.pack(table(spark, folder, "documents"), sizes, _tokenizer(spark), positions=True), sizes)
 
 
 def p9_mixture(spark: SparkSession, folder: str) -> DataFrame:
-    return mixing.mix(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))[0]
+    return mixing.mix(table(spark, folder, "documents"), table(spark, folder, "mix_targets"), _tokenizer(spark))[0]
 
 
 def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
     """Target and actual share per source."""
-    return mixing.shares(*mixing.mix(table(spark, folder, "documents"), table(spark, folder, "mix_targets")))
+    return mixing.shares(*mixing.mix(table(spark, folder, "documents"), table(spark, folder, "mix_targets"), _tokenizer(spark)))
 
 
 def _scored(spark: SparkSession, folder: str) -> DataFrame:

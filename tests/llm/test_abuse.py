@@ -1,7 +1,9 @@
+import pickle
 import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 pytest.importorskip("chronoweave.llm")
 from chronoweave.llm import abuse  # noqa: E402
@@ -26,27 +28,25 @@ def test_seed_words_are_found_in_any_spelling(text):
 def test_offsets_features_and_odd_texts():
     texts = [None, "", "   ", "!!! 123", "a" * 200_000, "x y z " * 50_000, "you moron, fuck off", "😀".encode("utf-16", "surrogatepass").decode("utf-16"), "plain words here"]
     codes, offsets, marks = abuse.encode_texts(texts, abuse.Words())
-    assert len(offsets) == len(texts) + 1 and offsets[-1] == len(codes) and marks[3] == 3
+    assert len(offsets) == len(texts) + 1 and offsets[-1] == len(codes) and marks[3].tolist() == [3, 1]
     x = abuse.dense(codes, offsets, marks, abuse.Cues(np.zeros(0, np.uint64), np.zeros(0)))
     assert x.shape == (len(texts), len(abuse.FEATURES)) and np.isfinite(x).all()
     k = abuse.FEATURES.index
-    assert x[6, k("insults")] > 0 and x[6, k("sexual")] > 0 and x[6, k("person_distance")] == 1 and x[8, k("insults")] == 0
+    assert x[6, k("insults")] > 0 and x[6, k("sexual")] > 0 and x[6, k("second_distance")] == 1 and x[6, k("person_distance")] == 30 and x[8, k("insults")] == 0 and x[3, k("emphasis")] > 0
 
 
 def test_features_of_a_document_do_not_depend_on_its_batch():
     texts = ["you moron", "the quick brown fox", "sell porn now", "", "word " * 30]
-    cues = abuse.learn_cues(*_pairs(texts * 5), np.array([1, 0, 1, 0, 0] * 5, dtype=float))
+    label = np.array([1, 0, 1, 0, 0] * 5, dtype=float)
+    words = abuse.Words()
+    keys, marked, seen = abuse.count_sequences([abuse.encode_texts([t], words)[0] for t in texts * 5], label, np.arange(25) % 2, 2)
+    cues = abuse.learn_cues(keys, marked.sum(1), seen.sum(1), label.mean())
     whole = abuse.dense(*abuse.encode_texts(texts, abuse.Words()), cues)
     single = np.concatenate([abuse.dense(*abuse.encode_texts([t], abuse.Words()), cues) for t in texts])
     assert np.allclose(whole, single, atol=1e-5)
     assert whole[0, 0] > whole[1, 0]
 
 
-def _pairs(texts):
-    words = abuse.Words()
-    return abuse._frequent_pairs([abuse.encode_texts([t], words)[0] for t in texts])
-
-
 def test_trees_and_calibration():
     r = np.random.default_rng(1)
     x = r.normal(size=(1500, 4)).astype(np.float32)
@@ -106,6 +106,40 @@ def test_held_out_accuracy_on_review_marks(spark):
     assert (found & truth).sum() / truth.sum() > 0.5
 
 
+def test_order_and_batches_do_not_change_the_model():
+    texts, y = planted(400, 5)
+    r = np.random.default_rng(1)
+    want = abuse.train([(texts, y)]).score(texts)
+    for _ in range(2):
+        p = r.permutation(len(texts))
+        shuffled = [texts[k] for k in p]
+        model = abuse.train([(shuffled[:150], y[p][:150]), (shuffled[150:], y[p][150:])])
+        assert np.array_equal(model.score(texts), want)
+
+
+def test_copies_count_once_and_only_whole_texts_are_copies():
+    start = " ".join(f"word{k}" for k in range(5000))
+    seen = []
+    original, abuse.count_sequences = abuse.count_sequences, lambda docs, *a: (seen.append(len(docs)), original(docs, *a))[1]
+    try:
+        # Alike for 5,000 words and different after; then copies, and copies with opposite marks.
+        abuse.train([([start, f"{start} you moron", start, "plain", "odd one", "odd one"], np.array([0.0, 1, 0, 0, 1, 0]))])
+    finally:
+        abuse.count_sequences = original
+    assert seen == [3]
+
+
+def test_sample_is_bounded_in_documents_and_characters(spark):
+    texts, y = planted(60, 6)
+    documents = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").withColumn("source", F.lit("s"))
+    labels = spark.createDataFrame([(k, int(v), "r") for k, v in enumerate(y)], "doc_id bigint, abusive int, reviewer string")
+    assert abuse.labelled(documents, labels, 20).count() == 20
+    small = pickle.loads(abuse.fit(documents, labels, max_characters=0))
+    assert np.ptp(small.score(texts)) == 0
+    one, other = (abuse.fit(documents.repartition(n), labels.repartition(n)) for n in (1, 5))
+    assert np.array_equal(pickle.loads(one).score(texts), pickle.loads(other).score(texts))
+
+
 def test_operator(spark):
     texts, y = planted(300, 4)
     documents = spark.createDataFrame([(k, t, "a" if k % 2 else None, "x") for k, t in enumerate(texts)] + [(900, None, "a", "x"), (901, "", "b", "x"), (None, "you are a pathetic moron", "c", "x")], "doc_id bigint, text string, source string, score string")
