@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-SCHEMA_VERSION = 2
+SCHEMA_VERSION = 3
 
 SOURCE_RECORD = T.StructType(
     [
@@ -45,8 +45,14 @@ VERSIONS = T.StructType(
         T.StructField("system_to", T.TimestampType()),
         T.StructField("last_confirmed", T.DateType()),
         T.StructField("confidence", T.DoubleType()),
+        T.StructField("properties", T.StringType()),
+        T.StructField("assertion_ids", T.ArrayType(T.LongType())),
     ]
 )
 
+#: A stored table of versions: also the seq of the event that opened each (0 if a dump
+#: did) and whether later events of its triple go on from it.
+BASE = T.StructType([*VERSIONS.fields, T.StructField("opened", T.LongType()), T.StructField("anchor", T.BooleanType())])
+
 #: One fact per line of a dump.
 FACTS = T.StructType([f for f in VERSIONS.fields if f.name in ("subject_id", "predicate", "object_id", "valid_from", "valid_to", "confidence")])

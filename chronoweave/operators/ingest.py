@@ -7,25 +7,43 @@ events and the tables are a deterministic function of the log.
 * A *retract* closes the open one on its day.
 * A *sync* states all objects of a subject and predicate: it opens and confirms
   those it lists and closes the others at their last confirmation.
+
+A fold may start from a stored table of versions (``model.BASE``): a dump that
+was restored, or the log folded so far.  One version per triple, the *anchor*,
+is what later events go on from, and only triples that the new events touch
+are folded at all.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from chronoweave.errors import ValidationError
+from chronoweave.model import BASE, EVENTS
+from chronoweave.sources.scratch import materialize
 
 TRIPLE = ["subject_id", "predicate", "object_id"]
-#: Versions opened by one event are numbered within it; ids stay unique and grow with the log.
+LINE = ["subject_id", "predicate"]
+#: A version opened by an event has the id ``seq << SEQ_SHIFT | place in the event``.  A sync
+#: with more objects than that leaves room for takes several numbers (``extra_seqs``), so ids
+#: stay unique and grow with the log.
 SEQ_SHIFT = 20
 
 
+def extra_seqs(objects: Column) -> Column:
+    """How many numbers after its own a sync needs for the ids of its objects."""
+    return F.floor((F.greatest(F.coalesce(F.size(objects), F.lit(1)), F.lit(1)) - 1) / (1 << SEQ_SHIFT)).cast("bigint")
+
+
 def split_events(events: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(good, bad): events with a usable subject, predicate, object and day, and the rest with a reason."""
     bad_text = lambda c: F.col(c).isNull() | (F.length(c) == 0) | F.contains(F.col(c), F.lit("\0"))
     reason = (
-        F.when(~F.col("op").isin("assert", "retract", "sync"), "unknown op")
+        F.when(~F.coalesce(F.col("op").isin("assert", "retract", "sync"), F.lit(False)), "unknown op")
+        .when(F.col("seq").isNull(), "no seq")
         .when(bad_text("subject_id"), "bad subject")
         .when(bad_text("predicate"), "bad predicate")
         .when((F.col("op") != "sync") & bad_text("object_id"), "bad object")
@@ -36,78 +54,196 @@ def split_events(events: DataFrame) -> tuple[DataFrame, DataFrame]:
     return marked.where("reason is null").drop("reason"), marked.where("reason is not null")
 
 
+def assertion_id(seq: Column, obj: Column, place: Column) -> Column:
+    return F.xxhash64(seq, obj, place)
+
+
 def touches(events: DataFrame) -> DataFrame:
-    """(subject_id, predicate, object_id, seq, ord, day, confidence, recorded_at): every object asserted or listed."""
+    """(triple, seq, ord, day, confidence, recorded_at, cites): every object asserted or listed, with the ids of its assertions."""
     confidence = lambda c: F.nanvl(c, F.lit(None).cast("double"))
-    asserted = events.where("op = 'assert'").select(*TRIPLE, "seq", F.lit(0).alias("ord"), "day", confidence(F.col("confidence")).alias("confidence"), "recorded_at")
-    listed = events.where("op = 'sync'").select(
-        "subject_id", "predicate", "seq", "day", "recorded_at", F.posexplode(F.array_sort(F.map_entries("objects"))).alias("ord", "entry")
-    )
-    return asserted.unionByName(
-        listed.select("subject_id", "predicate", F.col("entry.key").alias("object_id"), "seq", "ord", "day", confidence(F.col("entry.value")).alias("confidence"), "recorded_at")
+
+    def cites(given: Column) -> Column:
+        ids = F.transform(given, lambda x, k: F.when(x["url"].isNotNull(), assertion_id(F.col("seq"), F.col("object_id"), k)))
+        return F.coalesce(F.array_compact(ids), F.array().cast("array<bigint>")).alias("cites")
+
+    asserted = events.where("op = 'assert'").select(*TRIPLE, "seq", F.lit(0).alias("ord"), "day", confidence(F.col("confidence")).alias("confidence"), "recorded_at", cites(F.col("sources")))
+    listed = (
+        events.where("op = 'sync'")
+        .select(*LINE, "seq", "day", "recorded_at", "object_sources", F.posexplode(F.array_sort(F.map_entries("objects"))).alias("ord", "entry"))
+        .withColumn("object_id", F.col("entry.key"))
+        .select(*TRIPLE, "seq", "ord", "day", confidence(F.col("entry.value")).alias("confidence"), "recorded_at", cites(F.try_element_at("object_sources", F.col("object_id"))))
     )
+    return asserted.unionByName(listed)
 
 
-def _implicit_closes(events: DataFrame, touched: DataFrame) -> DataFrame:
-    """(triple, seq, recorded_at): the next sync of a subject and predicate that leaves a touched object out.
+def _next_syncs(events: DataFrame, touched: DataFrame, salts: int = 8) -> DataFrame:
+    """(triple, seq, recorded_at): per touch the next sync of its subject and predicate.
 
-    One candidate per touch, so this never grows to objects times snapshots.
-    A sync that lists the object comes out as well and is removed again: its
-    own touch has the same seq.
+    One candidate per touch, so this never grows to objects times snapshots; a
+    sync that lists the object comes out as well, and the fold sees that its own
+    touch has the same seq.  The marks of syncs are copied to ``salts`` of the
+    object, so that a subject with many objects is more than one group.
     """
-    later = Window.partitionBy("subject_id", "predicate").orderBy("seq").rangeBetween(1, Window.unboundedFollowing)
-    marks = events.where("op = 'sync'").select("subject_id", "predicate", "seq", "recorded_at", F.lit(None).cast("string").alias("object_id"), F.lit(True).alias("is_sync"))
-    both = touched.select("subject_id", "predicate", "seq", "recorded_at", "object_id", F.lit(False).alias("is_sync")).unionByName(marks)
-    following = both.withColumn(
-        # A sync's own marker shares its seq with the objects it lists, hence the strict comparison below.
-        "next", F.min(F.when(F.col("is_sync"), F.struct("seq", "recorded_at"))).over(later)
-    )
-    closes = following.where("not is_sync and next is not null").select(*TRIPLE, "next.seq", "next.recorded_at").distinct()
-    return closes.join(touched.select(*TRIPLE, "seq"), [*TRIPLE, "seq"], "left_anti")
+    salt = F.pmod(F.xxhash64("object_id"), F.lit(salts)).cast("int").alias("salt")
+    marks = events.where("op = 'sync'").select(*LINE, "seq", "recorded_at", F.lit(None).cast("string").alias("object_id"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    later = Window.partitionBy(*LINE, "salt").orderBy("seq").rangeBetween(1, Window.unboundedFollowing)
+    both = touched.select(*LINE, "seq", "recorded_at", "object_id", salt).unionByName(marks)
+    following = both.withColumn("next", F.min(F.when(F.col("object_id").isNull(), F.struct("seq", "recorded_at"))).over(later))
+    return following.where("object_id is not null and next is not null").select(*TRIPLE, "next.seq", "next.recorded_at")
+
 
+HELD = "struct<version_id:bigint,relationship_id:bigint,opened:bigint,properties:string>"
 
-def fold(events: DataFrame) -> DataFrame:
-    """Versions of a log, with ``invalid`` set where a retract lies before the start.
 
-    version_id is ``seq << 20 | place in the event`` of the opening;
-    relationship_id is the version_id of the triple's first version.
+def _islands(events: DataFrame, base: DataFrame | None, syncs: bool) -> DataFrame:
+    """(triple, island, touched, first, last_confirmed, confidence, cites, end, rel): what lies between two closings.
+
+    ``base``: the anchors that the events go on from; open ones come first, as
+    touches, closed ones only name their relationship.
     """
-    touched = touches(events)
-    retracts = events.where("op = 'retract'").select(*TRIPLE, "seq", "recorded_at", "day")
     none = lambda kind, name: F.lit(None).cast(kind).alias(name)
-    rows = (
-        touched.select(*TRIPLE, "seq", "recorded_at", "ord", "day", "confidence", F.lit("touch").alias("what"))
-        .unionByName(retracts.select(*TRIPLE, "seq", "recorded_at", none("int", "ord"), "day", none("double", "confidence"), F.lit("retract").alias("what")))
-        .unionByName(_implicit_closes(events, touched).select(*TRIPLE, "seq", "recorded_at", none("int", "ord"), none("date", "day"), none("double", "confidence"), F.lit("missing").alias("what")))
-    )
-    triple = Window.partitionBy(*TRIPLE)
-    before = triple.orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    closing = F.col("what") != "touch"
+    touched = touches(events).withColumns({"confirmed": F.col("day"), "held": F.lit(None).cast(HELD)})
+    known = None
+    if base is not None:
+        held = F.struct("version_id", "relationship_id", "opened", "properties").alias("held")
+        open_ = base.where("valid_to is null").select(
+            *TRIPLE, F.lit(0).cast("bigint").alias("seq"), F.lit(0).alias("ord"), F.col("valid_from").alias("day"), "confidence", F.col("system_from").alias("recorded_at"),
+            F.coalesce("assertion_ids", F.array().cast("array<bigint>")).alias("cites"), F.coalesce("last_confirmed", "valid_from").alias("confirmed"), held,
+        )
+        touched = touched.unionByName(open_)
+        known = base.where("valid_to is not null").select(*TRIPLE, F.lit(0).cast("bigint").alias("seq"), held)
+    more = [none("int", "ord"), none("date", "confirmed"), none("double", "confidence"), none("array<bigint>", "cites"), none(HELD, "held")]
+    retracts = events.where("op = 'retract'").select(*TRIPLE, "seq", "recorded_at", "day", *more, F.lit("retract").alias("what"))
+    rows = touched.withColumn("what", F.lit("touch")).unionByName(retracts)
+    if syncs:
+        rows = rows.unionByName(_next_syncs(events, touched).select(*TRIPLE, "seq", "recorded_at", none("date", "day"), *more, F.lit("missing").alias("what")))
+    if known is not None:
+        rows = rows.unionByName(known.select(*TRIPLE, "seq", none("timestamp", "recorded_at"), none("date", "day"), *more[:-1], "held", F.lit("known").alias("what")))
     touch = F.col("what") == "touch"
-    first = F.min_by(F.struct("day", "recorded_at", "seq", "ord"), F.when(touch, F.col("seq")))
-    last = F.max(F.when(touch, F.col("day")))
-    end = F.max(F.when(closing, F.struct("seq", "what", "day", "recorded_at")))
-    islands = (
-        rows.withColumn("island", F.coalesce(F.sum(closing.cast("int")).over(before), F.lit(0)))
+    line = Window.partitionBy(*TRIPLE).orderBy("seq", F.col("what") != "touch")
+    # A sync closes what it does not list; one that lists the object has a touch of the same seq right before.
+    closing = F.col("what") == "retract"
+    if syncs:
+        listed = F.max(F.when(touch, F.col("seq"))).over(line.rowsBetween(Window.unboundedPreceding, 0))
+        rows = rows.withColumn("listed", listed)
+        closing = closing | ((F.col("what") == "missing") & ~F.coalesce(F.col("listed") == F.col("seq"), F.lit(False)))
+    first = F.min_by(F.struct("day", "recorded_at", "seq", "ord", "held"), F.when(touch, F.col("seq")))
+    end = F.max(F.when(F.col("closing"), F.struct("seq", "what", "day", "recorded_at")))
+    cites = F.flatten(F.transform(F.array_sort(F.collect_list(F.when(touch, F.struct("seq", "cites")))), lambda x: x["cites"]))
+    return (
+        rows.withColumn("closing", closing)
+        .withColumn("island", F.coalesce(F.sum(F.col("closing").cast("int")).over(line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
         .groupBy(*TRIPLE, "island")
         .agg(
-            F.max(touch).alias("touched"), first.alias("first"), last.alias("last_confirmed"),
-            F.max_by("confidence", F.when(touch & F.col("confidence").isNotNull(), F.col("seq"))).alias("confidence"), end.alias("end"),
+            F.max(touch).alias("touched"), first.alias("first"), F.max(F.when(touch, F.col("confirmed"))).alias("last_confirmed"),
+            F.max_by("confidence", F.when(touch & F.col("confidence").isNotNull(), F.col("seq"))).alias("confidence"),
+            cites.alias("cites"), end.alias("end"), F.max("held.relationship_id").alias("rel"),
         )
-        .where("touched")
     )
-    version = F.shiftleft(F.col("first.seq"), SEQ_SHIFT) + F.col("first.ord")
+
+
+def fold(events: DataFrame, base: DataFrame | None = None, syncs: bool = True) -> DataFrame:
+    """Versions (``model.BASE``) of a log without inverted retracts (``inverted_retracts``).
+
+    ``base`` holds the anchors of triples; ``syncs`` may be False for a log that
+    is known to have none, which saves their part of the plan.
+    """
+    triple = Window.partitionBy(*TRIPLE)
+    islands = _islands(events, base, syncs)
+    version = F.coalesce("first.held.version_id", F.shiftleft(F.col("first.seq"), SEQ_SHIFT) + F.col("first.ord"))
     valid_to = F.when(F.col("end.what") == "retract", F.col("end.day")).when(F.col("end.what") == "missing", F.col("last_confirmed"))
-    return islands.select(
-        version.alias("version_id"), F.min(version).over(triple).alias("relationship_id"), *TRIPLE,
-        F.col("first.day").alias("valid_from"), valid_to.alias("valid_to"), F.col("first.recorded_at").alias("system_from"),
-        F.col("end.recorded_at").alias("system_to"), "last_confirmed", "confidence", F.coalesce(valid_to < F.col("first.day"), F.lit(False)).alias("invalid"),
+    own = F.when(F.col("touched"), version)
+    return (
+        islands.withColumns({"version_id": own, "relationship_id": F.coalesce(F.max("rel").over(triple), F.min(own).over(triple)), "newest": F.max(F.when(F.col("touched"), F.col("island"))).over(triple)})
+        .where("touched")
+        .select(
+            "version_id", "relationship_id", *TRIPLE, F.col("first.day").alias("valid_from"), valid_to.alias("valid_to"), F.col("first.recorded_at").alias("system_from"),
+            F.col("end.recorded_at").alias("system_to"), "last_confirmed", "confidence", F.coalesce("first.held.properties", F.lit("{}")).alias("properties"),
+            F.col("cites").alias("assertion_ids"), F.coalesce("first.held.opened", "first.seq").alias("opened"), (F.col("island") == F.col("newest")).alias("anchor"),
+        )
     )
 
 
-def folded_versions(events: DataFrame) -> DataFrame:
-    """The valid versions of a log."""
-    return fold(events).where("not invalid").drop("invalid")
+def fold_onto(base: DataFrame, events: DataFrame, syncs: bool = True) -> DataFrame:
+    """``base`` (``model.BASE``) brought up to date by later events; triples that they do not touch pass unchanged."""
+    lines = events.select(*LINE).distinct()
+    touched, rest = base.join(lines, LINE, "left_semi"), base.join(lines, LINE, "left_anti")
+    goes_on = F.col("anchor") & F.col("valid_to").isNull()
+    folded = fold(events, touched.where("anchor"), syncs)
+    names = BASE.names
+    return rest.select(*names).unionByName(touched.where(~goes_on).select(*names)).unionByName(folded.select(*names))
+
+
+def folded_versions(events: DataFrame, syncs: bool = True) -> DataFrame:
+    """The versions of any log; retracts before the start of what they would close are left out and change nothing."""
+    bad = inverted_retracts(events, syncs=syncs)
+    return fold(events.join(bad.select(*TRIPLE, "seq"), [*TRIPLE, "seq"], "left_anti"), syncs=syncs)
+
+
+def inverted_retracts(events: DataFrame, base: DataFrame | None = None, syncs: bool = True) -> DataFrame:
+    """(triple, seq, day, valid_from) of the retracts that lie before the start of what is open then.
+
+    Whether one is inverted depends on which closings before it took effect, so
+    it can only be told in order.  Islands are made as if every retract closed;
+    triples none of whose islands ends before its start - all, in a clean log -
+    are right as they are.  The islands of the others are sorted and a task goes
+    through those of its partition, one after the other, remembering one start.
+    """
+    islands = _islands(events, base, syncs).select(*TRIPLE, "island", F.col("first.day").alias("start"), F.col("end.what").alias("what"), F.col("end.seq").alias("seq"), F.col("end.day").alias("day"))
+    suspect = F.max((F.col("what") == "retract") & (F.col("day") < F.col("start"))).over(Window.partitionBy(*TRIPLE))
+    doubtful = islands.withColumn("suspect", suspect).where("suspect").drop("suspect").repartition(*TRIPLE).sortWithinPartitions(*TRIPLE, "island")
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, start = None, None
+        for part in parts:
+            found = []
+            for s, p, o, begins, what, seq, day in zip(*(part[c] for c in (*TRIPLE, "start", "what", "seq", "day"))):
+                if (s, p, o) != key:
+                    key, start = (s, p, o), None
+                if start is None and begins is not None:
+                    start = begins
+                if what == "missing":
+                    start = None
+                elif what == "retract" and start is not None:
+                    if day < start:
+                        found.append((s, p, o, int(seq), day, start))
+                    else:
+                        start = None
+            yield pd.DataFrame(found, columns=[*TRIPLE, "seq", "day", "valid_from"])
+
+    return doubtful.mapInPandas(run, "subject_id string, predicate string, object_id string, seq bigint, day date, valid_from date")
+
+
+def read_events(spark: SparkSession, path: str) -> DataFrame:
+    """A log of JSON lines as ``model.EVENTS``: op, s, p, o, d, c, objects, sources; numbered in the order of files and lines.
+
+    Sources are given as objects or bare urls, in a list for an assert and in a
+    list per object for a sync.  Lines that are no such event come out with
+    NULLs, for ``split_events`` to find.
+    """
+    record = EVENTS["sources"].dataType.elementType
+    fields = "op string, s string, p string, o string, d string, c double, objects map<string,double>, sources string"
+    lines = materialize(
+        spark.read.text(path).select(
+            "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id")
+        ),
+        "event-lines",
+    )
+    # The rows of a block are numbered without gaps; blocks, as many as the files have splits, are added up in order.
+    blocks = lines.groupBy("file", "block").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = blocks.select("file", "block", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    given = lambda text: F.transform(
+        F.from_json(text, "array<string>"), lambda x: F.when(x.startswith("{"), F.from_json(x, record)).otherwise(F.struct(x.alias("url"), *(F.lit(None).cast("string").alias(n) for n in record.names[1:])))
+    )
+    per_object = F.transform_values(F.from_json("e.sources", "map<string,string>"), lambda _, v: given(v))
+    columns = {
+        "seq": F.col("offset") + F.col("id") - F.col("first") + 1, "op": F.col("e.op"), "subject_id": F.col("e.s"), "predicate": F.col("e.p"), "object_id": F.col("e.o"),
+        "day": F.try_to_date(F.col("e.d"), "yyyy-MM-dd"), "confidence": F.col("e.c"), "objects": F.col("e.objects"), "sources": F.when(F.col("e.op") == "assert", given(F.col("e.sources"))),
+        "object_sources": F.when(F.col("e.op") == "sync", per_object), "recorded_at": F.current_timestamp(),
+    }
+    parsed = lines.where("trim(value) != ''").join(offsets, ["file", "block"]).withColumn("e", F.from_json("value", fields))
+    return parsed.select(*(columns[f.name].cast(f.dataType).alias(f.name) for f in EVENTS.fields))
 
 
 def cited(events: DataFrame) -> DataFrame:
@@ -133,14 +269,19 @@ def sources_of(citations: DataFrame) -> DataFrame:
 def assertions_of(citations: DataFrame, versions: DataFrame) -> DataFrame:
     """One assertion per source, tied to the version that was open at its event.
 
-    The version is the last one of the triple opened at or before the event.
+    ``versions`` as ``fold`` gives them; the version is the last one of the
+    triple opened at or before the event.
     """
-    opened = versions.select(*TRIPLE, "version_id", "relationship_id", F.shiftright("version_id", SEQ_SHIFT).alias("seq"), F.lit(None).cast("struct<day:date,at:timestamp,pos:int,source:struct<url:string,title:string,domain:string,published_at:string>>").alias("c"))
-    given = citations.select(*TRIPLE, F.lit(None).cast("bigint").alias("version_id"), F.lit(None).cast("bigint").alias("relationship_id"), "seq", F.struct(F.col("day"), F.col("recorded_at").alias("at"), "pos", "source").alias("c"))
-    line = Window.partitionBy(*TRIPLE).orderBy("seq").rangeBetween(Window.unboundedPreceding, 0)
+    source = "struct<day:date,at:timestamp,pos:int,source:struct<url:string,title:string,domain:string,published_at:string>>"
+    opened = versions.select(*TRIPLE, "version_id", "relationship_id", F.col("opened").alias("seq"), F.col("anchor").cast("int").alias("rank"), F.lit(None).cast(source).alias("c"))
+    given = citations.select(
+        *TRIPLE, F.lit(None).cast("bigint").alias("version_id"), F.lit(None).cast("bigint").alias("relationship_id"), "seq", F.lit(2).alias("rank"),
+        F.struct(F.col("day"), F.col("recorded_at").alias("at"), "pos", "source").alias("c"),
+    )
+    line = Window.partitionBy(*TRIPLE).orderBy("seq", "rank").rowsBetween(Window.unboundedPreceding, 0)
     tied = opened.unionByName(given).withColumn("v", F.last(F.when(F.col("version_id").isNotNull(), F.struct("version_id", "relationship_id")), ignorenulls=True).over(line))
     return tied.where("c is not null").select(
-        F.xxhash64("seq", "object_id", "c.pos").alias("assertion_id"), "v.relationship_id", "v.version_id", F.xxhash64("c.source.url").alias("source_id"),
+        assertion_id(F.col("seq"), F.col("object_id"), F.col("c.pos")).alias("assertion_id"), "v.relationship_id", "v.version_id", F.xxhash64("c.source.url").alias("source_id"),
         F.col("c.day").alias("event_time"), F.col("c.source.published_at").alias("published_at"), F.col("c.at").alias("ingested_at"), F.lit(1).alias("polarity"),
     )
 
@@ -162,11 +303,3 @@ def entities_seen(versions: DataFrame) -> DataFrame:
     return versions.select(ends, "valid_from", "last_confirmed").groupBy("entity_id").agg(
         F.min(F.least("valid_from", "last_confirmed")).alias("first_seen"), F.max(F.greatest("valid_from", "last_confirmed")).alias("last_seen")
     )
-
-
-def reject_inverted(folded: DataFrame) -> DataFrame:
-    """Raise if a retract lies before the start of what it closes."""
-    bad = folded.where("invalid").first()
-    if bad is not None:
-        raise ValidationError(f"valid_to {bad['valid_to']} lies before valid_from {bad['valid_from']} of {bad['subject_id']} {bad['predicate']} {bad['object_id']}")
-    return folded.drop("invalid")

@@ -111,12 +111,14 @@ class GraphDelta:
     nodes: DataFrame
 
     def as_dict(self) -> dict:
-        """The diff as lists, for the edge of the program."""
-        out: dict = {}
-        for name, order in (("opened", ["valid_from", "version_id"]), ("closed", ["valid_to", "version_id"]), ("persisted", ["version_id"])):
-            out[f"edges_{name}"] = [r.asDict() for r in self.edges.where(F.col("change") == name).drop("change").orderBy(*order).collect()]
-        for name in ("added", "removed"):
-            out[f"nodes_{name}"] = [r[0] for r in self.nodes.where(F.col("change") == name).select("node").orderBy("node").collect()]
+        """The diff as lists, for the edge of the program; two jobs whose rows stream to the driver."""
+        out: dict = {f"edges_{name}": [] for name in ("opened", "closed", "persisted")} | {f"nodes_{name}": [] for name in ("added", "removed")}
+        when = F.when(F.col("change") == "opened", F.col("valid_from")).when(F.col("change") == "closed", F.col("valid_to"))
+        for r in self.edges.orderBy("change", when, "version_id").toLocalIterator():
+            row = r.asDict()
+            out[f"edges_{row.pop('change')}"].append(row)
+        for r in self.nodes.orderBy("change", "node").toLocalIterator():
+            out[f"nodes_{r['change']}"].append(r["node"])
         return out
 
 

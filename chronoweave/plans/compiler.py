@@ -117,7 +117,7 @@ def execute(db: TemporalGraph, text: str) -> Any:
         return {"connected": path is not None, "path": path}
     if s.kind == "FIRST_CONNECTED":
         return {"first_connected": db.first_connected(s.a, s.b, s.start, s.end, s.max_depth)}
-    frame = compile_statement(s, db.versions)
+    frame = compile_statement(s, db.versions if s.pattern is None else db.versions_for(s.pattern))
     if s.kind in ("TRACK", "PATH_HISTORY"):
         frame = frame.orderBy("date")
     rows = [r.asDict(recursive=True) for r in frame.collect()]

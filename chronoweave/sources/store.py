@@ -1,28 +1,34 @@
 """A graph on disk: an append-only event log in Parquet, and the tables folded from it.
 
 Layout below the root: ``_meta.json`` (schema version, state of compaction),
-``events/`` (the log, one append per write batch), ``facts/`` (intervals loaded
-from a dump), ``versions-N/`` (the log folded up to event N, clustered by
-subject and predicate).  One writer at a time; readers see whole appends.
+``events/`` (the log, one append per write batch), ``versions-N/`` (the log
+folded up to event N, clustered by subject and predicate; N is 0 for what a
+dump was restored to) and ``reverse-N/`` (the same, clustered by object).
+Reading folds only the events after N, onto the triples that they touch.  One
+writer at a time; readers see whole appends.
 """
 
 from __future__ import annotations
 
 import datetime as dt
 import json
+from collections import OrderedDict
 from collections.abc import Iterator
 from contextlib import contextmanager
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chronoweave.errors import SchemaVersionError, StorageError, ValidationError
 from chronoweave.functions.times import parse_day
-from chronoweave.model import EVENTS, FACTS, SCHEMA_VERSION, VERSIONS
+from chronoweave.model import BASE, EVENTS, FACTS, SCHEMA_VERSION, VERSIONS
 from chronoweave.operators import graph, ingest, metrics, provenance, temporal
 from chronoweave.operators.patterns import Pattern, identifier
+from chronoweave.sources.scratch import discard, materialize, scratch_path
 
 TRIPLE = ["subject_id", "predicate", "object_id"]
+LINE = ["subject_id", "predicate"]
 METRICS = {"degree": 1, "weighted_degree": 1, "edge_weight": 3, "closeness": 1, "betweenness": 1, "pagerank": 1}
 
 
@@ -57,15 +63,51 @@ class _Files:
         out.close()
 
 
+class _OpenFacts:
+    """What is open, by subject and predicate: object to (version_id, valid_from).
+
+    Read once and kept up to date by the writer, so that a write needs no job.
+    If more than ``most`` versions are open, subjects and predicates are read
+    as they come up and the ones used longest ago are forgotten.
+    """
+
+    def __init__(self, opened: DataFrame, most: int):
+        self._opened, self._most, self._n = opened.select(*TRIPLE, "version_id", "valid_from"), most, 0
+        self._held: OrderedDict[tuple[str, str], dict[str, tuple[int, dt.date]]] = OrderedDict()
+        first = self._opened.limit(most + 1).collect()
+        self._whole = len(first) <= most
+        for s, p, o, version, day in first if self._whole else ():
+            self._held.setdefault((s, p), {})[o] = (version, day)
+
+    def of(self, subject: str, predicate: str) -> dict[str, tuple[int, dt.date]]:
+        key = (subject, predicate)
+        if key in self._held:
+            self._held.move_to_end(key)
+        elif self._whole:
+            self._held[key] = {}
+        else:
+            rows = self._opened.where((F.col("subject_id") == subject) & (F.col("predicate") == predicate)).collect()
+            self._held[key] = {r["object_id"]: (r["version_id"], r["valid_from"]) for r in rows}
+            self._n += len(rows)
+            # What was written since is known here only, so what is forgotten must be read from the log: see ``stale``.
+        return self._held[key]
+
+    @property
+    def stale(self) -> bool:
+        return not self._whole and self._n > self._most
+
+
 class TemporalGraph:
     """Facts with two time axes: reading operators, write verbs and storage operations."""
 
-    def __init__(self, spark: SparkSession, path: str):
+    def __init__(self, spark: SparkSession, path: str, open_rows: int = 200_000):
         self.spark, self.path = spark, path.rstrip("/")
         self._files = _Files(spark, self.path)
         self._staged: list[tuple] | None = None
+        self._open_rows = open_rows
+        self._open: _OpenFacts | None = None
         self._check_schema()
-        self._seq = self._last_written = self._last_seq()
+        self._last_written, self._seq = self._last_seq()
 
     # --- storage ------------------------------------------------------------------------
 
@@ -82,10 +124,19 @@ class TemporalGraph:
         if found != SCHEMA_VERSION:
             raise SchemaVersionError(f"schema version {found} found, {SCHEMA_VERSION} expected")
 
-    def _last_seq(self) -> int:
+    def _mark(self, at: int) -> None:
+        self._files.write_text("_meta.json", json.dumps({"schema_version": SCHEMA_VERSION, "compacted": at}))
+        self._compacted = at
+
+    def _last_seq(self) -> tuple[int, int]:
+        """(number of the last event, last number that is taken)."""
         if not self._files.exists("events"):
-            return 0
-        return self.spark.read.schema(EVENTS).parquet(f"{self.path}/events").agg(F.max("seq")).first()[0] or 0
+            return 0, 0
+        row = self.events().agg(F.max("seq"), F.max(F.col("seq") + ingest.extra_seqs(F.col("objects"))), F.bool_or(F.col("op") == "sync")).first()
+        self._has_syncs = bool(row[2])
+        return row[0] or 0, row[1] or 0
+
+    _has_syncs = False
 
     def events(self) -> DataFrame:
         """The log, without what an open batch has staged."""
@@ -93,32 +144,50 @@ class TemporalGraph:
             return self.spark.createDataFrame([], EVENTS)
         return self.spark.read.schema(EVENTS).parquet(f"{self.path}/events")
 
+    def _stored(self, at: int | None, by_object: bool = False) -> DataFrame | None:
+        if at is None:
+            return None
+        name = f"reverse-{at}" if by_object and self._files.exists(f"reverse-{at}") else f"versions-{at}"
+        return self.spark.read.schema(BASE).parquet(f"{self.path}/{name}")
+
+    def _folded(self, by_object: bool = False) -> DataFrame:
+        """All versions as ``model.BASE``: the stored table, and the events since folded onto it."""
+        base = self._stored(self._compacted, by_object)
+        if base is not None and self._compacted == self._last_written:
+            return base
+        if base is None:
+            return ingest.fold(self.events(), syncs=self._has_syncs).select(*BASE.names)
+        return ingest.fold_onto(base, self.events().where(F.col("seq") > self._compacted), self._has_syncs)
+
     @property
     def versions(self) -> DataFrame:
-        """The fact table: what the log folds to, and intervals that a restore loaded.
+        """The fact table: what the log folds to, onto what a restore or a compaction stored."""
+        return self._folded().select(*VERSIONS.names)
 
-        Right after ``compact`` the folded table is read instead of the log.
-        """
-        if self._compacted is not None and self._compacted == self._last_written:
-            folded = self.spark.read.schema(VERSIONS).parquet(f"{self.path}/versions-{self._compacted}")
-        else:
-            folded = ingest.folded_versions(self.events()).select(*VERSIONS.names)
-        if not self._files.exists("facts"):
-            return folded
-        return folded.unionByName(self.spark.read.schema(VERSIONS).parquet(f"{self.path}/facts"))
+    def versions_for(self, pattern: Pattern) -> DataFrame:
+        """The fact table for a pattern: an object without a subject is read from the table that is clustered by object."""
+        return self._folded(by_object=pattern.reversed()).select(*VERSIONS.names)
 
     def compact(self) -> None:
-        """Fold the log once and keep the result, clustered so that a pattern reads few row groups.
+        """Fold the log and keep the result, in two orders, so that a pattern by subject or by object reads few row groups.
 
-        The new table is written beside the old one before the marker is
-        switched to it, so a reader never sees half of it.  The log stays.
+        The new tables are written beside the old ones before the marker is
+        switched to them, so a reader never sees half of one.  The log stays.
         """
         at = self._last_written
-        folded = ingest.folded_versions(self.events()).select(*VERSIONS.names)
-        clustered = folded.repartitionByRange("subject_id", "predicate").sortWithinPartitions("subject_id", "predicate", "valid_from", "version_id")
-        clustered.write.mode("overwrite").parquet(f"{self.path}/versions-{at}")
-        self._files.write_text("_meta.json", json.dumps({"schema_version": SCHEMA_VERSION, "compacted": at}))
-        self._compacted = at
+        folded = self._folded()
+        if at == self._compacted:
+            # Its own table is read here and cannot be overwritten.
+            if not self._files.exists(f"reverse-{at}"):
+                self._write(folded, f"reverse-{at}", "object_id", "predicate")
+            return
+        self._write(folded, f"versions-{at}", "subject_id", "predicate")
+        self._write(self._stored(at), f"reverse-{at}", "object_id", "predicate")
+        self._mark(at)
+
+    def _write(self, frame: DataFrame, name: str, *order: str) -> None:
+        clustered = frame.repartitionByRange(*order).sortWithinPartitions(*order, "valid_from", "version_id")
+        clustered.write.mode("overwrite").parquet(f"{self.path}/{name}")
 
     @property
     def relationships(self) -> DataFrame:
@@ -130,25 +199,25 @@ class TemporalGraph:
 
     @property
     def assertions(self) -> DataFrame:
-        events = self.events()
-        return ingest.assertions_of(ingest.cited(events), ingest.folded_versions(events))
+        return ingest.assertions_of(ingest.cited(self.events()), self._folded())
 
     @property
     def entities(self) -> DataFrame:
         seen = ingest.entities_of(ingest.touches(self.events()))
-        if self._files.exists("facts"):
-            loaded = ingest.entities_seen(self.spark.read.schema(VERSIONS).parquet(f"{self.path}/facts"))
+        if self._files.exists("versions-0"):
+            loaded = ingest.entities_seen(self._stored(0))
             seen = seen.unionByName(loaded).groupBy("entity_id").agg(F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"))
         return seen
 
     def stats(self) -> dict[str, int]:
         """Row counts of the five tables, in one job."""
+        return {r["name"]: r["n"] for r in self.counts().collect()}
+
+    def counts(self) -> DataFrame:
+        """(name, n): row counts of the five tables."""
         tables = ("relationships", "versions", "assertions", "entities", "sources")
-        counts = [getattr(self, t).agg(F.count(F.lit(1)).alias("n")).select(F.lit(t).alias("t"), "n") for t in tables]
-        union = counts[0]
-        for c in counts[1:]:
-            union = union.unionByName(c)
-        return {r["t"]: r["n"] for r in union.collect()}
+        counts = [getattr(self, t).agg(F.count(F.lit(1)).alias("n")).select(F.lit(t).alias("name"), "n") for t in tables]
+        return reduce(DataFrame.unionByName, counts)
 
     def dump(self, path: str) -> None:
         """Facts as JSON lines, sorted by start; NULLs are written."""
@@ -156,36 +225,42 @@ class TemporalGraph:
 
     @classmethod
     def restore(cls, spark: SparkSession, dump_path: str, path: str) -> "TemporalGraph":
-        """A new graph from a dump: intervals are loaded as they are, none is replayed or lost.
+        """A new graph from a dump: intervals are loaded as they are, none is merged or lost.
 
-        Ids are hashes of the fact; the system time is that of the restore.
+        Later writes go on from what is open: an assert confirms, a retract
+        closes.  If a triple is open in several intervals, that is the one that
+        started last.  Ids are negative, and the system time is that of the
+        restore.
         """
         graph_ = cls(spark, path)
-        if graph_._files.exists("facts") or graph_._files.exists("events"):
+        if graph_._compacted is not None or graph_._files.exists("events"):
             raise StorageError(f"{path} already holds a graph")
         now = F.lit(dt.datetime.now(dt.timezone.utc))
-        facts = spark.read.schema(FACTS).json(dump_path)
-        # Equal facts are told apart by their number among their equals.
-        facts = facts.withColumn("copy", F.row_number().over(Window.partitionBy(*FACTS.names).orderBy(F.lit(0))))
-        # Loaded ids are negative, those of later events positive.
-        number = lambda *c: -F.abs(F.shiftrightunsigned(F.xxhash64(*c), 1)) - 1
+        triple = Window.partitionBy(*TRIPLE)
+        newest = triple.orderBy(F.col("valid_to").isNull().desc(), F.col("valid_from").desc(), "version_id")
+        # Numbers are given where a row is read, so they are unique without any shuffle.
+        facts = spark.read.schema(FACTS).json(dump_path).withColumn("version_id", -1 - F.monotonically_increasing_id())
         loaded = facts.select(
-            number(*FACTS.names, "copy").alias("version_id"), number(*TRIPLE).alias("relationship_id"), *TRIPLE, "valid_from", "valid_to",
+            "version_id", F.min("version_id").over(triple).alias("relationship_id"), *TRIPLE, "valid_from", "valid_to",
             now.alias("system_from"), F.when(F.col("valid_to").isNotNull(), now).alias("system_to"),
-            F.coalesce("valid_to", "valid_from").alias("last_confirmed"), "confidence",
+            F.coalesce("valid_to", "valid_from").alias("last_confirmed"), "confidence", F.lit("{}").alias("properties"), F.array().cast("array<bigint>").alias("assertion_ids"),
+            F.lit(0).cast("bigint").alias("opened"), (F.row_number().over(newest) == 1).alias("anchor"),
         )
-        loaded.write.parquet(f"{path.rstrip('/')}/facts")
+        loaded.write.parquet(f"{path.rstrip('/')}/versions-0")
+        graph_._mark(0)
         return graph_
 
     def backup(self, path: str) -> None:
-        """An independent copy of log and facts, in few files."""
+        """An independent copy of the log and of the stored tables."""
         copy = _Files(self.spark, path)
         if copy.exists("_meta.json"):
             raise StorageError(f"{path} already holds a graph")
-        for name, schema in (("events", EVENTS), ("facts", VERSIONS)):
+        stored = sorted({0, self._compacted or 0})
+        parts = [("events", EVENTS, LINE)] + [(f"versions-{n}", BASE, LINE) for n in stored] + [(f"reverse-{n}", BASE, ["object_id", "predicate"]) for n in stored]
+        for name, schema, order in parts:
             if self._files.exists(name):
-                self.spark.read.schema(schema).parquet(f"{self.path}/{name}").repartitionByRange("subject_id", "predicate").sortWithinPartitions("subject_id", "predicate").write.parquet(f"{path.rstrip('/')}/{name}")
-        copy.write_text("_meta.json", json.dumps({"schema_version": SCHEMA_VERSION}))
+                self.spark.read.schema(schema).parquet(f"{self.path}/{name}").repartitionByRange(*order).sortWithinPartitions(*order).write.parquet(f"{path.rstrip('/')}/{name}")
+        copy.write_text("_meta.json", self._files.read_text("_meta.json"))
 
     # --- writes -------------------------------------------------------------------------
 
@@ -204,57 +279,60 @@ class TemporalGraph:
             staged, self._staged = self._staged, None
             self._append(staged)
         except BaseException:
-            self._staged, self._seq = None, kept
+            self._staged, self._seq, self._open = None, kept, None
             raise
 
     def _append(self, rows: list[tuple]) -> None:
         if rows:
             self.spark.createDataFrame(rows, EVENTS).coalesce(1).write.mode("append").parquet(f"{self.path}/events")
             self._last_written = max(r[0] for r in rows)
-
-    def _line(self, subject: str, predicate: str) -> DataFrame:
-        """The log of one subject and predicate, with what is staged."""
-        mine = (F.col("subject_id") == subject) & (F.col("predicate") == predicate)
-        log = self.events().where(mine)
-        if self._staged:
-            log = log.unionByName(self.spark.createDataFrame(self._staged, EVENTS).where(mine))
-        return log
+            self._has_syncs = self._has_syncs or any(r[1] == "sync" for r in rows)
+            if self._open is not None and self._open.stale:
+                self._open = None
 
     def _record(self, row: tuple) -> None:
         if self._staged is not None:
             self._staged.append(row)
-        else:
+            return
+        try:
             self._append([row])
+        except BaseException:
+            self._open = None
+            raise
 
-    def _open(self, subject: str, predicate: str) -> dict[str, dict]:
-        """Open versions of a subject and predicate by object."""
-        rows = ingest.folded_versions(self._line(subject, predicate)).where("valid_to is null and system_to is null").collect()
-        return {r["object_id"]: r.asDict() for r in rows}
+    def _held(self, subject: str, predicate: str) -> dict[str, tuple[int, dt.date]]:
+        """Open versions of a subject and predicate by object, with what is staged."""
+        if self._open is None:
+            self._open = _OpenFacts(self._folded().where("anchor and valid_to is null"), self._open_rows)
+        return self._open.of(subject, predicate)
 
-    def _next(self) -> int:
-        self._seq += 1
-        return self._seq
+    def _next(self, more: int = 0) -> int:
+        self._seq += 1 + more
+        return self._seq - more
 
     def assert_fact(self, subject: str, predicate: str, obj: str, valid_from: str | dt.date, confidence: float | None = None, sources: list | None = None) -> int:
         """Open a version or confirm the open one; returns its version_id."""
         s, p, o = identifier(subject, "subject"), identifier(predicate, "predicate"), identifier(obj, "object")
         day, given = parse_day(valid_from, "valid_from"), _sources(sources)
-        held = self._open(s, p).get(o)
+        held = self._held(s, p)
         seq = self._next()
+        version, _ = held.setdefault(o, (seq << ingest.SEQ_SHIFT, day))
         self._record((seq, "assert", s, p, o, day, _number(confidence), None, given, None, dt.datetime.now(dt.timezone.utc)))
-        return held["version_id"] if held else seq << ingest.SEQ_SHIFT
+        return version
 
     def retract_fact(self, subject: str, predicate: str, obj: str, valid_to: str | dt.date) -> int | None:
         """Close the open version; returns its id, or None if none is open."""
         s, p, o = identifier(subject, "subject"), identifier(predicate, "predicate"), identifier(obj, "object")
         day = parse_day(valid_to, "valid_to")
-        held = self._open(s, p).get(o)
-        if held is None:
+        held = self._held(s, p)
+        if o not in held:
             return None
-        if day < held["valid_from"]:
-            raise ValidationError(f"valid_to {day} lies before valid_from {held['valid_from']}")
+        version, since = held[o]
+        if day < since:
+            raise ValidationError(f"valid_to {day} lies before valid_from {since}")
+        del held[o]
         self._record((self._next(), "retract", s, p, o, day, None, None, None, None, dt.datetime.now(dt.timezone.utc)))
-        return held["version_id"]
+        return version
 
     def sync_snapshot(self, subject: str, predicate: str, objects: dict[str, float | None], as_of_date: str | dt.date, sources: dict[str, list] | None = None) -> dict[str, list[int]]:
         """State everything that holds for a subject and predicate; returns the ids opened, closed and confirmed."""
@@ -262,30 +340,66 @@ class TemporalGraph:
         day = parse_day(as_of_date, "as_of_date")
         now_held = {identifier(o, "object"): _number(c) for o, c in objects.items()}
         given = {identifier(o, "object"): _sources(x) for o, x in (sources or {}).items()}
-        held = self._open(s, p)
-        seq = self._next()
-        self._record((seq, "sync", s, p, None, day, None, now_held, None, given or None, dt.datetime.now(dt.timezone.utc)))
+        held = self._held(s, p)
+        seq = self._next(max(0, len(now_held) - 1) >> ingest.SEQ_SHIFT)
         base = seq << ingest.SEQ_SHIFT
         place = {o: base + k for k, o in enumerate(sorted(now_held, key=str.encode))}
-        return {
+        done = {
             "opened": [place[o] for o in now_held if o not in held],
-            "closed": sorted(v["version_id"] for o, v in held.items() if o not in now_held),
-            "confirmed": sorted(v["version_id"] for o, v in held.items() if o in now_held),
+            "closed": sorted(v for o, (v, _) in held.items() if o not in now_held),
+            "confirmed": sorted(v for o, (v, _) in held.items() if o in now_held),
         }
+        for o in [o for o in held if o not in now_held]:
+            del held[o]
+        for o in now_held:
+            held.setdefault(o, (place[o], day))
+        self._record((seq, "sync", s, p, None, day, None, now_held, None, given or None, dt.datetime.now(dt.timezone.utc)))
+        return done
 
     def load_events(self, events: DataFrame) -> DataFrame:
         """Append a bulk log (``model.EVENTS`` without recorded_at is fine); returns rejected rows with the reason.
 
-        ``seq`` orders the bulk and is moved behind the log's own.
+        ``seq`` orders the bulk and is moved behind the log's own.  Rejected,
+        row by row, is what the write verbs would refuse: unusable names or
+        days, and retracts before the start of what they would close, which
+        stays open.
         """
+        if self._staged is not None:
+            raise StorageError("a write batch is open")
         if "recorded_at" not in events.columns:
             events = events.withColumn("recorded_at", F.current_timestamp())
         good, bad = ingest.split_events(events.select(*EVENTS.names))
-        moved = good.withColumn("seq", F.col("seq") + F.lit(self._seq))
-        moved.write.mode("append").parquet(f"{self.path}/events")
-        self._seq = self._last_written = self._last_seq()
+        path = scratch_path(self.spark, "bulk")
+        bulk = materialize(good, "bulk", path)
+        least, room, syncs, retracts = bulk.agg(F.min("seq"), F.max(ingest.extra_seqs(F.col("objects"))), F.bool_or(F.col("op") == "sync"), F.bool_or(F.col("op") == "retract")).first()
+        # Numbers are drawn apart if a sync needs more than one.
+        moved = bulk.withColumn("seq", (F.col("seq") - F.lit(least or 0)) * F.lit(1 + (room or 0)) + F.lit(self._seq + 1))
+        kept = moved
+        if retracts:
+            rejected = materialize(self._inverted(moved, self._has_syncs or bool(syncs)), "rejected")
+            wrong = rejected.select(*TRIPLE, "seq")
+            kept = moved.join(wrong, [*TRIPLE, "seq"], "left_anti")
+            bad = bad.unionByName(moved.join(wrong, [*TRIPLE, "seq"], "left_semi").withColumn("reason", F.lit("before the start")).select(*bad.columns))
+        kept.select(*EVENTS.names).write.mode("append").parquet(f"{self.path}/events")
+        bad = materialize(bad, "refused")
+        discard(self.spark, path)
+        self._last_written, self._seq = self._last_seq()
+        self._open = None
         return bad
 
+    def _inverted(self, moved: DataFrame, syncs: bool) -> DataFrame:
+        """Retracts of a bulk that lie before the start of what they would close, told from the log of their subjects."""
+        lines = moved.where("op = 'retract'").select(*LINE).distinct()
+        log = self.events() if self._compacted is None else self.events().where(F.col("seq") > self._compacted)
+        base = self._stored(self._compacted)
+        anchors = None if base is None else base.where("anchor").join(lines, LINE, "left_semi")
+        found = ingest.inverted_retracts(log.unionByName(moved.select(*EVENTS.names)).join(lines, LINE, "left_semi").select(*EVENTS.names), anchors, syncs)
+        return found.where(F.col("seq") > self._seq)
+
+    def load_jsonl(self, path: str) -> DataFrame:
+        """Replay a log of JSON lines (``ingest.read_events``) in one append; returns rejected rows with the reason."""
+        return self.load_events(ingest.read_events(self.spark, path))
+
     def get_entity(self, entity_id: str) -> dict | None:
         row = self.entities.where(F.col("entity_id") == identifier(entity_id, "entity_id")).first()
         return None if row is None else row.asDict()
@@ -293,19 +407,19 @@ class TemporalGraph:
     # --- reads --------------------------------------------------------------------------
 
     def as_of(self, pattern: Pattern, day: temporal.Day) -> DataFrame:
-        return temporal.as_of(self.versions, pattern, day)
+        return temporal.as_of(self.versions_for(pattern), pattern, day)
 
     def as_known(self, pattern: Pattern, day: temporal.Day, cutoff: str | dt.datetime) -> DataFrame:
-        return temporal.as_known(self.versions, pattern, day, cutoff)
+        return temporal.as_known(self.versions_for(pattern), pattern, day, cutoff)
 
     def history(self, pattern: Pattern, start: temporal.Day | None = None, end: temporal.Day | None = None) -> DataFrame:
-        return temporal.history(self.versions, pattern, start, end).orderBy(*temporal.history_order(pattern))
+        return temporal.history(self.versions_for(pattern), pattern, start, end).orderBy(*temporal.history_order(pattern))
 
     def diff(self, start: temporal.Day, end: temporal.Day, pattern: Pattern | None = None) -> temporal.GraphDelta:
         return temporal.diff(self.versions, start, end, pattern)
 
     def day_counts(self, pattern: Pattern, start: temporal.Day, end: temporal.Day) -> DataFrame:
-        return temporal.day_counts(self.versions, pattern, start, end)
+        return temporal.day_counts(self.versions_for(pattern), pattern, start, end)
 
     def series(self, pattern: Pattern, start: temporal.Day, end: temporal.Day, resolution_days: int = 1) -> temporal.GraphSeries:
         return temporal.GraphSeries(self.versions, pattern, temporal.Spine.of(start, end, resolution_days))
@@ -357,8 +471,16 @@ class TemporalGraph:
     def why_changed(self, pattern: Pattern, start: temporal.Day, end: temporal.Day) -> dict:
         return provenance.why_changed(self.versions, self.assertions, self.sources, pattern, start, end)
 
+    def query(self, statement: str) -> DataFrame:
+        """The lazy result of a reading statement."""
+        from chronoweave.plans.compiler import compile_statement
+        from chronoweave.plans.language import parse
+
+        parsed = parse(statement)
+        return compile_statement(parsed, self.versions if parsed.pattern is None else self.versions_for(parsed.pattern))
+
     def execute(self, statement: str):
-        """Run one statement of the query language."""
+        """Run one statement of the query language and return lists and dicts; ``query`` gives the lazy result."""
         from chronoweave.plans.compiler import execute
 
         return execute(self, statement)
