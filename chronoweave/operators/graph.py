@@ -1,17 +1,23 @@
 """Bounded traversal, centrality and connection over active edges.
 
-Edges carry a ``date`` key, so one job answers for all dates of a spine and
-all source entities at once; a date or entity asked for is a filter.  Two ways
-are built in and chosen by counted size: dates whose graph is within a bound are
-solved by array kernels, dates and blocks of sources side by side; larger ones
-by a fixed number of joins per depth, every level written to the shared folder
-before it is used twice, which keeps plans flat and lets a lost executor's work
-be read back.
+One job answers for all dates of a spine and all source entities at once; a
+date or entity asked for is a filter.  Edges stay intervals - (src, dst, t0,
+t1), the first and last date of the spine they are active on - and are never
+written once per date.  Two ways are built in and chosen by counted size:
+
+* Graphs within ``local_edges`` are dealt to a fixed number of tasks, each with
+  a stretch of the dates and a part of the sources, and solved there by array
+  kernels.  What is shuffled does not grow with the number of dates.
+* Larger ones go level by level: the frontier, which has a row per date, meets
+  the interval edges in a join by node.  Every level is written to the shared
+  folder before it is used twice, which keeps plans flat and lets a lost
+  executor's work be read back.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -19,12 +25,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoweave.errors import ValidationError
-from chronoweave.operators.temporal import Day, Spine, active
 from chronoweave.functions.times import FAR_DAY, day_literal
-from chronoweave.sources.scratch import materialize
+from chronoweave.operators.temporal import Day, Spine
+from chronoweave.sources.scratch import discard, materialize, scratch_path
 from chronoweave.sources.shipping import ship_package
 
 Dates = Day | Spine
+PAIR = ["src", "dst"]
+SPAN = ["t0", "t1"]
+#: Tasks that a local graph is dealt to.
+TASKS = 16
 
 
 def check_depth(depth: int) -> int:
@@ -33,129 +43,257 @@ def check_depth(depth: int) -> int:
     return depth
 
 
-def dated(versions: DataFrame, dates: Dates) -> DataFrame:
-    """Active versions with the ``date`` they are active on."""
-    if isinstance(dates, Spine):
-        found = dates.cover(versions)
-        return found.select(dates.date(F.col("tick")).alias("date"), *versions.columns)
-    day = day_literal(dates)
-    return versions.where(active(day)).withColumn("date", day)
+def spine_of(dates: Dates) -> Spine:
+    return dates if isinstance(dates, Spine) else Spine.of(dates, dates)
 
 
-def undirected_edges(versions: DataFrame, dates: Dates) -> DataFrame:
-    """(date, src, dst): both directions, each once, no self-loops."""
+def spans(versions: DataFrame, spine: Spine) -> DataFrame:
+    """Versions that are active on a date of the spine, with the first and last one (t0, t1)."""
+    if not spine.size:
+        return versions.where(F.lit(False)).withColumns({"t0": F.lit(0), "t1": F.lit(0)})
+    return spine.bounded(versions)
+
+
+def both_ways(rows: DataFrame, *more: str) -> DataFrame:
+    """(src, dst, more...): each row in both directions."""
     pair = F.array(
         F.struct(F.col("subject_id").alias("src"), F.col("object_id").alias("dst")),
         F.struct(F.col("object_id").alias("src"), F.col("subject_id").alias("dst")),
     )
-    rows = dated(versions.where(F.col("subject_id") != F.col("object_id")), dates)
-    return rows.select("date", F.explode(pair).alias("e")).select("date", "e.*").distinct()
+    return rows.select(F.explode(pair).alias("e"), *more).select("e.*", *more)
+
+
+def undirected_edges(versions: DataFrame, spine: Spine) -> DataFrame:
+    """(src, dst, t0, t1): both directions, equal ones once, no self-loops; intervals of a pair may overlap."""
+    return both_ways(spans(versions.where(F.col("subject_id") != F.col("object_id")), spine), *SPAN).distinct()
+
+
+def merged(edges: DataFrame) -> DataFrame:
+    """Edges whose intervals are disjoint per pair, so that a pair counts once on a date."""
+    order = Window.partitionBy(*PAIR).orderBy(*SPAN)
+    reached = F.max("t1").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    runs = edges.withColumn("run", F.sum(F.coalesce((reached < F.col("t0") - 1).cast("int"), F.lit(1))).over(order))
+    return runs.groupBy(*PAIR, "run").agg(F.min("t0").alias("t0"), F.max("t1").alias("t1")).drop("run")
+
+
+def _stored(edges: DataFrame, label: str, limit: int) -> tuple[DataFrame, bool]:
+    """The edges, written once, and whether they are few enough for the local way."""
+    kept = materialize(edges, label)
+    return kept, kept.count() <= limit
+
+
+def _on(edges: DataFrame, frontier: DataFrame) -> DataFrame:
+    """Frontier rows (tick, node, ...) beside the edges that leave the node on that date."""
+    return frontier.join(edges, (frontier["node"] == edges["src"]) & frontier["tick"].between(edges["t0"], edges["t1"]))
+
+
+def _dated(found: DataFrame, spine: Spine) -> DataFrame:
+    return found.select(spine.date(F.col("tick")).alias("date"), *(c for c in found.columns if c != "tick"))
+
+
+# --- the local way ------------------------------------------------------------------------------
+
+
+def _deal(edges: DataFrame, spine: Spine, solve: Callable, schema: str, parts: int) -> DataFrame:
+    """Run ``solve`` (edges of a stretch of dates, its ticks, part, parts) in at most ``TASKS`` tasks.
+
+    A task has the edges of its stretch, which the caller has bounded.  There
+    are as many stretches as dates at most, and ``parts`` of the sources per
+    stretch only if dates alone do not make enough tasks.
+    """
+    ship_package(edges.sparkSession)
+    stretches = max(1, min(spine.size, TASKS))
+    parts = max(1, min(parts, -(-TASKS // stretches)))
+    length = -(-max(1, spine.size) // stretches)
+    stretch = F.explode(F.sequence(F.floor(F.col("t0") / length), F.floor(F.col("t1") / length))).alias("stretch")
+    dealt = edges.select("*", stretch)
+    dealt = dealt.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))) if parts > 1 else dealt.withColumn("part", F.lit(0))
+    size = spine.size
+
+    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        first = int(key[0]) * length
+        return solve(part, range(first, min(first + length, size)), int(key[1]), parts)
+
+    return dealt.groupBy("stretch", "part").applyInPandas(run, schema)
+
+
+class _Codes:
+    """Edges of a task with their ends as numbers, cut to one date at a time."""
+
+    def __init__(self, part: pd.DataFrame):
+        ends = np.concatenate([part["src"].to_numpy(), part["dst"].to_numpy()])
+        self.names, codes = np.unique(ends.astype(str), return_inverse=True)
+        self.src, self.dst = codes[: len(part)], codes[len(part) :]
+        self.t0, self.t1 = part["t0"].to_numpy(), part["t1"].to_numpy()
+
+    def at(self, tick: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(names, src, dst) of the date, each pair once, with the nodes of that date numbered from 0."""
+        on = (self.t0 <= tick) & (self.t1 >= tick)
+        pair = np.unique(self.src[on] * len(self.names) + self.dst[on])
+        nodes, codes = np.unique(np.concatenate([pair // len(self.names), pair % len(self.names)]) if len(pair) else pair, return_inverse=True)
+        return self.names[nodes], codes[: len(pair)], codes[len(pair) :]
+
+
+def _scores(edges: DataFrame, spine: Spine, kernel: Callable, entities: list[str] | None, rooted: bool = True, ball: int = 0) -> DataFrame:
+    """(tick, entity, score) by a kernel (src, dst, nodes, roots); ``ball``: also from roots that many hops around the entities."""
+
+    def solve(part: pd.DataFrame, ticks: range, k: int, parts: int) -> pd.DataFrame:
+        codes, found = _Codes(part), []
+        for tick in ticks:
+            names, src, dst = codes.at(tick)
+            wanted = np.arange(len(names)) if entities is None else np.flatnonzero(np.isin(names, entities))
+            if not len(names) or not len(wanted):
+                continue
+            roots = wanted if entities is None or not ball else _around(src, dst, len(names), wanted, ball)
+            score = kernel(src, dst, len(names), roots[k::parts])
+            kept = wanted[score[wanted] != 0]
+            found.append(pd.DataFrame({"tick": np.int32(tick), "entity": names[kept], "score": score[kept]}))
+        return pd.concat(found) if found else pd.DataFrame({"tick": np.zeros(0, np.int32), "entity": np.zeros(0, object), "score": np.zeros(0)})
+
+    dealt = _deal(edges, spine, solve, "tick int, entity string, score double", TASKS if rooted else 1)
+    return dealt.groupBy("tick", "entity").agg(F.sum("score").alias("score")) if rooted else dealt
+
+
+def _around(src: np.ndarray, dst: np.ndarray, n: int, start: np.ndarray, hops: int) -> np.ndarray:
+    near = np.zeros(n, dtype=bool)
+    near[start] = True
+    for _ in range(hops):
+        near[dst[near[src]]] = True
+    return np.flatnonzero(near)
+
+
+# --- distances ----------------------------------------------------------------------------------
 
 
 def bfs_distances(edges: DataFrame, sources: DataFrame, max_depth: int = 4) -> DataFrame:
-    """(date, source, node, dist) of the nodes within ``max_depth`` hops, the source itself left out.
+    """(tick, source, node, dist) of the nodes within ``max_depth`` hops, the source itself left out, level by level.
 
-    ``sources``: date, source.
+    ``edges``: src, dst, t0, t1 in both directions.  ``sources``: tick, source.
+    Neighbours of a level lie on the level before, on it, or after it, so a new
+    level is checked against two and not against all that was seen.
     """
     check_depth(max_depth)
-    edges = materialize(edges, "edges")
-    seen = sources.select("date", "source", F.col("source").alias("node"), F.lit(0).alias("dist"))
-    for level in range(1, max_depth + 1):
-        frontier = seen.where(F.col("dist") == level - 1)
-        step = (
-            frontier.join(edges, (frontier["date"] == edges["date"]) & (frontier["node"] == edges["src"]))
-            .select(frontier["date"], "source", F.col("dst").alias("node"))
-            .distinct()
-            .withColumn("dist", F.lit(level))
-        )
-        seen = seen.unionByName(step).groupBy("date", "source", "node").agg(F.min("dist").alias("dist"))
-        if level < max_depth:
-            seen = materialize(seen, "bfs")
-    return seen.where("dist > 0")
+    key = ["tick", "source", "node"]
+    levels = [sources.select("tick", "source", F.col("source").alias("node"))]
+    for _ in range(max_depth):
+        step = _on(edges, levels[-1]).select("tick", "source", F.col("dst").alias("node")).distinct()
+        for known in levels[-2:]:
+            step = step.join(known, key, "left_anti")
+        levels.append(materialize(step, "bfs"))
+    return reduce(DataFrame.unionByName, (level.withColumn("dist", F.lit(k)) for k, level in enumerate(levels) if k))
 
 
-def closeness(versions: DataFrame, dates: Dates, entities: list[str] | None = None, max_depth: int = 4, local_edges: int = 200_000) -> DataFrame:
-    """(date, entity, closeness): sum of 1/distance; entities without an edge on the date give no row.
+def path_lengths(versions: DataFrame, sources: list[str], dates: Dates, max_depth: int = 4, local_edges: int = 500_000) -> DataFrame:
+    """(date, source, node, hops) from some sources to everything within reach."""
+    check_depth(max_depth)
+    spine = spine_of(dates)
+    edges, small = _stored(undirected_edges(versions, spine), "edges", local_edges)
+    if not small:
+        named = edges.sparkSession.createDataFrame([(s,) for s in sorted(set(sources))], "source string")
+        return _dated(bfs_distances(edges, _on_spine(edges, named.select("source"), spine), max_depth), spine).withColumnRenamed("dist", "hops")
+
+    def solve(part: pd.DataFrame, ticks: range, k: int, parts: int) -> pd.DataFrame:
+        codes, found = _Codes(part), [pd.DataFrame({"tick": np.zeros(0, np.int32), "source": np.zeros(0, object), "node": np.zeros(0, object), "hops": np.zeros(0, np.int32)})]
+        for tick in ticks:
+            names, src, dst = codes.at(tick)
+            roots = np.flatnonzero(np.isin(names, sources))[k::parts]
+            for root, node, dist in waves(src, dst, len(names), max_depth, roots) if len(roots) else ():
+                found.append(pd.DataFrame({"tick": np.int32(tick), "source": names[root], "node": names[node], "hops": np.int32(dist)}))
+        return pd.concat(found)
+
+    return _dated(_deal(edges, spine, solve, "tick int, source string, node string, hops int", len(set(sources))), spine)
+
+
+def _on_spine(edges: DataFrame, sources: DataFrame, spine: Spine) -> DataFrame:
+    """(tick, source): the given sources on every date on which they have an edge."""
+    own = edges.join(sources, edges["src"] == sources["source"], "left_semi")
+    return own.select(F.explode(F.sequence("t0", "t1")).alias("tick"), F.col("src").alias("source")).distinct()
+
+
+def waves(src: np.ndarray, dst: np.ndarray, n: int, max_depth: int, roots: np.ndarray, at_once: int = 64):
+    """(roots, nodes, distance) of what is reached, wave by wave, ``at_once`` roots at a time."""
+    for first in range(0, len(roots), at_once):
+        some = roots[first : first + at_once]
+        seen = np.zeros((len(some), n), dtype=bool)
+        seen[np.arange(len(some)), some] = True
+        wave = seen.copy()
+        for level in range(1, max_depth + 1):
+            wave = (_spread(wave, src, dst, n) > 0) & ~seen
+            if not wave.any():
+                break
+            seen |= wave
+            root, node = np.nonzero(wave)
+            yield some[root], node, level
+
 
-    As with betweenness, dates with few edges go to an array kernel, others to joins.
-    """
+def closeness(versions: DataFrame, dates: Dates, entities: list[str] | None = None, max_depth: int = 4, local_edges: int = 500_000) -> DataFrame:
+    """(date, entity, closeness): sum of 1/distance; entities without an edge on the date give no row."""
     check_depth(max_depth)
-    edges = materialize(undirected_edges(versions, dates), "edges")
-    small, large = _by_size(edges, local_edges)
-    scores = _blocks(small, lambda s, d, n, roots: closeness_kernel(s, d, n, max_depth, roots), entities)
-    if large is not None:
-        scores = scores.unionByName(_closeness_joins(large, entities, max_depth))
-    return scores.withColumnRenamed("score", "closeness")
+    spine = spine_of(dates)
+    edges, small = _stored(undirected_edges(versions, spine), "edges", local_edges)
+    if small:
+        scores = _scores(edges, spine, lambda s, d, n, roots: closeness_kernel(s, d, n, max_depth, roots), entities)
+    else:
+        scores = _closeness_joins(edges, spine, entities, max_depth)
+    return _dated(scores, spine).withColumnRenamed("score", "closeness")
 
 
-def _closeness_joins(edges: DataFrame, entities: list[str] | None, max_depth: int) -> DataFrame:
-    sources = edges.select("date", F.col("src").alias("source")).distinct()
+def _closeness_joins(edges: DataFrame, spine: Spine, entities: list[str] | None, max_depth: int) -> DataFrame:
+    sources = edges.select(F.col("src").alias("source")).distinct()
     if entities is not None:
         sources = sources.where(F.col("source").isin(entities))
     return (
-        bfs_distances(edges, sources, max_depth)
-        .groupBy("date", "dist", F.col("source").alias("entity"))
+        bfs_distances(edges, _on_spine(edges, sources, spine), max_depth)
+        .groupBy("tick", "dist", F.col("source").alias("entity"))
         .agg(F.count(F.lit(1)).alias("n"))
-        .groupBy("date", "entity")
+        .groupBy("tick", "entity")
         .agg(F.sum(F.col("n") / F.col("dist")).alias("score"))
     )
 
 
-def closeness_kernel(src: np.ndarray, dst: np.ndarray, n: int, max_depth: int, sources: np.ndarray, at_once: int = 64) -> np.ndarray:
+def closeness_kernel(src: np.ndarray, dst: np.ndarray, n: int, max_depth: int, roots: np.ndarray) -> np.ndarray:
     total = np.zeros(n)
-    for first in range(0, len(sources), at_once):
-        roots = sources[first : first + at_once]
-        row = np.arange(len(roots))
-        seen = np.zeros((len(roots), n), dtype=bool)
-        seen[row, roots] = True
-        wave = seen.copy()
-        for level in range(1, max_depth + 1):
-            wave = (_spread(wave, src, dst, n) > 0) & ~seen
-            if not wave.any():
-                break
-            seen |= wave
-            total[roots] += wave.sum(1) / level
+    for root, _, level in waves(src, dst, n, max_depth, roots):
+        total += np.bincount(root, minlength=n) / level
     return total
 
 
-def path_steps(versions: DataFrame, dates: Dates) -> DataFrame:
-    """(date, src, dst, step): each active version in both directions with its place in scan order.
+# --- paths --------------------------------------------------------------------------------------
+
 
-    ``step`` ends with the version_id; the version's other columns are fetched
+def path_steps(versions: DataFrame, spine: Spine) -> DataFrame:
+    """(src, dst, t0, t1, side, p, s, f, v): each active version in both directions with its place in scan order.
+
+    The place ends with the version_id; the version's other columns are fetched
     for the finished paths only.
     """
-    step = lambda side, s: F.struct(F.lit(side).alias("side"), F.col("predicate").alias("p"), s.alias("s"), F.col("valid_from").alias("f"), F.col("version_id").alias("v")).alias("step")
-    forward = F.struct(F.col("subject_id").alias("src"), F.col("object_id").alias("dst"), step(0, F.lit("")))
-    backward = F.struct(F.col("object_id").alias("src"), F.col("subject_id").alias("dst"), step(1, F.col("subject_id")))
-    wanted = versions.where(F.col("subject_id") != F.col("object_id")).select("version_id", "subject_id", "predicate", "object_id", "valid_from", "valid_to")
-    rows = dated(wanted, dates).select("date", F.explode(F.array(forward, backward)).alias("e")).select("date", "e.*")
-    # Of parallel versions between two entities only the first in scan order can be on a path.
-    return rows.groupBy("date", "src", "dst").agg(F.min("step").alias("step"))
+    wanted = spans(versions.where(F.col("subject_id") != F.col("object_id")).select("version_id", "subject_id", "predicate", "object_id", "valid_from", "valid_to"), spine)
+    place = [F.col("predicate").alias("p"), F.unix_date("valid_from").alias("f"), F.col("version_id").alias("v"), *SPAN]
+    forward = wanted.select(F.col("subject_id").alias("src"), F.col("object_id").alias("dst"), F.lit(0).alias("side"), F.lit("").alias("s"), *place)
+    backward = wanted.select(F.col("object_id").alias("src"), F.col("subject_id").alias("dst"), F.lit(1).alias("side"), F.col("subject_id").alias("s"), *place)
+    return forward.unionByName(backward)
+
 
+STEP = ["side", "p", "s", "f", "v"]
 
-def shortest_paths(versions: DataFrame, a: str, b: str, dates: Dates, max_depth: int = 4, local_edges: int = 200_000) -> DataFrame:
+
+def shortest_paths(versions: DataFrame, a: str, b: str, dates: Dates, max_depth: int = 4, local_edges: int = 500_000) -> DataFrame:
     """(date, hops, path): a shortest undirected path per date that has one within ``max_depth`` hops.
 
     Ties go to the path that breadth-first search in scan order meets first:
     every node keeps its least *rank*, the list of steps that led to it.  From
-    an entity to itself the path is empty, on every date.  Dates with at most
-    ``local_edges`` edges are searched one per task, others level by level with
-    joins.
+    an entity to itself the path is empty, on every date.
     """
     check_depth(max_depth)
-    spark = versions.sparkSession
-    all_dates = dates.frame(spark).select("date") if isinstance(dates, Spine) else spark.range(1).select(day_literal(dates).alias("date"))
+    spark, spine = versions.sparkSession, spine_of(dates)
     if a == b:
         kind = versions.select(F.struct(*versions.columns).alias("x")).schema["x"].dataType.simpleString()
-        return all_dates.select("date", F.lit(0).alias("hops"), F.from_json(F.lit("[]"), f"array<{kind}>").alias("path"))
-    steps = materialize(path_steps(versions, dates), "path-steps")
-    small, large = _by_size(steps, local_edges)
-    ranked = _paths_local(small, a, b, max_depth)
-    if large is not None:
-        ranked = ranked.unionByName(_paths_joins(large, a, b, max_depth))
+        return spine.frame(spark).select("date", F.lit(0).alias("hops"), F.from_json(F.lit("[]"), f"array<{kind}>").alias("path"))
+    steps, small = _stored(path_steps(versions, spine), "path-steps", local_edges)
+    ranked = _paths_local(steps, spine, a, b, max_depth) if small else _paths_joins(steps, a, b, max_depth)
     version = F.struct(*versions.columns).alias("version")
     return (
-        ranked.select("date", "hops", F.posexplode("ids").alias("hop", "version_id"))
+        _dated(ranked, spine).select("date", "hops", F.posexplode("ids").alias("hop", "version_id"))
         .join(versions.select(F.col("version_id").alias("id"), version), F.col("id") == F.col("version_id"))
         .groupBy("date", "hops")
         .agg(F.array_sort(F.collect_list(F.struct("hop", "version"))).alias("p"))
@@ -164,60 +302,61 @@ def shortest_paths(versions: DataFrame, a: str, b: str, dates: Dates, max_depth:
 
 
 def _paths_joins(steps: DataFrame, a: str, b: str, max_depth: int) -> DataFrame:
-    """(date, hops, ids) by a join per level; every node keeps its least rank."""
-    seen: DataFrame | None = None
+    """(tick, hops, ids) by a join per level; every node keeps its least rank on every date."""
+    levels: list[DataFrame] = []
+    step = F.struct(*STEP)
     for level in range(1, max_depth + 1):
         # The last level is only asked for the target.
         usable = steps.where(F.col("dst") == b) if level == max_depth else steps.where(F.col("dst") != a)
-        if seen is None:
-            found = usable.where(F.col("src") == a).select("date", F.col("dst").alias("node"), F.array("step").alias("rank"))
+        if not levels:
+            found = usable.where(F.col("src") == a).select(F.explode(F.sequence("t0", "t1")).alias("tick"), F.col("dst").alias("node"), F.array(step).alias("rank"))
         else:
             # Dates whose target is reached are done; their frontier is not expanded any more.
-            done = seen.where(F.col("node") == b).select("date")
-            frontier = seen.where(F.col("hops") == level - 1).join(done, "date", "left_anti")
-            found = frontier.join(usable, (frontier["date"] == usable["date"]) & (frontier["node"] == usable["src"])).select(
-                frontier["date"], F.col("dst").alias("node"), F.concat("rank", F.array("step")).alias("rank")
-            )
-        new = found.groupBy("date", "node").agg(F.min("rank").alias("rank")).select("date", "node", F.lit(level).alias("hops"), "rank")
-        if seen is not None:
-            new = seen.unionByName(new.join(seen.select("date", "node"), ["date", "node"], "left_anti"))
-        seen = materialize(new, "path")
-    return seen.where(F.col("node") == b).select("date", "hops", F.col("rank.v").alias("ids"))
-
-
-def _paths_local(steps: DataFrame, a: str, b: str, max_depth: int) -> DataFrame:
-    """(date, hops, ids) of dates whose steps ``_by_size`` has bounded, one date per task."""
-    ship_package(steps.sparkSession)
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["src", "side", "p", "s", "f", "v"], kind="stable")
-        src, dst, ids = part["src"].to_numpy(), part["dst"].to_numpy(), part["v"].to_numpy()
-        begin = dict(zip(src[::-1].tolist(), range(len(src) - 1, -1, -1)))
-        came: dict[str, tuple[str, int] | None] = {a: None}
-        wave = [a]
-        for _ in range(max_depth):
-            following = []
-            for node in wave:
-                k = begin.get(node, len(src))
-                while k < len(src) and src[k] == node:
-                    if dst[k] not in came:
-                        came[dst[k]] = (node, int(ids[k]))
-                        following.append(dst[k])
-                    k += 1
-            wave = following
-            if b in came or not wave:
-                break
-        if b not in came:
-            return pd.DataFrame({"date": part["date"].iloc[:0], "hops": pd.Series(dtype="int32"), "ids": pd.Series(dtype=object)})
-        path: list[int] = []
-        node = b
-        while came[node] is not None:
-            node, step = came[node]
-            path.append(step)
-        return pd.DataFrame({"date": [part["date"].iloc[0]], "hops": [len(path)], "ids": [path[::-1]]})
-
-    flat = steps.select("date", "src", "dst", "step.side", "step.p", "step.s", F.unix_date("step.f").alias("f"), "step.v")
-    return flat.groupBy("date").applyInPandas(run, "date date, hops int, ids array<bigint>")
+            done = reduce(DataFrame.unionByName, levels).where(F.col("node") == b).select("tick")
+            frontier = levels[-1].join(done, "tick", "left_anti")
+            found = _on(usable, frontier).select("tick", F.col("dst").alias("node"), F.concat("rank", F.array(step)).alias("rank"))
+        new = found.groupBy("tick", "node").agg(F.min("rank").alias("rank"))
+        for known in levels[-2:]:
+            new = new.join(known.select("tick", "node"), ["tick", "node"], "left_anti")
+        levels.append(materialize(new, "path"))
+    return reduce(DataFrame.unionByName, (x.where(F.col("node") == b).select("tick", F.lit(k).alias("hops"), F.col("rank.v").alias("ids")) for k, x in enumerate(levels, 1)))
+
+
+def _paths_local(steps: DataFrame, spine: Spine, a: str, b: str, max_depth: int) -> DataFrame:
+    """(tick, hops, ids), a stretch of dates per task."""
+
+    def solve(part: pd.DataFrame, ticks: range, k: int, parts: int) -> pd.DataFrame:
+        part = part.sort_values(["src", *STEP], kind="stable")
+        names, codes = np.unique(np.concatenate([part["src"].to_numpy(), part["dst"].to_numpy(), [a, b]]).astype(str), return_inverse=True)
+        src, dst, ids = codes[: len(part)], codes[len(part) : -2], part["v"].to_numpy()
+        t0, t1, start, target = part["t0"].to_numpy(), part["t1"].to_numpy(), int(codes[-2]), int(codes[-1])
+        order = np.argsort(src, kind="stable")
+        found: list[tuple[int, int, list[int]]] = []
+        for tick in ticks:
+            on = order[(t0[order] <= tick) & (t1[order] >= tick)]
+            border = np.searchsorted(src[on], np.arange(len(names) + 1))
+            came: dict[int, tuple[int, int] | None] = {start: None}
+            wave = [start]
+            for _ in range(max_depth):
+                following = []
+                for node in wave:
+                    for e in on[border[node] : border[node + 1]]:
+                        if (end := int(dst[e])) not in came:
+                            came[end] = (node, int(ids[e]))
+                            following.append(end)
+                wave = following
+                if target in came or not wave:
+                    break
+            if target in came:
+                path: list[int] = []
+                node = target
+                while came[node] is not None:
+                    node, version = came[node]
+                    path.append(version)
+                found.append((tick, len(path), path[::-1]))
+        return pd.DataFrame(found, columns=["tick", "hops", "ids"])
+
+    return _deal(steps, spine, solve, "tick int, hops int, ids array<bigint>", 1)
 
 
 def path_history(versions: DataFrame, a: str, b: str, spine: Spine, max_depth: int = 4) -> DataFrame:
@@ -225,14 +364,6 @@ def path_history(versions: DataFrame, a: str, b: str, spine: Spine, max_depth: i
     return spine.frame(versions.sparkSession).select("date").join(shortest_paths(versions, a, b, spine, max_depth), "date", "left")
 
 
-def path_lengths(versions: DataFrame, sources: list[str], dates: Dates, max_depth: int = 4) -> DataFrame:
-    """(date, source, node, hops) from some sources to everything within reach."""
-    edges = undirected_edges(versions, dates)
-    named = edges.sparkSession.createDataFrame([(s,) for s in sources], "source string")
-    starts = edges.select("date", F.col("src").alias("source")).distinct().join(named, "source", "left_semi")
-    return bfs_distances(edges, starts, max_depth).withColumnRenamed("dist", "hops")
-
-
 def first_connected(versions: DataFrame, a: str, b: str, start: Day | None = None, end: Day | None = None, max_depth: int = 4) -> DataFrame:
     """(first_connected): the earliest start of any version in [start, end] on which a path exists; NULL if none.
 
@@ -284,65 +415,25 @@ def _undominated(rows: DataFrame, keys: list[str]) -> DataFrame:
 # --- centrality -----------------------------------------------------------------------------
 
 
-def betweenness(versions: DataFrame, dates: Dates, max_depth: int = 4, local_edges: int = 200_000) -> DataFrame:
-    """(date, entity, betweenness) of all active entities: Brandes, unweighted, undirected, cut at ``max_depth``.
+def betweenness(versions: DataFrame, dates: Dates, max_depth: int = 4, entities: list[str] | None = None, local_edges: int = 500_000) -> DataFrame:
+    """(date, entity, betweenness) of active entities: Brandes, unweighted, undirected, cut at ``max_depth``.
 
-    Dates whose graph has at most ``local_edges`` edges are solved one per task
-    by an array kernel; larger ones level by level with joins.
+    For given ``entities`` only the sources around them are searched: a path
+    through an entity starts less than ``max_depth`` hops from it.
     """
     check_depth(max_depth)
-    edges = materialize(undirected_edges(versions, dates), "edges")
+    spine = spine_of(dates)
+    active = spans(versions, spine).select(F.explode(F.array("subject_id", "object_id")).alias("entity"), *SPAN)
+    if entities is not None:
+        active = active.where(F.col("entity").isin(entities))
     # Self-loops make an entity active though they are no edge.
-    nodes = dated(versions, dates).select("date", F.explode(F.array("subject_id", "object_id")).alias("entity")).distinct()
-    small, large = _by_size(edges, local_edges)
-    scores = _blocks(small, lambda s, d, n, roots: betweenness_kernel(s, d, n, max_depth, roots))
-    if large is not None:
-        scores = scores.unionByName(_betweenness_joins(large, max_depth))
-    return nodes.join(scores, ["date", "entity"], "left").select("date", "entity", F.coalesce("score", F.lit(0.0)).alias("betweenness"))
-
-
-def _blocks(edges: DataFrame, kernel, entities: list[str] | None = None, blocks: int = 16) -> DataFrame:
-    """Run a kernel (src, dst, node count, sources) -> scores with the sources of a date dealt to ``blocks`` tasks.
-
-    Each task has that date's edges, which ``_by_size`` has bounded.  Scores of
-    one entity from several blocks are added up.
-    """
-    ship_package(edges.sparkSession)
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            for date, block, src, dst in zip(part["date"], part["block"], part["src"], part["dst"]):
-                names, codes = np.unique(np.concatenate([src, dst]).astype(str), return_inverse=True)
-                roots = np.arange(len(names)) if entities is None else np.flatnonzero(np.isin(names, entities))
-                score = kernel(codes[: len(src)], codes[len(src) :], len(names), roots[block::blocks])
-                kept = np.flatnonzero(score)
-                if len(kept):
-                    yield pd.DataFrame({"date": [date] * len(kept), "entity": names[kept], "score": score[kept]})
-
-    packed = edges.groupBy("date").agg(F.collect_list(F.struct("src", "dst")).alias("e")).select("date", "e.src", "e.dst")
-    dealt = packed.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).repartition("date", "block")
-    return dealt.mapInPandas(run, "date date, entity string, score double").groupBy("date", "entity").agg(F.sum("score").alias("score"))
-
-
-def _by_size(edges: DataFrame, limit: int) -> tuple[DataFrame, DataFrame | None]:
-    """Edges of dates within ``limit`` and of dates beyond it (None if there are none)."""
-    sizes = materialize(edges.groupBy("date").agg(F.count(F.lit(1)).alias("n")), "edge-counts")
-    big = sizes.where(F.col("n") > limit).select("date")
-    if big.isEmpty():
-        return edges, None
-    return edges.join(big, "date", "left_anti"), edges.join(big, "date", "left_semi")
-
-
-def _local(edges: DataFrame, kernel) -> DataFrame:
-    """Run a kernel (src, dst, node count) -> scores per date; groups are bounded by ``_by_size``."""
-    ship_package(edges.sparkSession)
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        names, codes = np.unique(np.concatenate([part["src"].to_numpy(), part["dst"].to_numpy()]).astype(str), return_inverse=True)
-        score = kernel(codes[: len(part)], codes[len(part) :], len(names))
-        return pd.DataFrame({"date": part["date"].iloc[0], "entity": names, "score": score})
-
-    return edges.groupBy("date").applyInPandas(run, "date date, entity string, score double")
+    nodes = active.distinct().select("entity", F.explode(F.sequence("t0", "t1")).alias("tick")).distinct()
+    edges, small = _stored(undirected_edges(versions, spine), "edges", local_edges)
+    if small:
+        scores = _scores(edges, spine, lambda s, d, n, roots: betweenness_kernel(s, d, n, max_depth, roots), entities, ball=max_depth - 1)
+    else:
+        scores = _betweenness_joins(materialize(merged(edges), "edges"), spine, entities, max_depth)
+    return _dated(nodes.join(scores, ["tick", "entity"], "left").select("tick", "entity", F.coalesce("score", F.lit(0.0)).alias("betweenness")), spine)
 
 
 def betweenness_kernel(src: np.ndarray, dst: np.ndarray, n: int, max_depth: int, sources: np.ndarray, at_once: int = 64) -> np.ndarray:
@@ -385,17 +476,20 @@ def _spread(values: np.ndarray, src: np.ndarray, dst: np.ndarray, n: int) -> np.
     return np.stack([np.bincount(dst, weights=row[src], minlength=n) for row in values])
 
 
-def _betweenness_joins(edges: DataFrame, max_depth: int) -> DataFrame:
-    """Level-synchronous Brandes with all sources as a key; path counts are doubles."""
-    key = ["date", "source", "node"]
-    start = edges.select("date", F.col("src").alias("source")).distinct()
-    levels = [materialize(start.select("date", "source", F.col("source").alias("node"), F.lit(1.0).alias("sigma")), "sigma")]
+def _betweenness_joins(edges: DataFrame, spine: Spine, entities: list[str] | None, max_depth: int) -> DataFrame:
+    """Level-synchronous Brandes with all sources as a key; path counts are doubles.
+
+    The intervals of a pair are disjoint, so that it counts once on a date.
+    """
+    key = ["tick", "source", "node"]
+    sources = edges.select(F.col("src").alias("source")).distinct()
+    start = _on_spine(edges, sources if entities is None else sources.where(F.col("source").isin(entities)), spine)
+    if entities is not None and max_depth > 1:
+        near = bfs_distances(edges, start, max_depth - 1).select("tick", F.col("node").alias("source"))
+        start = materialize(start.unionByName(near).distinct(), "around")
+    levels = [materialize(start.select("tick", "source", F.col("source").alias("node"), F.lit(1.0).alias("sigma")), "sigma")]
     for _ in range(max_depth):
-        step = (
-            levels[-1].join(edges.withColumnRenamed("src", "node"), ["date", "node"])
-            .groupBy("date", "source", F.col("dst").alias("node"))
-            .agg(F.sum("sigma").alias("sigma"))
-        )
+        step = _on(edges, levels[-1]).groupBy("tick", "source", F.col("dst").alias("node")).agg(F.sum("sigma").alias("sigma"))
         # Neighbours of a level lie on the level before, on it, or after it.
         for known in levels[-2:]:
             step = step.join(known.select(*key), key, "left_anti")
@@ -404,22 +498,18 @@ def _betweenness_joins(edges: DataFrame, max_depth: int) -> DataFrame:
     scored: list[DataFrame] = []
     for level in range(max_depth, 0, -1):
         pushed = (
-            below.withColumn("share", (1 + F.col("delta")) / F.col("sigma"))
-            .join(edges.withColumnRenamed("src", "node"), ["date", "node"])
-            .groupBy("date", "source", F.col("dst").alias("node"))
+            _on(edges, below.withColumn("share", (1 + F.col("delta")) / F.col("sigma")))
+            .groupBy("tick", "source", F.col("dst").alias("node"))
             .agg(F.sum("share").alias("share"))
         )
-        scored.append(below.select("date", "node", "delta"))
+        scored.append(below.select("tick", "node", "delta"))
         below = materialize(
             levels[level - 1].join(pushed, key, "left").select(*key, "sigma", (F.col("sigma") * F.coalesce("share", F.lit(0.0))).alias("delta")), "delta"
         )
-    everything = scored[0]
-    for more in scored[1:]:
-        everything = everything.unionByName(more)
-    return everything.groupBy("date", F.col("node").alias("entity")).agg((F.sum("delta") / 2).alias("score"))
+    return reduce(DataFrame.unionByName, scored).groupBy("tick", F.col("node").alias("entity")).agg((F.sum("delta") / 2).alias("score"))
 
 
-def pagerank(versions: DataFrame, dates: Dates, damping: float = 0.85, max_iterations: int = 100, tolerance: float = 1e-6, local_edges: int = 200_000) -> DataFrame:
+def pagerank(versions: DataFrame, dates: Dates, damping: float = 0.85, max_iterations: int = 100, tolerance: float = 1e-6, local_edges: int = 500_000) -> DataFrame:
     """(date, entity, pagerank) of all active entities; every date sums to 1.
 
     Directed, each edge once, self-loops left out, uniform start, the rank of
@@ -428,14 +518,15 @@ def pagerank(versions: DataFrame, dates: Dates, damping: float = 0.85, max_itera
     """
     if not 0 < damping < 1 or max_iterations < 1:
         raise ValidationError("damping lies between 0 and 1, max_iterations from 1 on")
+    spine = spine_of(dates)
     # A self-loop keeps its entity in the graph: it is marked by equal ends and never followed.
-    rows = dated(versions, dates).select("date", F.col("subject_id").alias("src"), F.col("object_id").alias("dst")).distinct()
-    edges = materialize(rows, "directed")
-    small, large = _by_size(edges, local_edges)
-    ranks = _local(small, lambda s, d, n: pagerank_kernel(s, d, n, damping, max_iterations, tolerance))
-    if large is not None:
-        ranks = ranks.unionByName(_pagerank_joins(large, damping, max_iterations, tolerance))
-    return ranks.withColumnRenamed("score", "pagerank")
+    rows = spans(versions, spine).select(F.col("subject_id").alias("src"), F.col("object_id").alias("dst"), *SPAN).distinct()
+    edges, small = _stored(rows, "directed", local_edges)
+    if small:
+        ranks = _scores(edges, spine, lambda s, d, n, _: pagerank_kernel(s, d, n, damping, max_iterations, tolerance), None, rooted=False)
+    else:
+        ranks = _pagerank_joins(edges, damping, max_iterations, tolerance)
+    return _dated(ranks, spine).withColumnRenamed("score", "pagerank")
 
 
 def pagerank_kernel(src: np.ndarray, dst: np.ndarray, n: int, damping: float, max_iterations: int, tolerance: float) -> np.ndarray:
@@ -454,22 +545,26 @@ def pagerank_kernel(src: np.ndarray, dst: np.ndarray, n: int, damping: float, ma
 
 
 def _pagerank_joins(edges: DataFrame, damping: float, max_iterations: int, tolerance: float) -> DataFrame:
-    ends = edges.select("date", F.explode(F.array("src", "dst")).alias("entity")).distinct()
-    real = edges.where("src != dst")
-    out = real.groupBy("date", F.col("src").alias("entity")).agg(F.count(F.lit(1)).alias("out"))
-    counts = ends.groupBy("date").agg(F.count(F.lit(1)).alias("n"))
-    nodes = materialize(ends.join(out, ["date", "entity"], "left").join(counts, "date"), "rank-nodes")
-    ranks = materialize(nodes.select("date", "entity", "out", "n", (1.0 / F.col("n")).alias("rank")), "ranks")
-    links = materialize(real.withColumnRenamed("src", "entity"), "rank-links")
+    spark = edges.sparkSession
+    links = materialize(merged(edges.where("src != dst")), "rank-links")
+    ends = edges.select(F.explode(F.array("src", "dst")).alias("entity"), *SPAN).distinct().select("entity", F.explode(F.sequence("t0", "t1")).alias("tick")).distinct()
+    out = links.select(F.col("src").alias("entity"), F.explode(F.sequence("t0", "t1")).alias("tick")).groupBy("tick", "entity").agg(F.count(F.lit(1)).alias("out"))
+    counts = ends.groupBy("tick").agg(F.count(F.lit(1)).alias("n"))
+    start = ends.join(out, ["tick", "entity"], "left").join(counts, "tick").select("tick", "entity", "out", "n", (1.0 / F.col("n")).alias("rank"))
+    paths = [scratch_path(spark, "ranks")]
+    ranks = materialize(start, "ranks", paths[0])
     for _ in range(max_iterations):
-        flow = ranks.join(links, ["date", "entity"]).groupBy("date", F.col("dst").alias("entity")).agg(F.sum(F.col("rank") / F.col("out")).alias("flow"))
-        loose = ranks.groupBy("date").agg(F.sum(F.when(F.col("out").isNull(), F.col("rank")).otherwise(0.0)).alias("loose"))
+        going = _on(links, ranks.withColumnRenamed("entity", "node"))
+        flow = going.groupBy("tick", F.col("dst").alias("entity")).agg(F.sum(F.col("rank") / F.col("out")).alias("flow"))
+        loose = ranks.groupBy("tick").agg(F.sum(F.when(F.col("out").isNull(), F.col("rank")).otherwise(0.0)).alias("loose"))
         rank = (1 - damping) / F.col("n") + damping * (F.coalesce("flow", F.lit(0.0)) + F.col("loose") / F.col("n"))
-        new = ranks.join(flow, ["date", "entity"], "left").join(loose, "date").select("date", "entity", "out", "n", rank.alias("rank"), F.abs(rank - F.col("rank")).alias("moved"))
-        written = materialize(new, "ranks")
-        most = written.groupBy("date").agg(F.sum("moved").alias("m")).agg(F.max("m")).first()[0]
+        new = ranks.join(flow, ["tick", "entity"], "left").join(loose, "tick").select("tick", "entity", "out", "n", rank.alias("rank"), F.abs(rank - F.col("rank")).alias("moved"))
+        paths.append(scratch_path(spark, "ranks"))
+        written = materialize(new, "ranks", paths[-1])
+        # Only the newest round is read from here on.
+        discard(spark, paths[-2])
+        most = written.groupBy("tick").agg(F.sum("moved").alias("m")).agg(F.max("m")).first()[0]
         ranks = written.drop("moved")
         if (most or 0.0) < tolerance:
             break
-    return ranks.select("date", "entity", F.col("rank").alias("score"))
-
+    return ranks.select("tick", "entity", F.col("rank").alias("score"))

@@ -455,7 +455,7 @@ class TemporalGraph:
         return graph.betweenness(self.versions, day, max_depth).drop("date")
 
     def betweenness(self, entity: str, day: temporal.Day, max_depth: int = 4) -> float:
-        row = self.betweenness_all(day, max_depth).where(F.col("entity") == entity).first()
+        row = graph.betweenness(self.versions, day, max_depth, [entity]).first()
         return 0.0 if row is None else row["betweenness"]
 
     def pagerank_all(self, day: temporal.Day, damping: float = 0.85, max_iterations: int = 100, tolerance: float = 1e-6) -> DataFrame:
@@ -503,7 +503,7 @@ def track(versions: DataFrame, metric: str, target: str | tuple, start: temporal
     if metric == "closeness":
         found = graph.closeness(versions, spine, [target[0]], max_depth)
     elif metric == "betweenness":
-        found = graph.betweenness(versions, spine, max_depth).where(F.col("entity") == target[0])
+        found = graph.betweenness(versions, spine, max_depth, [target[0]])
     else:
         found = graph.pagerank(versions, spine).where(F.col("entity") == target[0])
     return metrics.GraphSignal(metrics.densify(found.withColumnRenamed(metric, "value"), spine, 0.0))
