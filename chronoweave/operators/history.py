@@ -28,6 +28,7 @@ class DeltaStore:
     """The stored history: tables in the shared folder."""
 
     every: int
+    deliveries: DataFrame  # the snapshots it was built from, kept for lines that are delivered to again
     days: DataFrame  # subject_id, predicate, taken_on, ordinal, last_ordinal, last_day: one row per counted day
     checkpoints: DataFrame  # subject_id, predicate, object_id, segment, ordinal, day, confidence
     patches: DataFrame  # subject_id, predicate, object_id, segment, ordinal, op, day, confidence
@@ -93,7 +94,31 @@ def build(snapshots: DataFrame, every: int = 16) -> DeltaStore:
         .select(*ITEM, "segment", "day", "confidence", "e.op", "e.ordinal"),
         "history-log",
     )
-    return DeltaStore(every, days, log.where("op = 'full'").drop("op"), log.where("op != 'full'"))
+    return DeltaStore(every, snapshots, days, log.where("op = 'full'").drop("op"), log.where("op != 'full'"))
+
+
+def append(store: DeltaStore, snapshots: DataFrame) -> DeltaStore:
+    """The store with further snapshots, later or corrected ones: as if it had been built from all of them.
+
+    Only the subjects and predicates that they deliver to are taken apart and
+    checkpointed again, from their own deliveries; everything else is kept as
+    it lies.  ``compact`` writes the parts together after many appends.
+    """
+    names = [c for c in snapshots.columns if c in store.deliveries.columns]
+    lines = snapshots.where("subject_id is not null and predicate is not null").select(*LINE).distinct()
+    own = store.deliveries.select(*names).join(lines, LINE, "left_semi").unionByName(snapshots.select(*names))
+    new = build(own, store.every)
+    kept = lambda old, added: old.join(lines, LINE, "left_anti").unionByName(added)
+    return DeltaStore(
+        store.every, store.deliveries.select(*names).unionByName(snapshots.select(*names)),
+        kept(store.days, new.days), kept(store.checkpoints, new.checkpoints), kept(store.patches, new.patches),
+    )
+
+
+def compact(store: DeltaStore) -> DeltaStore:
+    """The same store with every table written in one part."""
+    parts = {name: materialize(getattr(store, name), f"history-{name}") for name in ("deliveries", "days", "checkpoints", "patches")}
+    return DeltaStore(store.every, **parts)
 
 
 def reconstruct(store: DeltaStore) -> DataFrame:

@@ -90,12 +90,3 @@ def periods(intervals: DataFrame, entity: str = "relationship_id", start: str =
             F.when(F.col("period_to") < F.lit(FAR_DAY).cast("date"), F.col("period_to")).alias("period_to"),
         )
     )
-
-
-def covered_days(intervals: DataFrame, entity: str, start: str, end: str) -> DataFrame:
-    """(entity, days): days covered by at least one interval; every end must be given."""
-    return (
-        periods(intervals, entity, start, end)
-        .groupBy(entity)
-        .agg(F.sum(F.datediff("period_to", "period_from") + 1).cast("bigint").alias("days"))
-    )

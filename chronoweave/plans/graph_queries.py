@@ -6,7 +6,7 @@ rounded, so that both sides can be compared value by value.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chronoweave.functions.times import iso_day
@@ -21,6 +21,8 @@ from chronoweave.sources.tables import graph_versions, snapshot_events, table, t
 DAY, START, END, KNOWN = "2022-06-01", "2022-01-01", "2022-12-31", "2022-09-01"
 HUB, YARD, FAR = "CARR_0000017", "YARD_0000033", "CARR_0000204"
 MONTHS = Spine.of(START, END, 30)
+HALVES = Spine.of(START, END, 180)
+QUARTERS = Spine.of("2019-01-01", "2025-12-31", 90)
 FLAGSHIP = "MATCH (?s, BUYS_FROM, SUPP_1) AS OF '1998-06-01'"
 #: What a query reads of a version; a distinct does not prune by itself.
 SPANS = ("version_id", "relationship_id", "subject_id", "object_id", "valid_from", "valid_to")
@@ -129,7 +131,7 @@ def bfs_distances(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def closeness_all(spark: SparkSession, folder: str) -> DataFrame:
-    return graph.closeness(graph_versions(spark, folder, SPANS), DAY, None, 3).select("entity", F.round("closeness", 6).alias("closeness"))
+    return graph.closeness(graph_versions(spark, folder, SPANS), DAY).select("entity", F.round("closeness", 6).alias("closeness"))
 
 
 def track_closeness(spark: SparkSession, folder: str) -> DataFrame:
@@ -143,7 +145,7 @@ def path_hops(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def path_edges(spark: SparkSession, folder: str) -> DataFrame:
-    """The versions along the path of every date; ties are broken by scan order, which SQL does not tell."""
+    """The versions along the path; of several shortest paths the first in scan order."""
     found = graph.shortest_paths(graph_versions(spark, folder, FACTS), HUB, FAR, DAY)
     return _facts(found.select(F.posexplode("path").alias("hop", "v")).select("hop", "v.*"), "hop")
 
@@ -162,26 +164,91 @@ def pagerank_fixed_iters(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("entity", F.round("pagerank", 8).alias("pagerank"))
 
 
+def pagerank_converged(spark: SparkSession, folder: str) -> DataFrame:
+    """Ranks at which the iteration stops by itself, to as many digits as its tolerance settles."""
+    found = graph.pagerank(graph_versions(spark, folder, SPANS), DAY)
+    return found.select("entity", F.round("pagerank", 5).alias("pagerank"))
+
+
 def track_pagerank(spark: SparkSession, folder: str) -> DataFrame:
-    found = graph.pagerank(graph_versions(spark, folder, SPANS), MONTHS)
+    found = graph.pagerank(graph_versions(spark, folder, SPANS), HALVES, max_iterations=10, tolerance=0.0)
     return _text_days(found.select("date", "entity", F.round("pagerank", 8).alias("pagerank")))
 
 
 def betweenness_all(spark: SparkSession, folder: str) -> DataFrame:
-    return graph.betweenness(graph_versions(spark, folder, SPANS), DAY, 3).select("entity", F.round("betweenness", 4).alias("betweenness"))
+    return graph.betweenness(graph_versions(spark, folder, SPANS), DAY).select("entity", F.round("betweenness", 4).alias("betweenness"))
 
 
 def track_betweenness(spark: SparkSession, folder: str) -> DataFrame:
-    found = graph.betweenness(graph_versions(spark, folder, SPANS), Spine.of(START, END, 180), 2)
+    found = graph.betweenness(graph_versions(spark, folder, SPANS), HALVES, 2)
     return _text_days(found.select("date", "entity", F.round("betweenness", 4).alias("betweenness")))
 
 
 def changepoints(spark: SparkSession, folder: str) -> DataFrame:
-    """Change points of the monthly degree of every entity, one task per signal."""
+    """Change points of the monthly degree of every entity; binary segmentation is not told in SQL."""
     signal = metrics.track_degree(graph_versions(spark, folder, SPANS), Spine.of("2019-01-01", "2025-12-31", 30))
     return _text_days(changepoint.changepoints(signal, ["entity"]))
 
 
+def changepoints_planted(spark: SparkSession, folder: str) -> DataFrame:
+    """Signals of every entity that rise once, on the day it was first seen, and nowhere else."""
+    seen = table(spark, folder, "entities").where("first_seen is not null").groupBy("entity_id").agg(F.min("first_seen").alias("first_seen"))
+    ticks = seen.select("entity_id", "first_seen", F.explode(F.sequence(F.lit(0), F.lit(QUARTERS.size - 1))).alias("tick"))
+    signal = ticks.withColumn("date", QUARTERS.date(F.col("tick"))).withColumn("value", F.when(F.col("date") >= F.col("first_seen"), 10.0).otherwise(1.0))
+    return _text_days(changepoint.changepoints(signal, ["entity_id"], min_size=1))
+
+
+def version_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """All fields of the versions of a statement's answer."""
+    found = compile_statement(f"MATCH (?s, ?p, ?o) AS OF '{DAY}'", graph_versions(spark, folder, (*KNOWN_FACTS, "last_confirmed", "properties", "assertion_ids")))
+    ids = F.concat_ws(",", F.transform("assertion_ids", lambda x: F.coalesce(x.cast("string"), F.lit("-")))).alias("assertion_ids")
+    instant = lambda c: F.unix_micros(c).alias(c)
+    return _text_days(found.select(*FACTS, "last_confirmed", "properties", instant("system_from"), instant("system_to"), ids))
+
+
+def _numbered(found: DataFrame) -> DataFrame:
+    """Rows with their position in the order they come in."""
+    return found.withColumn("at", F.monotonically_increasing_id()).withColumn("position", F.row_number().over(Window.orderBy("at"))).drop("at")
+
+
+def history_order(spark: SparkSession, folder: str) -> DataFrame:
+    """The answer of HISTORY with the place of each row."""
+    found = compile_statement(f"HISTORY ({HUB}, ?p, ?o)", graph_versions(spark, folder, FACTS))
+    return _numbered(found.select("version_id"))
+
+
+def evidence_order(spark: SparkSession, folder: str) -> DataFrame:
+    """The assertions of a version in the order they were ingested."""
+    claims = provenance.unique_assertions(table(spark, folder, "assertions").select("assertion_id", "version_id", "ingested_at"))
+    return _numbered(provenance.evidence_of(claims, 5702).select("assertion_id"))
+
+
+def _tracked(text: str):
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        found = compile_statement(text, graph_versions(spark, folder, FACTS))
+        return _text_days(found.select("date", F.round("value", 6).alias("value")))
+
+    return run
+
+
+def path_statement(spark: SparkSession, folder: str) -> DataFrame:
+    found = compile_statement(f"PATH ({HUB}, {FAR}) AS OF '{DAY}' MAX_DEPTH 5", graph_versions(spark, folder, FACTS))
+    return found.select("hops", F.size("path").alias("edges"))
+
+
+def first_connected_statement(spark: SparkSession, folder: str) -> DataFrame:
+    return _text_days(compile_statement(f"FIRST_CONNECTED ({HUB}, {YARD}) BETWEEN '{START}' AND '{END}' MAX_DEPTH 2", graph_versions(spark, folder, FACTS)))
+
+
+def path_history_statement(spark: SparkSession, folder: str) -> DataFrame:
+    found = compile_statement(f"PATH_HISTORY ({HUB}, {FAR}) BETWEEN '{START}' AND '{END}' RESOLUTION '30d' MAX_DEPTH 3", graph_versions(spark, folder, FACTS))
+    return _text_days(found.select("date", F.coalesce("hops", F.lit(-1)).alias("hops")))
+
+
+def why_changed_statement(spark: SparkSession, folder: str) -> DataFrame:
+    return compile_statement(f"WHY_CHANGED ({HUB}, HAULS, CMDY_0001042) BETWEEN '{START}' AND '{END}'", graph_versions(spark, folder, FACTS))
+
+
 def why_changed_status(spark: SparkSession, folder: str) -> DataFrame:
     return provenance.change_status(graph_versions(spark, folder, FACTS), START, END)
 
@@ -198,12 +265,12 @@ def assertions_for_version(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def fold_assert_retract(spark: SparkSession, folder: str) -> DataFrame:
-    folded = ingest.folded_versions(trade_events(spark, folder))
-    return _text_days(folded.select("subject_id", "predicate", "object_id", "valid_from", "valid_to", "last_confirmed"))
+    folded = ingest.fold(trade_events(spark, folder), syncs=False)
+    return _text_days(folded.select("subject_id", "predicate", "object_id", "valid_from", "valid_to", "last_confirmed", F.round("confidence", 6).alias("confidence")))
 
 
 def fold_sync_snapshot(spark: SparkSession, folder: str) -> DataFrame:
-    folded = ingest.folded_versions(snapshot_events(spark, folder))
+    folded = ingest.fold(snapshot_events(spark, folder))
     return _text_days(folded.select("subject_id", "predicate", "object_id", "valid_from", "valid_to", "last_confirmed", F.round("confidence", 6).alias("confidence")))
 
 
@@ -248,8 +315,16 @@ QUERIES = {
     "match_all_wild": _statement(f"MATCH (?s, ?p, ?o) AS OF '{DAY}'"),
     "match_known_by": _statement(f"MATCH (?s, ?p, ?o) AS OF '{DAY}' KNOWN BY '{KNOWN}'"),
     "match_where": _statement(f"MATCH (?s, ?p, ?o) AS OF '{DAY}' WHERE confidence >= 0.8"),
+    "match_above": _statement(f"MATCH (?s, ?p, ?o) AS OF '{DAY}' WHERE confidence > 0.9"),
+    "match_at_most": _statement(f"MATCH (?s, ?p, ?o) AS OF '{DAY}' WHERE confidence <= 0.3"),
+    "match_equal": _statement(f"MATCH (?s, ?p, ?o) AS OF '{DAY}' WHERE confidence = 1.2"),
     "match_where_not": _statement(f"MATCH ({HUB}, ?p, ?o) AS OF '{DAY}' WHERE confidence != 0.5"),
     "match_limit": _statement(f"MATCH ({HUB}, ?p, ?o) AS OF '{DAY}' LIMIT 10"),
+    "track_degree_statement": _tracked(f"TRACK DEGREE({HUB}) BETWEEN '{START}' AND '{END}' RESOLUTION '30d'"),
+    "track_weighted_statement": _tracked(f"TRACK WEIGHTED_DEGREE({HUB}) BETWEEN '{START}' AND '{END}' RESOLUTION '30d'"),
+    "track_edge_statement": _tracked(f"TRACK EDGE_WEIGHT({HUB}, HAULS, CMDY_0001042) BETWEEN '{START}' AND '{END}' RESOLUTION '30d'"),
+    "track_closeness_statement": _tracked(f"TRACK CLOSENESS({HUB}) BETWEEN '{START}' AND '{END}' RESOLUTION '30d' MAX_DEPTH 2"),
+    "track_betweenness_statement": _tracked(f"TRACK BETWEENNESS({FAR}) BETWEEN '{START}' AND '{END}' RESOLUTION '180d' MAX_DEPTH 2"),
     "history": _statement(f"HISTORY ({HUB}, ?p, ?o)"),
     "history_between": _statement(f"HISTORY (?s, FEEDS, ?o) BETWEEN '{START}' AND '{END}' WHERE confidence < 0.9"),
 } | {
@@ -258,7 +333,8 @@ QUERIES = {
         match_bindings, diff_edges, diff_nodes, range_days, range_days_reverse, range_days_all, series_counts, series_facts, degree_all,
         edge_weight_all, track_degree, track_weighted_degree, track_edge_weight, signal_join, active_entities, neighbors, out_neighbors,
         bfs_distances, closeness_all, track_closeness, path_hops, path_edges, path_history, first_connected, pagerank_fixed_iters,
-        track_pagerank, betweenness_all, track_betweenness, changepoints, why_changed_status, why_changed_evidence, assertions_for_version,
+        pagerank_converged, track_pagerank, betweenness_all, track_betweenness, changepoints, changepoints_planted, why_changed_status,
+        version_rows, history_order, evidence_order, path_statement, first_connected_statement, path_history_statement, why_changed_statement, why_changed_evidence, assertions_for_version,
         fold_assert_retract, fold_sync_snapshot, entities_seen, entity_lookup, sources_dedup, relationships_found, stats, dump_restore_roundtrip,
     )
 }
@@ -279,6 +355,8 @@ def _spine(start: str, size: int, step: int) -> str:
 
 
 _MONTHS = _spine(START, MONTHS.size, MONTHS.step)
+_HALVES = _spine(START, HALVES.size, HALVES.step)
+_QUARTERS = _spine("2019-01-01", QUARTERS.size, QUARTERS.step)
 _WEEKS = _spine("2019-01-01", Spine.of("2019-01-01", "2025-12-31", 7).size, 7)
 _E = f"e AS (SELECT DISTINCT * FROM (SELECT subject_id AS src, object_id AS dst FROM v WHERE {_ACTIVE(_DAYQ)} UNION ALL SELECT object_id, subject_id FROM v WHERE {_ACTIVE(_DAYQ)}) WHERE src <> dst)"
 _DE = f"e AS (SELECT DISTINCT * FROM (SELECT date, subject_id AS src, object_id AS dst FROM v, sp WHERE {_ACTIVE('date')} UNION ALL SELECT date, object_id, subject_id FROM v, sp WHERE {_ACTIVE('date')}) WHERE src <> dst)"
@@ -288,7 +366,7 @@ WITH touch AS (SELECT 'CUST_' || o_custkey AS s, 'SUPP_' || l_suppkey AS o, CAST
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL),
 g AS (SELECT *, CASE WHEN date_diff('day', lag(d) OVER (PARTITION BY s, o ORDER BY d), d) <= 90 THEN 0 ELSE 1 END AS b FROM touch),
 i AS (SELECT *, sum(b) OVER (PARTITION BY s, o ORDER BY d ROWS UNBOUNDED PRECEDING) AS k FROM g),
-tv AS (SELECT s AS subject_id, 'BUYS_FROM' AS predicate, o AS object_id, min(d) AS valid_from, CASE WHEN max(d) + 90 <= DATE '2001-08-01' THEN max(d) + 90 END AS valid_to, max(d) AS last_confirmed, max(c) AS confidence
+tv AS (SELECT s AS subject_id, 'BUYS_FROM' AS predicate, o AS object_id, min(d) AS valid_from, CASE WHEN max(d) + 90 <= DATE '2001-08-01' THEN max(d) + 90 END AS valid_to, max(d) AS last_confirmed, max(c) AS confidence, arg_max(c, d) AS confidence_last
   FROM i GROUP BY s, o, k)"""
 
 
@@ -304,33 +382,54 @@ def _hops(levels: int, dated: bool, source: str = "") -> str:
     return ", ".join(parts)
 
 
-def _pagerank(rounds: int) -> str:
+def _pagerank(rounds: int, spine: str | None = None, digits: int = 8) -> str:
+    """Rounds of the published iteration; with a spine per date."""
+    source = f"SELECT DISTINCT date, subject_id AS src, object_id AS dst FROM v, sp WHERE {_ACTIVE('date')}" if spine else f"SELECT DISTINCT '{DAY}' AS date, subject_id AS src, object_id AS dst FROM v WHERE {_ACTIVE(_DAYQ)}"
     parts = [
-        _V,
-        f"r AS (SELECT DISTINCT subject_id AS src, object_id AS dst FROM v WHERE {_ACTIVE(_DAYQ)})",
+        _V, *([spine] if spine else []),
+        f"r AS ({source})",
         "e AS (SELECT * FROM r WHERE src <> dst)",
-        "nd AS (SELECT src AS entity FROM r UNION SELECT dst FROM r)",
-        "c AS (SELECT count(*) AS n FROM nd)",
-        "o AS (SELECT src, count(*) AS k FROM e GROUP BY 1)",
-        "r0 AS MATERIALIZED (SELECT entity, 1.0::DOUBLE / n AS x, k FROM nd CROSS JOIN c LEFT JOIN o ON o.src = entity)",
+        "nd AS (SELECT date, src AS entity FROM r UNION SELECT date, dst FROM r)",
+        "c AS (SELECT date, count(*) AS n FROM nd GROUP BY 1)",
+        "o AS (SELECT date, src, count(*) AS k FROM e GROUP BY 1, 2)",
+        "r0 AS MATERIALIZED (SELECT nd.date, entity, 1.0::DOUBLE / n AS x, k FROM nd JOIN c ON c.date = nd.date LEFT JOIN o ON o.src = entity AND o.date = nd.date)",
     ]
     for k in range(1, rounds + 1):
+        last = f"r{k - 1}"
         parts.append(
-            f"r{k} AS MATERIALIZED (SELECT p.entity, 0.15::DOUBLE / n + 0.85::DOUBLE * (coalesce(f.x, 0) + loose / n) AS x, p.k FROM r{k - 1} p CROSS JOIN c "
-            f"CROSS JOIN (SELECT coalesce(sum(x), 0) AS loose FROM r{k - 1} WHERE k IS NULL) LEFT JOIN (SELECT dst, sum(q.x / q.k) AS x FROM r{k - 1} q JOIN e ON e.src = q.entity GROUP BY 1) f ON f.dst = p.entity)"
+            f"r{k} AS MATERIALIZED (SELECT p.date, p.entity, 0.15::DOUBLE / n + 0.85::DOUBLE * (coalesce(f.x, 0) + coalesce(loose, 0) / n) AS x, p.k FROM {last} p JOIN c ON c.date = p.date "
+            f"LEFT JOIN (SELECT date, sum(x) AS loose FROM {last} WHERE k IS NULL GROUP BY 1) l ON l.date = p.date "
+            f"LEFT JOIN (SELECT q.date, dst, sum(q.x / q.k) AS x FROM {last} q JOIN e ON e.src = q.entity AND e.date = q.date GROUP BY 1, 2) f ON f.dst = p.entity AND f.date = p.date)"
         )
-    return ", ".join(parts) + f" SELECT entity, round(x, 8) AS pagerank FROM r{rounds}"
-
-
-_BETWEEN = f"""{_V}, {_E},
-s1 AS (SELECT src AS s, dst AS n, 1 AS d, 1.0::DOUBLE AS g FROM e),
-s2 AS (SELECT a.s, e.dst AS n, 2 AS d, sum(a.g) AS g FROM s1 a JOIN e ON a.n = e.src WHERE a.s <> e.dst AND NOT EXISTS (SELECT 1 FROM s1 b WHERE b.s = a.s AND b.n = e.dst) GROUP BY ALL),
-s3 AS (SELECT a.s, e.dst AS n, 3 AS d, sum(a.g) AS g FROM s2 a JOIN e ON a.n = e.src WHERE a.s <> e.dst AND NOT EXISTS (SELECT 1 FROM s1 b WHERE b.s = a.s AND b.n = e.dst)
-  AND NOT EXISTS (SELECT 1 FROM s2 b WHERE b.s = a.s AND b.n = e.dst) GROUP BY ALL),
-z AS (SELECT * FROM s1 UNION ALL SELECT * FROM s2 UNION ALL SELECT * FROM s3),
-b AS (SELECT x.n AS entity, sum(x.g * y.g / w.g) / 2 AS c FROM z x JOIN z y ON x.n = y.s AND x.d + y.d <= 3 JOIN z w ON w.s = x.s AND w.n = y.n AND w.d = x.d + y.d GROUP BY 1),
-nd AS (SELECT subject_id AS entity FROM v WHERE {_ACTIVE(_DAYQ)} UNION SELECT object_id FROM v WHERE {_ACTIVE(_DAYQ)})
-SELECT nd.entity, round(coalesce(c, 0), 4) AS betweenness FROM nd LEFT JOIN b USING (entity)"""
+    dated = f"{_D('date')} AS date, " if spine else ""
+    return ", ".join(parts) + f" SELECT {dated}entity, round(x, {digits}) AS pagerank FROM r{rounds}"
+
+
+def _between(depth: int, spine: str | None = None, entity: str | None = None) -> str:
+    """Pairs and their numbers of shortest paths up to ``depth``; an entity's score from the pairs it lies between."""
+    edges = _DE if spine else _E.replace("SELECT DISTINCT *", f"SELECT DISTINCT '{DAY}' AS date, *")
+    parts = [_V, *([spine] if spine else []), edges, "s1 AS (SELECT date, src AS s, dst AS n, 1 AS d, 1.0::DOUBLE AS g FROM e)"]
+    for k in range(2, depth + 1):
+        seen = " ".join(f"AND NOT EXISTS (SELECT 1 FROM s{j} b WHERE b.date = a.date AND b.s = a.s AND b.n = e.dst)" for j in range(max(1, k - 2), k))
+        parts.append(f"s{k} AS MATERIALIZED (SELECT a.date, a.s, e.dst AS n, {k} AS d, sum(a.g) AS g FROM s{k - 1} a JOIN e ON a.date = e.date AND a.n = e.src WHERE a.s <> e.dst {seen} GROUP BY ALL)")
+    parts.append("z AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT * FROM s{k}" for k in range(1, depth + 1)) + ")")
+    parts.append(f"b AS (SELECT x.date, x.n AS entity, sum(x.g * y.g / w.g) / 2 AS c FROM z x JOIN z y ON x.date = y.date AND x.n = y.s AND x.d + y.d <= {depth} JOIN z w ON w.date = x.date AND w.s = x.s AND w.n = y.n AND w.d = x.d + y.d GROUP BY 1, 2)")
+    days = f"SELECT date, {{}} AS entity FROM v, sp WHERE {_ACTIVE('date')}" if spine else f"SELECT '{DAY}' AS date, {{}} AS entity FROM v WHERE {_ACTIVE(_DAYQ)}"
+    parts.append(f"nd AS ({days.format('subject_id')} UNION {days.format('object_id')})")
+    if entity:
+        return ", ".join(parts) + f" SELECT {_D('sp.date')} AS date, round(coalesce(c, 0), 6) AS value FROM sp LEFT JOIN b ON b.date = sp.date AND b.entity = '{entity}'"
+    dated = f"{_D('nd.date')} AS date, " if spine else ""
+    return ", ".join(parts) + f" SELECT {dated}nd.entity, round(coalesce(c, 0), 4) AS betweenness FROM nd LEFT JOIN b ON b.date = nd.date AND b.entity = nd.entity"
+
+
+#: Walks in scan order: an outgoing version by predicate, start and id, then an incoming one by predicate, subject, start and id.
+_PATH = f"""{_V}, a AS (SELECT * FROM v WHERE {_ACTIVE(_DAYQ)} AND subject_id <> object_id),
+st AS (SELECT src, dst, min(struct_pack(side := side, p := predicate, s := s, f := valid_from, v := version_id)) AS step FROM (
+  SELECT subject_id AS src, object_id AS dst, 0 AS side, predicate, '' AS s, valid_from, version_id FROM a UNION ALL SELECT object_id, subject_id, 1, predicate, subject_id, valid_from, version_id FROM a) GROUP BY 1, 2),
+w1 AS (SELECT dst AS n, [step] AS w FROM st WHERE src = '{HUB}'), """ + ", ".join(
+    f"w{k} AS (SELECT st.dst AS n, min(list_append(w, step)) AS w FROM w{k - 1} JOIN st ON st.src = n WHERE st.dst <> '{HUB}' "
+    + " ".join(f"AND NOT EXISTS (SELECT 1 FROM w{j} x WHERE x.n = st.dst)" for j in range(1, k)) + " GROUP BY 1)" for k in range(2, 5)
+) + ", " + "f AS (" + " UNION ALL ".join(f"SELECT w FROM w{k} WHERE n = '" + FAR + "'" for k in range(1, 5)) + "), h AS (SELECT unnest(w).v AS version_id, generate_subscripts(w, 1) - 1 AS hop FROM f)"
 
 _MATCH = f"{_V} SELECT {_FACTS} FROM v WHERE {_ACTIVE(_DAYQ)}"
 _CHANGES = f"""c AS (SELECT *, 'opened' AS change FROM v WHERE valid_from > {_A} AND valid_from <= {_B}
@@ -372,20 +471,43 @@ ORACLES = {
     "neighbors": f"{_V}, {_E} SELECT src AS entity, dst AS neighbor FROM e",
     "out_neighbors": f"{_V} SELECT DISTINCT subject_id AS entity, object_id AS neighbor FROM v WHERE {_ACTIVE(_DAYQ)} AND subject_id <> object_id",
     "bfs_distances": f"{_V}, {_E}, {_hops(4, False, f'''WHERE src = '{HUB}' ''')} SELECT '{DAY}' AS date, s AS source, n AS node, d AS hops FROM dist",
-    "closeness_all": f"{_V}, {_E}, {_hops(3, False)} SELECT s AS entity, round(sum(1.0::DOUBLE / d), 6) AS closeness FROM dist GROUP BY 1",
+    "closeness_all": f"{_V}, {_E}, {_hops(4, False)} SELECT s AS entity, round(sum(1.0::DOUBLE / d), 6) AS closeness FROM dist GROUP BY 1",
     "track_closeness": f"{_V}, {_MONTHS}, {_DE}, {_hops(3, True, f'''WHERE src IN ('{HUB}', '{FAR}') ''')} SELECT {_D('date')} AS date, s AS entity, round(sum(1.0::DOUBLE / d), 6) AS value FROM dist GROUP BY ALL",
     "path_hops": f"{_V}, {_MONTHS}, {_DE}, {_hops(4, True, f'''WHERE src = '{HUB}' ''')} SELECT {_D('date')} AS date, d AS hops FROM dist WHERE n = '{FAR}'",
     "path_history": f"{_V}, {_MONTHS}, {_DE}, {_hops(4, True, f'''WHERE src = '{HUB}' ''')} SELECT {_D('sp.date')} AS date, coalesce(d, -1) AS hops FROM sp LEFT JOIN (SELECT * FROM dist WHERE n = '{YARD}') x ON x.date = sp.date",
     "first_connected": f"{_V}, sp AS (SELECT DISTINCT valid_from AS date FROM v WHERE valid_from BETWEEN {_A} AND {_B}), {_DE}, {_hops(2, True, f'''WHERE src = '{HUB}' ''')} SELECT {_D('min(date)')} AS first_connected FROM dist WHERE n = '{FAR}'",
     "pagerank_fixed_iters": _pagerank(20),
-    "betweenness_all": _BETWEEN,
+    "betweenness_all": _between(4),
+    "track_betweenness": _between(2, _HALVES),
+    "track_betweenness_statement": _between(2, _HALVES, FAR),
+    "track_pagerank": _pagerank(10, _HALVES),
+    "pagerank_converged": _pagerank(60, digits=5),
+    "path_edges": f"{_PATH} SELECT h.hop, {_FACTS} FROM h JOIN v USING (version_id)",
+    "changepoints_planted": f"WITH {_QUARTERS}, s AS (SELECT entity_id, min(first_seen) AS f FROM entities WHERE first_seen IS NOT NULL GROUP BY 1) SELECT entity_id, {_D('min(date)')} AS date FROM s JOIN sp ON date >= f GROUP BY entity_id HAVING min(date) > (SELECT min(date) FROM sp)",
+    "version_rows": f"""{_V.replace("SELECT DISTINCT ", "SELECT DISTINCT properties, assertion_ids, ")} SELECT {_FACTS}, {_D('last_confirmed')} AS last_confirmed, properties, epoch_us(system_from) AS system_from, epoch_us(system_to) AS system_to,
+  coalesce(array_to_string(list_transform(assertion_ids, lambda x: coalesce(x::VARCHAR, '-')), ','), '') AS assertion_ids FROM v WHERE {_ACTIVE(_DAYQ)}""",
+    "history_order": f"{_V} SELECT version_id, row_number() OVER (ORDER BY valid_from, predicate, version_id)::INTEGER AS position FROM v WHERE subject_id = '{HUB}'",
+    "evidence_order": "SELECT assertion_id, row_number() OVER (ORDER BY t, assertion_id)::INTEGER AS position FROM (SELECT assertion_id, min(ingested_at) AS t FROM assertions WHERE version_id = 5702 GROUP BY 1)",
+    "track_degree_statement": f"{_V}, {_TOUCH}, {_MONTHS} SELECT {_D('date')} AS date, count(DISTINCT relationship_id)::DOUBLE AS value FROM sp LEFT JOIN t ON entity = '{HUB}' AND {_ACTIVE('date')} GROUP BY 1",
+    "track_weighted_statement": f"{_V}, {_TOUCH}, {_MONTHS}, r AS (SELECT date, relationship_id, arg_max(coalesce(confidence, 0), (valid_from, version_id)) AS c FROM sp LEFT JOIN t ON entity = '{HUB}' AND {_ACTIVE('date')} GROUP BY 1, 2) SELECT {_D('date')} AS date, round(coalesce(sum(c), 0), 6) AS value FROM r GROUP BY 1",
+    "track_edge_statement": f"{_V}, {_MONTHS}, r AS (SELECT date, confidence AS value, row_number() OVER (PARTITION BY date ORDER BY valid_from DESC, version_id DESC) AS k FROM sp LEFT JOIN v ON subject_id = '{HUB}' AND predicate = 'HAULS' AND object_id = 'CMDY_0001042' AND {_ACTIVE('date')}) SELECT {_D('date')} AS date, round(value, 6) AS value FROM r WHERE k = 1",
+    "track_closeness_statement": f"{_V}, {_MONTHS}, {_DE}, {_hops(2, True, f'''WHERE src = '{HUB}' ''')} SELECT {_D('sp.date')} AS date, round(coalesce(sum(1.0::DOUBLE / d), 0), 6) AS value FROM sp LEFT JOIN dist ON dist.date = sp.date GROUP BY 1",
+    "path_statement": f"{_V}, {_E}, {_hops(5, False, f'''WHERE src = '{HUB}' ''')} SELECT d AS hops, d AS edges FROM dist WHERE n = '{FAR}'",
+    "first_connected_statement": f"{_V}, sp AS (SELECT DISTINCT valid_from AS date FROM v WHERE valid_from BETWEEN {_A} AND {_B}), {_DE}, {_hops(2, True, f'''WHERE src = '{HUB}' ''')} SELECT {_D('min(date)')} AS first_connected FROM dist WHERE n = '{YARD}'",
+    "path_history_statement": f"{_V}, {_MONTHS}, {_DE}, {_hops(3, True, f'''WHERE src = '{HUB}' ''')} SELECT {_D('sp.date')} AS date, coalesce(d, -1) AS hops FROM sp LEFT JOIN (SELECT * FROM dist WHERE n = '{FAR}') x ON x.date = sp.date",
+    "why_changed_statement": f"""{_V}, {_CHANGES}, k AS (SELECT count(*) FILTER (change = 'opened') AS o, count(*) FILTER (change = 'closed') AS c, count(*) FILTER (change = 'persisted') AS p FROM c WHERE subject_id = '{HUB}' AND predicate = 'HAULS' AND object_id = 'CMDY_0001042')
+SELECT DISTINCT subject_id, predicate, object_id, CASE WHEN o > 0 AND k.c > 0 THEN 'churned' WHEN o > 0 THEN 'opened' WHEN k.c > 0 THEN 'closed' WHEN p > 0 THEN 'persisted' ELSE 'no_relationship' END AS status, o AS opened, k.c AS closed, p AS persisted
+  FROM v, k WHERE subject_id = '{HUB}' AND predicate = 'HAULS' AND object_id = 'CMDY_0001042'""",
+    "match_above": f"{_MATCH} AND confidence > 0.9",
+    "match_at_most": f"{_MATCH} AND confidence <= 0.3",
+    "match_equal": f"{_MATCH} AND confidence = 1.2",
     "why_changed_status": f"""{_V}, {_CHANGES}, k AS (SELECT subject_id, predicate, object_id, count(*) FILTER (change = 'opened') AS opened, count(*) FILTER (change = 'closed') AS closed, count(*) FILTER (change = 'persisted') AS persisted FROM c GROUP BY 1, 2, 3),
 n AS (SELECT DISTINCT subject_id, predicate, object_id FROM v)
 SELECT subject_id, predicate, object_id, CASE WHEN opened > 0 AND closed > 0 THEN 'churned' WHEN opened > 0 THEN 'opened' WHEN closed > 0 THEN 'closed' WHEN persisted > 0 THEN 'persisted' ELSE 'no_relationship' END AS status,
   coalesce(opened, 0)::BIGINT AS opened, coalesce(closed, 0)::BIGINT AS closed, coalesce(persisted, 0)::BIGINT AS persisted FROM n LEFT JOIN k USING (subject_id, predicate, object_id)""",
     "why_changed_evidence": f"{_V}, a AS (SELECT DISTINCT assertion_id, version_id, source_id, event_time FROM assertions WHERE event_time BETWEEN {_A} AND {_B}), s AS (SELECT DISTINCT source_id, url FROM sources) SELECT assertion_id, a.version_id, subject_id, predicate, object_id, {_D('event_time')} AS event_time, a.source_id, url FROM a JOIN v ON v.version_id = a.version_id LEFT JOIN s ON s.source_id = a.source_id",
     "assertions_for_version": "SELECT DISTINCT assertion_id, source_id FROM assertions WHERE version_id = 42",
-    "fold_assert_retract": f"{_TRADE} SELECT subject_id, predicate, object_id, {_D('valid_from')} AS valid_from, {_D('valid_to')} AS valid_to, {_D('last_confirmed')} AS last_confirmed FROM tv",
+    "fold_assert_retract": f"{_TRADE} SELECT subject_id, predicate, object_id, {_D('valid_from')} AS valid_from, {_D('valid_to')} AS valid_to, {_D('last_confirmed')} AS last_confirmed, round(confidence_last, 6) AS confidence FROM tv",
     "fold_sync_snapshot": f"{_RUNS} SELECT s AS subject_id, 'DID' AS predicate, o AS object_id, {_D('min(d)')} AS valid_from, CASE WHEN max(d) < any_value(head) THEN {_D('max(d)')} END AS valid_to, {_D('max(d)')} AS last_confirmed, round(arg_max(c, d), 6) AS confidence FROM h GROUP BY s, o, run",
     "entities_seen": f"{_V}, x AS (SELECT subject_id AS entity_id, valid_from, last_confirmed FROM v UNION ALL SELECT object_id, valid_from, last_confirmed FROM v) SELECT entity_id, {_D('min(least(valid_from, last_confirmed))')} AS first_seen, {_D('max(greatest(valid_from, last_confirmed))')} AS last_seen FROM x GROUP BY 1",
     "entity_lookup": f"SELECT entity_id, type, {_D('first_seen')} AS first_seen, {_D('last_seen')} AS last_seen FROM entities WHERE entity_id = '{HUB}'",

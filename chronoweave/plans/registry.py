@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronoweave.plans import graph_queries, problem_queries
+from chronoweave.plans import graph_queries, problem_queries, store_queries
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
@@ -14,8 +14,8 @@ def flagship(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {**graph_queries.QUERIES, **problem_queries.QUERIES}
+    return {**graph_queries.QUERIES, **store_queries.QUERIES, **problem_queries.QUERIES}
 
 
 def oracles() -> dict[str, str]:
-    return {**graph_queries.ORACLES, **problem_queries.ORACLES}
+    return {**graph_queries.ORACLES, **store_queries.ORACLES, **problem_queries.ORACLES}

@@ -237,7 +237,7 @@ class TemporalGraph:
             raise StorageError(f"{path} already holds a graph")
         now = F.lit(dt.datetime.now(dt.timezone.utc))
         triple = Window.partitionBy(*TRIPLE)
-        newest = triple.orderBy(F.col("valid_to").isNull().desc(), F.col("valid_from").desc(), "version_id")
+        newest = triple.orderBy(F.col("valid_to").isNull().desc(), F.col("valid_from").desc(), F.col("confidence").desc_nulls_last(), "version_id")
         # Numbers are given where a row is read, so they are unique without any shuffle.
         facts = spark.read.schema(FACTS).json(dump_path).withColumn("version_id", -1 - F.monotonically_increasing_id())
         loaded = facts.select(

@@ -80,3 +80,16 @@ def test_state_is_read_from_the_nearest_checkpoint(spark, at):
 def test_empty(spark):
     store = history.build(spark.createDataFrame([], S))
     assert history.reconstruct(store).count() == 0
+
+
+def test_snapshots_can_be_appended(spark, at):
+    """Late deliveries, corrections and new subjects; the rest of the store is not rebuilt."""
+    rows = deliveries(5, at)
+    first = [r for k, r in enumerate(rows) if k % 3 and r[3] != "b"]
+    rest = [r for k, r in enumerate(rows) if not k % 3 or r[3] == "b"]
+    store = history.build(spark.createDataFrame(first, S), 4)
+    for part in (rest[: len(rest) // 2], rest[len(rest) // 2 :]):
+        store = history.append(store, spark.createDataFrame(part, S))
+    store = history.compact(store)
+    assert {tuple(x) for x in history.as_text(history.reconstruct(store)).collect()} == brute(rows)
+    assert {tuple(x)[:3] for x in history.state_at(store, "2022-06-01").collect()} == {tuple(x)[:3] for x in history.state_at(history.build(spark.createDataFrame(rows, S), 4), "2022-06-01").collect()}
