@@ -47,15 +47,23 @@ def endpoint_rows(versions: DataFrame, with_total: bool = False) -> DataFrame:
     )
 
 
-def heavy_keys(versions: DataFrame, share: float, tracked: int = 20_000) -> list[tuple[str, str]]:
+def heavy_keys(versions: DataFrame, share: float, tracked: int = 8_192, groups: int = 256) -> list[tuple[str, str]]:
     """(field_name, entity_id) that may hold ``share`` of the rows or more: at most ``1 / share`` per field, whatever the data.
 
     The sketch keeps ``tracked`` counters per field, which finds every key above
-    a few times ``1 / tracked`` of the rows; equal rows count as often as they come.
+    a few times ``1 / tracked`` of the rows; equal rows count as often as they
+    come.  Sketches of tasks are combined in ``groups`` first, so that the last
+    step has few of them however many tasks there are.
     """
     top = min(round(1 / share), tracked)
-    row = versions.agg(F.count(F.lit(1)).alias("n"), *(F.call_function("approx_top_k", F.col(f), F.lit(top), F.lit(tracked)).alias(f) for f in FIELDS)).first()
-    return [(f, r["item"]) for f in FIELDS for r in row[f] or [] if r["item"] is not None and r["count"] >= row["n"] * share]
+    call = F.call_function
+    per_group = versions.groupBy(F.pmod(F.spark_partition_id(), F.lit(groups)).alias("group")).agg(
+        F.count(F.lit(1)).alias("n"), *(call("approx_top_k_accumulate", F.col(f), F.lit(tracked)).alias(f) for f in FIELDS)
+    )
+    # Grouped by a constant: an empty table has no group, and no sketch to combine.
+    whole = per_group.withColumn("all", F.lit(True)).groupBy("all").agg(F.sum("n").alias("n"), *(call("approx_top_k_combine", F.col(f), F.lit(tracked)).alias(f) for f in FIELDS))
+    row = whole.select("n", *(call("approx_top_k_estimate", F.col(f), F.lit(top)).alias(f) for f in FIELDS)).first()
+    return [] if row is None else [(f, r["item"]) for f in FIELDS for r in row[f] or [] if r["item"] is not None and r["count"] >= row["n"] * share]
 
 
 def _salted(rows: DataFrame, heavy: list[tuple[str, str]], salts: int) -> DataFrame:
