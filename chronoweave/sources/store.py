@@ -119,24 +119,27 @@ class TemporalGraph:
         try:
             meta = json.loads(self._files.read_text("_meta.json"))
             found, self._compacted = meta.get("schema_version"), meta.get("compacted")
+            self._taken, self._has_syncs = meta.get("taken", 0), meta.get("syncs", False)
         except (ValueError, AttributeError) as exc:
             raise StorageError(f"{self.path}/_meta.json cannot be read") from exc
         if found != SCHEMA_VERSION:
             raise SchemaVersionError(f"schema version {found} found, {SCHEMA_VERSION} expected")
 
     def _mark(self, at: int) -> None:
-        self._files.write_text("_meta.json", json.dumps({"schema_version": SCHEMA_VERSION, "compacted": at}))
-        self._compacted = at
+        self._compacted, self._taken = at, self._seq
+        self._files.write_text("_meta.json", json.dumps({"schema_version": SCHEMA_VERSION, "compacted": at, "taken": self._taken, "syncs": self._has_syncs}))
+
+    _has_syncs, _taken, _seq = False, 0, 0
 
     def _last_seq(self) -> tuple[int, int]:
-        """(number of the last event, last number that is taken)."""
+        """(number of the last event, last number that is taken); of the log only what came after the compaction is read."""
+        at = self._compacted or 0
         if not self._files.exists("events"):
-            return 0, 0
-        row = self.events().agg(F.max("seq"), F.max(F.col("seq") + ingest.extra_seqs(F.col("objects"))), F.bool_or(F.col("op") == "sync")).first()
-        self._has_syncs = bool(row[2])
-        return row[0] or 0, row[1] or 0
-
-    _has_syncs = False
+            return at, max(at, self._taken)
+        later = self.events().where(F.col("seq") > at)
+        last, taken, syncs = later.agg(F.max("seq"), F.max(F.col("seq") + ingest.extra_seqs(F.col("objects"))), F.bool_or(F.col("op") == "sync")).first()
+        self._has_syncs = self._has_syncs or bool(syncs)
+        return last or at, max(taken or 0, at, self._taken)
 
     def events(self) -> DataFrame:
         """The log, without what an open batch has staged."""

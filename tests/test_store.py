@@ -236,7 +236,9 @@ def test_compaction(spark, db, tmp_path):
     # A pattern by object reads the copy clustered by object; only triples written since are folded.
     reverse = lambda: again.as_of(Pattern(None, None, "B"), "2026-01-15")
     assert "reverse-6" in reverse()._jdf.queryExecution().toString() and reverse().count() == 5
+    assert open_graph(spark, db.path)._seq == again._seq == 6
     again.assert_fact("S9", "L", "B", "2026-01-02")
+    assert again.query("MATCH (?s, ?p, B) AS OF '2026-01-15'").count() == 6
     assert reverse().count() == 6 and again.as_of(Pattern("S9"), "2026-01-15").count() == 1
     again.backup(str(tmp_path / "copy"))
     assert open_graph(spark, str(tmp_path / "copy")).versions.count() == 6
