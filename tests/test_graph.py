@@ -1,7 +1,9 @@
+import datetime as dt
 import itertools
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from chronoweave import Spine, ValidationError
@@ -151,3 +153,53 @@ def test_empty_graph(versions):
     v = versions(("A", "L", "B", "2026-01-01", None, None))
     day = "2020-01-01"
     assert graph.betweenness(v, day).count() == graph.pagerank(v, day).count() == graph.closeness(v, day).count() == 0
+
+
+def moving(versions, seed=11, n=9):
+    """Edges that come and go, some in overlapping parallel versions."""
+    r = random.Random(seed)
+    facts = []
+    for _ in range(40):
+        a, b = r.sample(range(n), 2)
+        x = r.randint(1, 20)
+        facts.append((f"n{a}", r.choice("LM"), f"n{b}", f"2026-01-{x:02d}", r.choice([None, f"2026-01-{min(28, x + r.randint(0, 9)):02d}"]), None))
+    return versions(*facts)
+
+
+@pytest.mark.parametrize("local", [500_000, 0])
+def test_a_spine_gives_what_each_date_gives(versions, local):
+    v, spine = moving(versions), Spine.of("2026-01-02", "2026-01-20", 6)
+    dates = [f"2026-01-{d:02d}" for d in (2, 8, 14, 20)]
+    near = {(str(r["date"]), r["entity"]): round(r["closeness"], 9) for r in graph.closeness(v, spine, None, 3, local).collect()}
+    between = {(str(r["date"]), r["entity"]): round(r["betweenness"], 9) for r in graph.betweenness(v, spine, 3, None, local).collect()}
+    rank = {(str(r["date"]), r["entity"]): round(r["pagerank"], 9) for r in graph.pagerank(v, spine, max_iterations=5, tolerance=0.0, local_edges=local).collect()}
+    hops = {(str(r["date"]), r["node"]): r["hops"] for r in graph.path_lengths(v, ["n1"], spine, 3, local).collect()}
+    paths = {str(r["date"]): [x["version_id"] for x in r["path"]] for r in graph.shortest_paths(v, "n1", "n7", spine, 4, local).collect()}
+    for d in dates:
+        of = lambda found: {k[1]: x for k, x in found.items() if k[0] == d}  # noqa: E731, B023
+        assert of(near) == {r["entity"]: round(r["closeness"], 9) for r in graph.closeness(v, d, None, 3).collect()}
+        assert of(between) == {r["entity"]: round(r["betweenness"], 9) for r in graph.betweenness(v, d, 3).collect()}
+        assert of(rank) == {r["entity"]: round(r["pagerank"], 9) for r in graph.pagerank(v, d, max_iterations=5, tolerance=0.0).collect()}
+        assert of(hops) == {r["node"]: r["hops"] for r in graph.path_lengths(v, ["n1"], d, 3).collect()}
+        assert paths.get(d) == next(([x["version_id"] for x in r["path"]] for r in graph.shortest_paths(v, "n1", "n7", d, 4).collect()), None)
+
+
+@pytest.mark.parametrize("local", [500_000, 0])
+def test_betweenness_of_one_equals_that_among_all(versions, local):
+    v = moving(versions, 12)
+    everyone = {r["entity"]: r["betweenness"] for r in graph.betweenness(v, "2026-01-12", 3).collect()}
+    for name in ("n0", "n3"):
+        (one,) = graph.betweenness(v, "2026-01-12", 3, [name], local).collect()
+        assert one["betweenness"] == pytest.approx(everyone[name])
+
+
+def test_what_is_dealt_does_not_grow_with_the_number_of_dates(versions):
+    v = moving(versions)
+    edges = graph.undirected_edges(v, Spine.of("2026-01-01", "2035-12-31", 1))
+    sizes = []
+    for days in (100, 3_000):
+        spine = Spine(Spine.of("2026-01-01", "2026-01-02").start, dt.date(2026, 1, 1) + dt.timedelta(days=days), 1)
+        kept = graph.undirected_edges(v, spine)
+        seen = graph._deal(kept, spine, lambda part, ticks, k, parts: pd.DataFrame({"n": [len(part)]}), "n bigint", 1)
+        sizes.append(sum(r.n for r in seen.collect()))
+    assert max(sizes) <= graph.TASKS * edges.count()
