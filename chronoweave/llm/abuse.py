@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronoweave.llm import lexicon
+from chronoweave.llm.measure import spread
 from chronoweave.sources.shipping import ship_package
 
 WORD = re.compile(r"[@$]?[^\W_]+(?:[@$!+*]+[^\W_]+)*")
@@ -548,7 +549,7 @@ def labelled(documents: DataFrame, labels: DataFrame, max_documents: int = 8_000
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(max_documents)
     )
-    return documents.select("doc_id", "text").join(F.broadcast(marks), "doc_id")
+    return spread(documents.select("doc_id", "text")).join(F.broadcast(marks), "doc_id")
 
 
 def fit(documents: DataFrame, labels: DataFrame, max_documents: int = 8_000, max_characters: int = 100_000_000) -> bytes:
@@ -604,7 +605,7 @@ def score_documents(documents: DataFrame, model: bytes) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("source"), pa.array(score, pa.float64())], names=["doc_id", "source", "score"])
 
     ship_package(documents.sparkSession)
-    return documents.select("doc_id", "source", "text").mapInArrow(run, "doc_id bigint, source string, score double")
+    return spread(documents.select("doc_id", "source", "text")).mapInArrow(run, "doc_id bigint, source string, score double")
 
 
 def abusive(scored: DataFrame, threshold: float = 0.7) -> DataFrame:

@@ -80,6 +80,21 @@ def describe(texts: list[str | None], path: str = TOKENIZER) -> tuple[np.ndarray
     return sizes, vectors @ directions, quality
 
 
+#: Below this many bytes per core Spark's file scan makes fewer splits than there are cores.
+SPLIT_BYTES = 4 << 20
+
+
+def spread(documents: DataFrame) -> DataFrame:
+    """The same rows, over all cores if the table is so small that its scan would keep most of them idle.
+
+    Work on texts is bound by the CPU; a table of a few megabytes may be moved
+    for it, a larger one is worked on where it lies.
+    """
+    cores = documents.sparkSession.sparkContext.defaultParallelism
+    size = int(documents._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return documents.repartition(cores) if size < SPLIT_BYTES * cores else documents
+
+
 def measure(documents: DataFrame, path: str = TOKENIZER) -> DataFrame:
     """(doc_id, source, tokens, x, y, z, quality) per document row."""
 
@@ -94,4 +109,4 @@ def measure(documents: DataFrame, path: str = TOKENIZER) -> DataFrame:
                 )
 
     ship_package(documents.sparkSession)
-    return documents.select("doc_id", "source", "text").mapInArrow(run, SCHEMA)
+    return spread(documents.select("doc_id", "source", "text")).mapInArrow(run, SCHEMA)
