@@ -167,11 +167,12 @@ def fold(events: DataFrame, base: DataFrame | None = None, syncs: bool = True) -
 def fold_onto(base: DataFrame, events: DataFrame, syncs: bool = True) -> DataFrame:
     """``base`` (``model.BASE``) brought up to date by later events; triples that they do not touch pass unchanged."""
     lines = events.select(*LINE).distinct()
-    touched, rest = base.join(lines, LINE, "left_semi"), base.join(lines, LINE, "left_anti")
-    goes_on = F.col("anchor") & F.col("valid_to").isNull()
-    folded = fold(events, touched.where("anchor"), syncs)
     names = BASE.names
-    return rest.select(*names).unionByName(touched.where(~goes_on).select(*names)).unionByName(folded.select(*names))
+    # What an event may go on from leaves the table and comes back out of the fold; all else passes in one scan.
+    goes_on = F.coalesce("touched", F.lit(False)) & F.col("anchor") & F.col("valid_to").isNull()
+    passing = base.join(lines.withColumn("touched", F.lit(True)), LINE, "left").where(~goes_on)
+    folded = fold(events, base.where("anchor").join(lines, LINE, "left_semi"), syncs)
+    return passing.select(*names).unionByName(folded.select(*names))
 
 
 def folded_versions(events: DataFrame, syncs: bool = True) -> DataFrame:
@@ -214,35 +215,40 @@ def inverted_retracts(events: DataFrame, base: DataFrame | None = None, syncs: b
     return doubtful.mapInPandas(run, "subject_id string, predicate string, object_id string, seq bigint, day date, valid_from date")
 
 
-def read_events(spark: SparkSession, path: str) -> DataFrame:
-    """A log of JSON lines as ``model.EVENTS``: op, s, p, o, d, c, objects, sources; numbered in the order of files and lines.
-
-    Sources are given as objects or bare urls, in a list for an assert and in a
-    list per object for a sync.  Lines that are no such event come out with
-    NULLs, for ``split_events`` to find.
-    """
-    record = EVENTS["sources"].dataType.elementType
-    fields = "op string, s string, p string, o string, d string, c double, objects map<string,double>, sources string"
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(value, number): the lines of text files, numbered from 1 in the order of files and lines."""
     lines = materialize(
         spark.read.text(path).select(
             "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id")
         ),
-        "event-lines",
+        "lines",
     )
     # The rows of a block are numbered without gaps; blocks, as many as the files have splits, are added up in order.
     blocks = lines.groupBy("file", "block").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
     before = Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = blocks.select("file", "block", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    return lines.join(offsets, ["file", "block"]).select("value", (F.col("offset") + F.col("id") - F.col("first") + 1).alias("number"))
+
+
+def read_events(spark: SparkSession, path: str) -> DataFrame:
+    """A log of JSON lines as ``model.EVENTS``: op, s, p, o, d, c, objects, sources; numbered in the order of files and lines.
+
+    Sources are given as objects or bare urls, in a list for an assert and in a
+    list per object for a sync.  Lines that are no such event come out with
+    NULLs, for ``split_events`` to find.
+    """
+    record = EVENTS["sources"].dataType.elementType
+    fields = "op string, s string, p string, o string, d string, c double, objects map<string,double>, sources string"
     given = lambda text: F.transform(
         F.from_json(text, "array<string>"), lambda x: F.when(x.startswith("{"), F.from_json(x, record)).otherwise(F.struct(x.alias("url"), *(F.lit(None).cast("string").alias(n) for n in record.names[1:])))
     )
     per_object = F.transform_values(F.from_json("e.sources", "map<string,string>"), lambda _, v: given(v))
     columns = {
-        "seq": F.col("offset") + F.col("id") - F.col("first") + 1, "op": F.col("e.op"), "subject_id": F.col("e.s"), "predicate": F.col("e.p"), "object_id": F.col("e.o"),
+        "seq": F.col("number"), "op": F.col("e.op"), "subject_id": F.col("e.s"), "predicate": F.col("e.p"), "object_id": F.col("e.o"),
         "day": F.try_to_date(F.col("e.d"), "yyyy-MM-dd"), "confidence": F.col("e.c"), "objects": F.col("e.objects"), "sources": F.when(F.col("e.op") == "assert", given(F.col("e.sources"))),
         "object_sources": F.when(F.col("e.op") == "sync", per_object), "recorded_at": F.current_timestamp(),
     }
-    parsed = lines.where("trim(value) != ''").join(offsets, ["file", "block"]).withColumn("e", F.from_json("value", fields))
+    parsed = numbered_lines(spark, path).where("trim(value) != ''").withColumn("e", F.from_json("value", fields))
     return parsed.select(*(columns[f.name].cast(f.dataType).alias(f.name) for f in EVENTS.fields))
 
 

@@ -125,6 +125,13 @@ def restore_then_write(spark: SparkSession, folder: str) -> DataFrame:
     return found.groupBy(*found.columns).agg(F.count(F.lit(1)).alias("n"))
 
 
+def dump_order(spark: SparkSession, folder: str) -> DataFrame:
+    """The start of the fact in every line of a dump."""
+    dump = scratch_path(spark, "dump")
+    store.dump_facts(graph_versions(spark, folder, KNOWN_FACTS), dump)
+    return ingest.numbered_lines(spark, dump).select(F.col("number").alias("line"), F.get_json_object("value", "$.valid_from").alias("valid_from"))
+
+
 def backup_compacted(spark: SparkSession, folder: str) -> DataFrame:
     """A pattern by object over a backup, opened again, of a compacted graph."""
     db, place = _restored(spark, folder), scratch_path(spark, "backup")
@@ -163,7 +170,7 @@ def statement_writes(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        log_versions, log_rejects, log_sources, log_assertions, log_entities, log_entity, log_stats, fold_rejects, restore_then_write, backup_compacted, replay_jsonl, statement_writes,
+        log_versions, log_rejects, log_sources, log_assertions, log_entities, log_entity, log_stats, fold_rejects, restore_then_write, dump_order, backup_compacted, replay_jsonl, statement_writes,
     )
 }
 
@@ -200,6 +207,7 @@ w AS (SELECT subject_id, predicate, object_id, valid_from, CASE WHEN k = 1 AND v
     CASE WHEN k = 1 AND valid_to IS NULL THEN DATE '{CONFIRMED}' ELSE coalesce(valid_to, valid_from) END AS last_confirmed, CASE WHEN k = 1 AND valid_to IS NULL THEN 0.5::DOUBLE ELSE confidence END AS confidence FROM o
   UNION ALL SELECT subject_id, predicate, object_id, DATE '{CONFIRMED}', DATE '{CLOSED}', DATE '{CONFIRMED}', 0.5 FROM v GROUP BY ALL HAVING count(*) FILTER (valid_to IS NULL) = 0)
 SELECT subject_id, predicate, object_id, {_D('valid_from')} AS valid_from, {_D('valid_to')} AS valid_to, {_D('last_confirmed')} AS last_confirmed, confidence, count(*)::BIGINT AS n FROM w GROUP BY ALL""",
+    "dump_order": f"WITH {_V} SELECT row_number() OVER (ORDER BY valid_from)::BIGINT AS line, {_D('valid_from')} AS valid_from FROM v",
     "backup_compacted": f"WITH {_V} SELECT subject_id, predicate, {_D('valid_from')} AS valid_from, {_D('valid_to')} AS valid_to, confidence, count(*)::BIGINT AS n FROM v WHERE object_id = '{YARD}' AND valid_from <= DATE '{DAY}' AND (valid_to IS NULL OR valid_to >= DATE '{DAY}') GROUP BY ALL",
     "replay_jsonl": f"{_SPANS} SELECT subject_id, predicate, object_id, {_D('a')} AS valid_from, {_D('b')} AS last_confirmed, n AS assertions FROM s",
     "statement_writes": "SELECT 'NATION_' || n_nationkey AS subject_id, 'REGION_' || n_regionkey AS object_id, '2020-01-01' AS valid_from, CASE WHEN n_regionkey = 0 THEN '2021-01-01' END AS valid_to, 0.5::DOUBLE AS confidence FROM nation",

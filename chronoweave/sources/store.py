@@ -71,10 +71,11 @@ class _OpenFacts:
     as they come up and the ones used longest ago are forgotten.
     """
 
-    def __init__(self, opened: DataFrame, most: int):
-        self._opened, self._most, self._n = opened.select(*TRIPLE, "version_id", "valid_from"), most, 0
+    def __init__(self, opened: DataFrame | None, most: int):
+        self._most, self._n = most, 0
         self._held: OrderedDict[tuple[str, str], dict[str, tuple[int, dt.date]]] = OrderedDict()
-        first = self._opened.limit(most + 1).collect()
+        self._opened = None if opened is None else opened.select(*TRIPLE, "version_id", "valid_from")
+        first = [] if opened is None else self._opened.limit(most + 1).collect()
         self._whole = len(first) <= most
         for s, p, o, version, day in first if self._whole else ():
             self._held.setdefault((s, p), {})[o] = (version, day)
@@ -287,7 +288,8 @@ class TemporalGraph:
 
     def _append(self, rows: list[tuple]) -> None:
         if rows:
-            self.spark.createDataFrame(rows, EVENTS).coalesce(1).write.mode("append").parquet(f"{self.path}/events")
+            # The verbs have checked the values; checking them against the schema again would take longer than writing them.
+            self.spark.createDataFrame(rows, EVENTS, verifySchema=False).coalesce(1).write.mode("append").parquet(f"{self.path}/events")
             self._last_written = max(r[0] for r in rows)
             self._has_syncs = self._has_syncs or any(r[1] == "sync" for r in rows)
             if self._open is not None and self._open.stale:
@@ -306,7 +308,8 @@ class TemporalGraph:
     def _held(self, subject: str, predicate: str) -> dict[str, tuple[int, dt.date]]:
         """Open versions of a subject and predicate by object, with what is staged."""
         if self._open is None:
-            self._open = _OpenFacts(self._folded().where("anchor and valid_to is null"), self._open_rows)
+            empty = self._compacted is None and not self._last_written
+            self._open = _OpenFacts(None if empty else self._folded().where("anchor and valid_to is null"), self._open_rows)
         return self._open.of(subject, predicate)
 
     def _next(self, more: int = 0) -> int:
