@@ -46,6 +46,8 @@ DOUBLED = re.compile(r"(.)\1+")
 INSULT, SEXUAL, HOSTILE, PERSON, DISGUISED, CAPITAL, SINGLE, SECOND = (1 << k for k in range(32, 40))
 EMPHASIS = re.compile(r"[!?]{2,}")
 HASH = (1 << 32) - 1
+#: A word of one letter carries it above the flags, so that spelled words can be read back.
+LETTER = 40
 WINDOW = 8
 PURE = 3.0
 FEATURES = (
@@ -131,10 +133,6 @@ class Words(dict):
 
     LIMIT = 1_000_000
 
-    def __init__(self) -> None:
-        super().__init__()
-        self.letters: dict[int, str] = {}
-
     def __missing__(self, word: str) -> tuple[int, ...]:
         parts = [word]
         if len(word) > 5 and word.isascii() and not (word.islower() or word.isupper() or word[1:].islower()):
@@ -142,8 +140,6 @@ class Words(dict):
             if len(word) >= 3 * len(split):
                 parts = split
         codes = tuple(self.encode(p) for p in parts)
-        if len(word) == 1:
-            self.letters[codes[0]] = word
         if len(self) < self.LIMIT:
             self[word] = codes
         return codes
@@ -160,7 +156,7 @@ class Words(dict):
         if hidden:
             code |= DISGUISED
         if len(word) == 1:
-            code |= SINGLE
+            code |= SINGLE | ord(word) << LETTER
         elif len(word) > 2 and word.isupper():
             code |= CAPITAL
         return code
@@ -175,7 +171,7 @@ def encode_texts(texts: Iterable[str | None], words: Words) -> tuple[np.ndarray,
         if not text.isascii():
             text = text.translate(INVISIBLE)
         codes = np.fromiter(chain.from_iterable(map(words.__getitem__, WORD.findall(text))), dtype=np.int64)
-        codes = _join_spelled(codes, words)
+        codes = _join_spelled(codes)
         parts.append(codes)
         total += len(codes)
         offsets.append(total)
@@ -184,7 +180,7 @@ def encode_texts(texts: Iterable[str | None], words: Words) -> tuple[np.ndarray,
     return flat, np.asarray(offsets, dtype=np.int64), np.asarray(marks, dtype=np.float64).reshape(-1, 2)
 
 
-def _join_spelled(codes: np.ndarray, words: Words) -> np.ndarray:
+def _join_spelled(codes: np.ndarray) -> np.ndarray:
     """Put words together again that were spelled out (a b c) or cut in two (ab-c)."""
     if len(codes) < 2:
         return codes
@@ -193,7 +189,7 @@ def _join_spelled(codes: np.ndarray, words: Words) -> np.ndarray:
         edge = np.flatnonzero(np.diff(np.r_[0, single.astype(np.int8), 0]))
         for a, b in zip(edge[::2], edge[1::2]):
             if b - a > 3:
-                letters = [words.letters.get(c, "") for c in codes[a:b].tolist()]
+                letters = [chr(c >> LETTER) for c in codes[a:b].tolist()]
                 # The run may hold further one-letter words at its borders.
                 for i, j in ((a, b), (a + 1, b), (a, b - 1)):
                     form = normal("".join(letters[i - a : j - a]) or "#")[0]
@@ -319,7 +315,8 @@ def dense(codes: np.ndarray, offsets: np.ndarray, marks: np.ndarray, cues: Cues)
     near = np.zeros(n, dtype=bool)
     top = np.flatnonzero((win >= best[owner] - 1e-9) & (win > 0))
     for shift in range(-WINDOW, WINDOW + 1):
-        near[np.clip(top + shift, 0, n - 1)] = True
+        beside = np.clip(top + shift, 0, n - 1)
+        near[beside[owner[beside] == owner[top]]] = True
     out[:, 1] = most(np.where(near, 0, win))
     out[:, 2] = most(np.maximum.reduce(weights))
     words = np.maximum(size, 1)

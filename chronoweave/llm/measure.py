@@ -80,8 +80,8 @@ def describe(texts: list[str | None], path: str = TOKENIZER) -> tuple[np.ndarray
     return sizes, vectors @ directions, quality
 
 
-#: Below this many bytes per core Spark's file scan makes fewer splits than there are cores.
-SPLIT_BYTES = 4 << 20
+#: Tables with fewer bytes of ids and texts per core than this are moved; the file scan makes few splits of them.
+SPLIT_BYTES = 1 << 20
 
 
 def spread(documents: DataFrame) -> DataFrame:

@@ -47,6 +47,20 @@ def test_features_of_a_document_do_not_depend_on_its_batch():
     assert whole[0, 0] > whole[1, 0]
 
 
+def test_scores_do_not_depend_on_neighbours_or_on_what_was_read_before():
+    texts, y = planted(300, 8)
+    texts += ["m 0 r 0 n you 1 2 3 4 5", "7 8 9 0 x", "you i d 1 0 t", "a 4 b 5 c 6 moron", "3 3 3 3"] * 3
+    model = abuse.train([(texts, np.r_[y, [1, 0, 1, 0, 0] * 3])])
+    want = model.score(texts)
+    for order in (np.arange(len(texts))[::-1], np.random.default_rng(2).permutation(len(texts))):
+        model._words = None
+        assert np.array_equal(model.score([texts[k] for k in order]), want[order])
+    model._words = None
+    assert np.array_equal(np.concatenate([model.score([t]) for t in texts]), want)
+    codes, *_ = abuse.encode_texts(["1 1 1 1", "you m 0 r 0 n now"], abuse.Words())
+    assert (codes & abuse.INSULT).any()
+
+
 def test_trees_and_calibration():
     r = np.random.default_rng(1)
     x = r.normal(size=(1500, 4)).astype(np.float32)
@@ -108,6 +122,7 @@ def test_held_out_accuracy_on_review_marks(spark):
 
 def test_order_and_batches_do_not_change_the_model():
     texts, y = planted(400, 5)
+    texts = [f"{t}\n{k % 10} {k % 7} {k % 3} x {k % 4}" for k, t in enumerate(texts)]
     r = np.random.default_rng(1)
     want = abuse.train([(texts, y)]).score(texts)
     for _ in range(2):
