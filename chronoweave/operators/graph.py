@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from chronoweave.errors import ValidationError
 from chronoweave.functions.times import FAR_DAY, day_literal
+from chronoweave.operators.brandes import betweenness_share
 from chronoweave.operators.temporal import Day, Spine
 from chronoweave.sources.scratch import discard, materialize, scratch_path
 from chronoweave.sources.shipping import ship_package
@@ -35,6 +36,8 @@ PAIR = ["src", "dst"]
 SPAN = ["t0", "t1"]
 #: Tasks that a local graph is dealt to.
 TASKS = 16
+#: So many edges of numbers take a task's room and time of one of names.
+CODED = 16
 
 
 def check_depth(depth: int) -> int:
@@ -419,7 +422,8 @@ def betweenness(versions: DataFrame, dates: Dates, max_depth: int = 4, entities:
     """(date, entity, betweenness) of active entities: Brandes, unweighted, undirected, cut at ``max_depth``.
 
     For given ``entities`` only the sources around them are searched: a path
-    through an entity starts less than ``max_depth`` hops from it.
+    through an entity starts less than ``max_depth`` hops from it.  For all,
+    edges are numbered first, so that ``CODED`` times as many are dealt to tasks.
     """
     check_depth(max_depth)
     spine = spine_of(dates)
@@ -428,14 +432,58 @@ def betweenness(versions: DataFrame, dates: Dates, max_depth: int = 4, entities:
         active = active.where(F.col("entity").isin(entities))
     # Self-loops make an entity active though they are no edge.
     nodes = active.distinct().select("entity", F.explode(F.sequence("t0", "t1")).alias("tick")).distinct()
-    edges, small = _stored(undirected_edges(versions, spine), "edges", local_edges)
-    if small:
+    edges, small = _stored(undirected_edges(versions, spine), "edges", local_edges if entities is not None else local_edges * CODED)
+    if small and entities is None:
+        scores = _betweenness_coded(edges, spine, max_depth)
+    elif small:
         scores = _scores(edges, spine, lambda s, d, n, roots: betweenness_kernel(s, d, n, max_depth, roots), entities, ball=max_depth - 1)
     else:
         scores = _betweenness_joins(materialize(merged(edges), "edges"), spine, entities, max_depth)
     return _dated(nodes.join(scores, ["tick", "entity"], "left").select("tick", "entity", F.coalesce("score", F.lit(0.0)).alias("betweenness")), spine)
 
 
+def _betweenness_coded(edges: DataFrame, spine: Spine, max_depth: int) -> DataFrame:
+    """(tick, entity, score) of all entities; tasks get the edges as numbers, each pair in one direction."""
+    ship_package(edges.sparkSession)
+    names = materialize(edges.select(F.col("src").alias("entity")).distinct().withColumn("code", F.monotonically_increasing_id()), "names")
+    end = lambda c: names.select(F.col("entity").alias(c), F.col("code").alias(f"{c}_code"))
+    coded = edges.where("src < dst").join(end("src"), "src").join(end("dst"), "dst").select(F.col("src_code").alias("src"), F.col("dst_code").alias("dst"), *SPAN)
+    size = spine.size
+    stretches = max(1, min(size, TASKS))
+    parts = -(-TASKS // stretches)
+    length = -(-max(1, size) // stretches)
+    stretch = F.explode(F.sequence(F.floor(F.col("t0") / length), F.floor(F.col("t1") / length))).alias("stretch")
+    dealt = coded.select("*", stretch).select("*", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+    dealt = dealt.select("src", "dst", *SPAN, (F.col("stretch") * parts + F.col("part")).cast("int").alias("task"))
+
+    def run(batches):
+        got = list(batches)
+        if not got or not sum(map(len, got)):
+            return
+        edge = pd.concat(got)
+        del got
+        task = int(edge["task"].iloc[0])
+        first = task // parts * length
+        codes, ends = np.unique(np.concatenate([edge["src"].to_numpy(), edge["dst"].to_numpy()]), return_inverse=True)
+        a, b = ends[: len(edge)], ends[len(edge) :]
+        t0, t1 = edge["t0"].to_numpy(), edge["t1"].to_numpy()
+        for tick in range(first, min(first + length, size)):
+            on = (t0 <= tick) & (t1 >= tick)
+            pair = np.unique(a[on] * len(codes) + b[on])
+            if not len(pair):
+                continue
+            nodes, at = np.unique(np.concatenate([pair // len(codes), pair % len(codes)]), return_inverse=True)
+            x, y = at[: len(pair)], at[len(pair) :]
+            score = betweenness_share(np.concatenate([x, y]), np.concatenate([y, x]), len(nodes), max_depth, task % parts, parts)
+            kept = np.flatnonzero(score)
+            yield pd.DataFrame({"tick": np.int32(tick), "code": codes[nodes[kept]], "score": score[kept]})
+
+    # One task each: hashed keys would meet in some and leave others out.
+    shares = dealt.repartitionById(stretches * parts, F.col("task")).mapInPandas(run, "tick int, code bigint, score double")
+    # The tenth digit is the order of addition.
+    return shares.groupBy("tick", "code").agg(F.round(F.sum("score"), 10).alias("score")).join(names, "code").select("tick", "entity", "score")
+
+
 def betweenness_kernel(src: np.ndarray, dst: np.ndarray, n: int, max_depth: int, sources: np.ndarray, at_once: int = 64) -> np.ndarray:
     """Brandes from some sources, ``at_once`` at a time, with frontier steps on arrays."""
     order = np.argsort(src, kind="stable")

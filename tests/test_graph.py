@@ -7,6 +7,7 @@ import pandas as pd
 import pytest
 
 from chronoweave import Spine, ValidationError
+from chronoweave.operators import brandes as hubs
 from chronoweave.operators import graph
 
 
@@ -203,3 +204,29 @@ def test_what_is_dealt_does_not_grow_with_the_number_of_dates(versions):
         seen = graph._deal(kept, spine, lambda part, ticks, k, parts: pd.DataFrame({"n": [len(part)]}), "n bigint", 1)
         sizes.append(sum(r.n for r in seen.collect()))
     assert max(sizes) <= graph.TASKS * edges.count()
+
+
+@pytest.mark.parametrize("depth", [2, 3, 4, 6])
+@pytest.mark.parametrize("parts", [1, 3])
+def test_betweenness_beside_hubs(monkeypatch, depth, parts):
+    """Hubs that share leaves, light paths as short as those through hubs, shorter ones, and parts of the graph without a hub."""
+    monkeypatch.setattr(hubs, "LEAST_DEGREE", 5)
+    r = random.Random(depth)
+    pairs = {(h, leaf) for h in range(3) for leaf in range(3, 40) if r.random() < 0.4}
+    pairs |= {tuple(sorted(r.sample(range(3, 40), 2))) for _ in range(30)} | {(0, 1), (50, 51), (51, 52), (52, 53), (50, 53)}
+    src, dst = np.array(sorted(pairs)).T
+    both = np.concatenate([src, dst]), np.concatenate([dst, src])
+    got = sum(hubs.betweenness_share(*both, 54, depth, k, parts) for k in range(parts))
+    assert got == pytest.approx(brandes(54, pairs, depth), abs=1e-9)
+
+
+def test_betweenness_of_a_hub_of_many_leaves_is_not_searched_leaf_by_leaf(monkeypatch):
+    """A search from each of 6,000 leaves would take 6,000 x 12,000 steps; the leaves are alike and go through the sums as one."""
+    leaves = 6_000
+    hub, leaf = np.zeros(leaves, dtype=np.int64), np.arange(1, leaves + 1)
+    steps = []
+    leave = hubs._leave
+    monkeypatch.setattr(hubs, "_leave", lambda *x: (steps.append(len((got := leave(*x))[0])), got)[1])
+    score = hubs.betweenness_share(np.concatenate([hub, leaf]), np.concatenate([leaf, hub]), leaves + 1, 4)
+    assert score[0] == leaves * (leaves - 1) / 2 and not score[1:].any()
+    assert sum(steps) < 10 * leaves
