@@ -230,3 +230,12 @@ def test_betweenness_of_a_hub_of_many_leaves_is_not_searched_leaf_by_leaf(monkey
     score = hubs.betweenness_share(np.concatenate([hub, leaf]), np.concatenate([leaf, hub]), leaves + 1, 4)
     assert score[0] == leaves * (leaves - 1) / 2 and not score[1:].any()
     assert sum(steps) < 10 * leaves
+
+
+def test_track_betweenness_of_more_edges_than_names_allow(versions, monkeypatch):
+    """Above ``local_edges`` all entities are still solved by numbers, not by joins over all pairs."""
+    v, spine = moving(versions, 13), Spine.of("2026-01-02", "2026-01-20", 9)
+    joined = {(r["date"], r["entity"]): round(r["betweenness"], 8) for r in graph.betweenness(v, spine, 2, None, 0).collect()}
+    monkeypatch.delattr(graph, "_betweenness_joins")
+    seen = {(r["date"], r["entity"]): round(r["betweenness"], 8) for r in graph.betweenness(v, spine, 2, None, 4).collect()}
+    assert seen == joined and any(seen.values())
