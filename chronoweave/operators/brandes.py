@@ -15,6 +15,9 @@ the rest, the *light* graph, and the pairs into three kinds:
   are nearer by way of a hub.  It also takes back what the sums above assumed
   of the pairs that it meets.
 
+At a depth of two all of this comes down to common neighbours: a pair that is
+not adjacent gives each of its c common neighbours 1/c, and nothing is searched.
+
 Nothing is estimated: the result is Brandes' up to the order of addition.
 """
 
@@ -28,6 +31,8 @@ MOST_HUBS, LEAST_DEGREE = 32, 24
 FAR = 60
 #: Cells of a block of classes, pairs looked up at once, places of a batch of sources, and steps it should take.
 ROWS, COLUMNS, PAIRS, PLACES, STEPS = 512, 2048, 65_536, 1 << 24, 1 << 19
+#: At a depth of two: hubs that fit the bits of a word, pairs of neighbours held at once, and pairs of classes that cost as much as one.
+BITS, WEDGES, WORTH = 62, 1 << 21, 16
 
 
 def betweenness_share(src: np.ndarray, dst: np.ndarray, n: int, max_depth: int, part: int = 0, parts: int = 1) -> np.ndarray:
@@ -35,6 +40,8 @@ def betweenness_share(src: np.ndarray, dst: np.ndarray, n: int, max_depth: int,
     total = np.zeros(n)
     if not len(src) or max_depth < 2:
         return total
+    if max_depth == 2:
+        return _Neighbours(src, dst, n).share(part, parts)
     order = np.argsort(src, kind="stable")
     src, dst = src[order], dst[order]
     label = _components(src, dst, n)
@@ -95,6 +102,106 @@ def _classes(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return first, which.ravel(), count
 
 
+class _Neighbours:
+    """Betweenness cut at two hops.
+
+    Pairs with a common neighbour that is no hub are listed.  Nodes with the
+    same hubs beside them are one class, and the pairs of two classes are
+    counted at once as if they were neither adjacent nor listed; adjacent and
+    listed pairs then take back what is not theirs.
+    """
+
+    def __init__(self, src: np.ndarray, dst: np.ndarray, n: int):
+        self.n, self.key = n, np.sort(src.astype(np.int64) * n + dst)
+        self.src, self.dst = self.key // n, self.key % n
+        self.borders = _borders(self.src, n)
+        #: Place of each edge's other direction.
+        self.back = np.argsort(self.dst, kind="stable")
+        degree = np.diff(self.borders)
+        some = np.flatnonzero(degree >= LEAST_DEGREE)
+        some = some[np.lexsort((some, -degree[some]))][:BITS]
+        self.mask = np.zeros(n, dtype=np.int64)
+        for k, h in enumerate(some):
+            self.mask[self.dst[self.borders[h] : self.borders[h + 1]]] |= 1 << k
+        count = self._worth(degree, some)
+        self.hubs, self.hub = some[:count], np.zeros(n, dtype=bool)
+        self.hub[self.hubs] = True
+        self.mask &= (1 << count) - 1
+
+    def _worth(self, degree: np.ndarray, some: np.ndarray) -> int:
+        """How many of the nodes are best taken as hubs: pairs to list against pairs of classes."""
+        listed, best = (degree.astype(float) ** 2).sum(), (np.inf, 0)
+        saved = np.concatenate([[0.0], np.cumsum(degree[some].astype(float) ** 2)])
+        kinds = np.unique(self.mask)
+        for count in range(len(some), -1, -1):
+            kinds = np.unique(kinds & ((1 << count) - 1))
+            best = min(best, (WORTH * (listed - saved[count]) + float(len(kinds)) ** 2, count))
+        return best[1]
+
+    def _bits(self, mask: np.ndarray) -> np.ndarray:
+        return ((mask[:, None] >> np.arange(len(self.hubs))) & 1).astype(float)
+
+    def share(self, part: int, parts: int) -> np.ndarray:
+        total = np.zeros(self.n)
+        given = self._list(total, part, parts)
+        if len(self.hubs):
+            total[self.hubs] += self._classes(part, parts) + given
+        return total
+
+    def _given(self, common: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """By hub: sum of the weights of pairs that have it in common."""
+        kinds, which = np.unique(common, return_inverse=True)
+        return np.bincount(which, weights=weight, minlength=len(kinds)) @ self._bits(kinds)
+
+    def _classes(self, part: int, parts: int) -> np.ndarray:
+        """By hub: what pairs give it if hubs are all that they have in common."""
+        kinds, count = np.unique(self.mask[self.mask > 0], return_counts=True)
+        bits, count, found = self._bits(kinds), count.astype(float), np.zeros(len(self.hubs))
+        own = np.arange(part, len(kinds), parts)
+        for i in range(0, len(own), ROWS):
+            rows = own[i : i + ROWS]
+            flow = np.zeros((len(rows), len(self.hubs)))
+            for j in range(0, len(kinds), COLUMNS):
+                s = slice(j, j + COLUMNS)
+                shared = np.bitwise_count(kinds[rows][:, None] & kinds[s]).astype(float)
+                flow += np.divide(count[s], shared, out=np.zeros_like(shared), where=shared > 0) @ bits[s]
+            # No node makes a pair with itself.
+            flow -= 1 / bits[rows].sum(1)[:, None]
+            found += (bits[rows] * flow * count[rows][:, None]).sum(0)
+        return found / 2
+
+    def _list(self, total: np.ndarray, part: int, parts: int) -> np.ndarray:
+        """Adds what common neighbours get that are no hubs; by hub, what its pairs give more or less than as classes."""
+        own = self.src % parts == part
+        near = np.flatnonzero(own & (self.src < self.dst) & ((self.mask[self.src] & self.mask[self.dst]) > 0))
+        common = self.mask[self.src[near]] & self.mask[self.dst[near]]
+        given = self._given(common, -1 / np.bitwise_count(common))
+        # From an end to a neighbour, and on to its neighbours of higher numbers.
+        edges = np.flatnonzero(own & ~self.hub[self.dst])
+        start, middle, first = self.src[edges], self.dst[edges], self.back[edges] + 1
+        count = self.borders[middle + 1] - first
+        upto = np.cumsum(count)
+        i = 0
+        while i < len(edges):
+            j = int(np.searchsorted(upto, (upto[i - 1] if i else 0) + WEDGES, "right"))
+            # The edges of an end stay together.
+            j = int(np.searchsorted(start, start[min(max(i, j - 1), len(edges) - 1)], "right"))
+            whose = np.repeat(np.arange(i, j), count[i:j])
+            far = self.dst[np.arange(len(whose)) + np.repeat(first[i:j] - (upto[i:j] - count[i:j]) + (upto[i - 1] if i else 0), count[i:j])]
+            pair, which, ways = np.unique(start[whose] * self.n + far, return_inverse=True, return_counts=True)
+            if len(pair):
+                place = np.minimum(np.searchsorted(self.key, pair), len(self.key) - 1)
+                apart = self.key[place] != pair
+                common = self.mask[pair // self.n] & self.mask[pair % self.n]
+                hubs = np.bitwise_count(common)
+                weight = np.where(apart, 1 / (ways + hubs), 0.0)
+                total += np.bincount(middle[whose], weights=weight[which], minlength=self.n)
+                on = np.flatnonzero(apart & (hubs > 0))
+                given += self._given(common[on], weight[on] - 1 / hubs[on])
+            i = j
+        return given
+
+
 class _Component:
     def __init__(self, src: np.ndarray, dst: np.ndarray, hub: np.ndarray, depth: int):
         self.n, self.depth, self.hub, self.dst = len(hub), depth, hub, dst

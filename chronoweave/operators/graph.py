@@ -16,11 +16,13 @@ written once per date.  Two ways are built in and chosen by counted size:
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,6 +40,8 @@ SPAN = ["t0", "t1"]
 TASKS = 16
 #: So many edges of numbers take a task's room and time of one of names.
 CODED = 16
+#: Tasks for betweenness cut at two hops, most of which is getting the edges.
+TASKS_OF_TWO = 6
 
 
 def check_depth(depth: int) -> int:
@@ -423,65 +427,88 @@ def betweenness(versions: DataFrame, dates: Dates, max_depth: int = 4, entities:
 
     For given ``entities`` only the sources around them are searched: a path
     through an entity starts less than ``max_depth`` hops from it.  For all,
-    edges are numbered first, so that ``CODED`` times as many are dealt to tasks.
+    tasks number the ends, so that ``CODED`` times as many edges are dealt to them.
     """
     check_depth(max_depth)
     spine = spine_of(dates)
-    active = spans(versions, spine).select(F.explode(F.array("subject_id", "object_id")).alias("entity"), *SPAN)
+    if entities is None:
+        links, small = _stored(_links(versions, spine), "links", local_edges * CODED // 2)
+        if small:
+            return _dated(_betweenness_coded(links, spine, max_depth), spine)
+        versions_of = links.select(F.col("src").alias("subject_id"), F.col("dst").alias("object_id"), *SPAN)
+        edges = both_ways(versions_of.where("subject_id <> object_id"), *SPAN)
+    else:
+        versions_of = spans(versions, spine)
+        edges, small = _stored(undirected_edges(versions, spine), "edges", local_edges)
+    active = versions_of.select(F.explode(F.array("subject_id", "object_id")).alias("entity"), *SPAN)
     if entities is not None:
         active = active.where(F.col("entity").isin(entities))
     # Self-loops make an entity active though they are no edge.
     nodes = active.distinct().select("entity", F.explode(F.sequence("t0", "t1")).alias("tick")).distinct()
-    edges, small = _stored(undirected_edges(versions, spine), "edges", local_edges if entities is not None else local_edges * CODED)
-    if small and entities is None:
-        scores = _betweenness_coded(edges, spine, max_depth)
-    elif small:
+    if small:
         scores = _scores(edges, spine, lambda s, d, n, roots: betweenness_kernel(s, d, n, max_depth, roots), entities, ball=max_depth - 1)
     else:
         scores = _betweenness_joins(materialize(merged(edges), "edges"), spine, entities, max_depth)
     return _dated(nodes.join(scores, ["tick", "entity"], "left").select("tick", "entity", F.coalesce("score", F.lit(0.0)).alias("betweenness")), spine)
 
 
-def _betweenness_coded(edges: DataFrame, spine: Spine, max_depth: int) -> DataFrame:
-    """(tick, entity, score) of all entities; tasks get the edges as numbers, each pair in one direction."""
-    ship_package(edges.sparkSession)
-    names = materialize(edges.select(F.col("src").alias("entity")).distinct().withColumn("code", F.monotonically_increasing_id()), "names")
-    end = lambda c: names.select(F.col("entity").alias(c), F.col("code").alias(f"{c}_code"))
-    coded = edges.where("src < dst").join(end("src"), "src").join(end("dst"), "dst").select(F.col("src_code").alias("src"), F.col("dst_code").alias("dst"), *SPAN)
+def _links(versions: DataFrame, spine: Spine) -> DataFrame:
+    """(src, dst, t0, t1): edges in one direction, equal ones once; what is active without one comes beside itself."""
+    a, b = F.col("subject_id"), F.col("object_id")
+    pair = lambda x, y: F.struct(x.alias("src"), y.alias("dst"))
+    links = F.when(a < b, F.array(pair(a, b))).when(a > b, F.array(pair(b, a))).otherwise(F.array(pair(a, a), pair(b, b)))
+    return spans(versions, spine).select(F.explode(links).alias("e"), *SPAN).select("e.*", *SPAN).distinct()
+
+
+def _betweenness_coded(links: DataFrame, spine: Spine, max_depth: int) -> DataFrame:
+    """(tick, entity, betweenness) of all entities; tasks number the ends as they come."""
+    ship_package(links.sparkSession)
     size = spine.size
     stretches = max(1, min(size, TASKS))
-    parts = -(-TASKS // stretches)
+    parts = -(-(TASKS if max_depth > 2 else TASKS_OF_TWO) // stretches)
     length = -(-max(1, size) // stretches)
     stretch = F.explode(F.sequence(F.floor(F.col("t0") / length), F.floor(F.col("t1") / length))).alias("stretch")
-    dealt = coded.select("*", stretch).select("*", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
-    dealt = dealt.select("src", "dst", *SPAN, (F.col("stretch") * parts + F.col("part")).cast("int").alias("task"))
+    dealt = links.select("*", stretch).select("*", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+    dealt = dealt.select(*PAIR, *SPAN, (F.col("stretch") * parts + F.col("part")).cast("int").alias("task"))
 
     def run(batches):
-        got = list(batches)
-        if not got or not sum(map(len, got)):
-            return
-        edge = pd.concat(got)
-        del got
-        task = int(edge["task"].iloc[0])
-        first = task // parts * length
-        codes, ends = np.unique(np.concatenate([edge["src"].to_numpy(), edge["dst"].to_numpy()]), return_inverse=True)
-        a, b = ends[: len(edge)], ends[len(edge) :]
-        t0, t1 = edge["t0"].to_numpy(), edge["t1"].to_numpy()
-        for tick in range(first, min(first + length, size)):
-            on = (t0 <= tick) & (t1 >= tick)
-            pair = np.unique(a[on] * len(codes) + b[on])
-            if not len(pair):
-                continue
-            nodes, at = np.unique(np.concatenate([pair // len(codes), pair % len(codes)]), return_inverse=True)
-            x, y = at[: len(pair)], at[len(pair) :]
-            score = betweenness_share(np.concatenate([x, y]), np.concatenate([y, x]), len(nodes), max_depth, task % parts, parts)
-            kept = np.flatnonzero(score)
-            yield pd.DataFrame({"tick": np.int32(tick), "code": codes[nodes[kept]], "score": score[kept]})
+        got = [batch for batch in batches if len(batch)]
+        if got:
+            edge = pa.Table.from_batches(got)
+            del got
+            task = edge["task"][0].as_py()
+            first = task // parts * length
+            for found in _shares_of(edge, range(first, min(first + length, size)), max_depth, task % parts, parts):
+                yield from found.to_batches(65_536)
 
     # One task each: hashed keys would meet in some and leave others out.
-    shares = dealt.repartitionById(stretches * parts, F.col("task")).mapInPandas(run, "tick int, code bigint, score double")
+    shares = dealt.repartitionById(stretches * parts, F.col("task")).mapInArrow(run, "tick int, entity string, score double")
     # The tenth digit is the order of addition.
-    return shares.groupBy("tick", "code").agg(F.round(F.sum("score"), 10).alias("score")).join(names, "code").select("tick", "entity", "score")
+    return shares.groupBy("tick", "entity").agg(F.round(F.sum("score"), 10).alias("betweenness"))
+
+
+def _shares_of(edge: pa.Table, ticks: range, max_depth: int, part: int, parts: int) -> Iterator[pa.Table]:
+    """(tick, entity, score) that a part of the sources gives; the first part names all that are active."""
+    count, t0, t1 = len(edge), edge["t0"].to_numpy(), edge["t1"].to_numpy()
+    ends = pa.chunked_array([*edge["src"].chunks, *edge["dst"].chunks]).dictionary_encode(null_encoding="encode").combine_chunks()
+    # Rows come in any order; sources are dealt to parts by their numbers, which must be the same in every task.
+    order = pc.sort_indices(ends.dictionary).to_numpy().astype(np.int64)
+    names, rank = ends.dictionary.take(pa.array(order)), np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    codes = rank[ends.indices.to_numpy()]
+    schema = pa.schema([("tick", pa.int32()), ("entity", names.type), ("score", pa.float64())])
+    for tick in ticks:
+        on = (t0 <= tick) & (t1 >= tick)
+        a, b = codes[:count][on], codes[count:][on]
+        there = np.zeros(len(names), dtype=bool)
+        there[a] = there[b] = True
+        nodes, number = np.flatnonzero(there), np.cumsum(there) - 1
+        # Intervals of a pair may overlap; it counts once.
+        pair = np.unique(number[a[a != b]] * len(nodes) + number[b[a != b]])
+        x, y = pair // max(1, len(nodes)), pair % max(1, len(nodes))
+        score = betweenness_share(np.concatenate([x, y]), np.concatenate([y, x]), len(nodes), max_depth, part, parts)
+        kept = np.flatnonzero(score) if part else np.arange(len(nodes))
+        yield pa.table({"tick": np.full(len(kept), tick, np.int32), "entity": names.take(pa.array(nodes[kept])), "score": score[kept]}, schema=schema)
 
 
 def betweenness_kernel(src: np.ndarray, dst: np.ndarray, n: int, max_depth: int, sources: np.ndarray, at_once: int = 64) -> np.ndarray:

@@ -26,6 +26,8 @@ QUARTERS = Spine.of("2019-01-01", "2025-12-31", 90)
 FLAGSHIP = "MATCH (?s, BUYS_FROM, SUPP_1) AS OF '1998-06-01'"
 #: What a query reads of a version; a distinct does not prune by itself.
 SPANS = ("version_id", "relationship_id", "subject_id", "object_id", "valid_from", "valid_to")
+#: What a set of links reads of it; copies of a version add nothing to that.
+LINKS = ("subject_id", "object_id", "valid_from", "valid_to")
 WEIGHTED = (*SPANS, "confidence")
 FACTS = (*WEIGHTED, "predicate")
 KNOWN_FACTS = (*FACTS, "system_from", "system_to")
@@ -176,11 +178,11 @@ def track_pagerank(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def betweenness_all(spark: SparkSession, folder: str) -> DataFrame:
-    return graph.betweenness(graph_versions(spark, folder, SPANS), DAY).select("entity", F.round("betweenness", 4).alias("betweenness"))
+    return graph.betweenness(table(spark, folder, "versions").select(*LINKS), DAY).select("entity", F.round("betweenness", 4).alias("betweenness"))
 
 
 def track_betweenness(spark: SparkSession, folder: str) -> DataFrame:
-    found = graph.betweenness(graph_versions(spark, folder, SPANS), HALVES, 2)
+    found = graph.betweenness(table(spark, folder, "versions").select(*LINKS), HALVES, 2)
     return _text_days(found.select("date", "entity", F.round("betweenness", 4).alias("betweenness")))
 
 

@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 
 from chronoweave import Spine, ValidationError
@@ -239,3 +240,60 @@ def test_track_betweenness_of_more_edges_than_names_allow(versions, monkeypatch)
     monkeypatch.delattr(graph, "_betweenness_joins")
     seen = {(r["date"], r["entity"]): round(r["betweenness"], 8) for r in graph.betweenness(v, spine, 2, None, 4).collect()}
     assert seen == joined and any(seen.values())
+
+
+@pytest.mark.parametrize("parts", [1, 3])
+@pytest.mark.parametrize("least", [2, 5, 99])
+def test_betweenness_cut_at_two_hops_searches_nothing(monkeypatch, parts, least):
+    """Any number of hubs, and lists of pairs cut anywhere."""
+    monkeypatch.delattr(hubs, "_Component")
+    monkeypatch.setattr(hubs, "LEAST_DEGREE", least)
+    monkeypatch.setattr(hubs, "WEDGES", 7)
+    r = random.Random(least)
+    pairs = {(h, leaf) for h in range(4) for leaf in range(4, 60) if r.random() < 0.5}
+    pairs |= {tuple(sorted(r.sample(range(4, 60), 2))) for _ in range(60)} | {(0, 1), (1, 2), (61, 62), (62, 63)}
+    src, dst = np.array(sorted(pairs)).T
+    got = sum(hubs.betweenness_share(np.concatenate([src, dst]), np.concatenate([dst, src]), 64, 2, k, parts) for k in range(parts))
+    assert got == pytest.approx(brandes(64, pairs, 2), abs=1e-9)
+
+
+def test_pairs_of_alike_leaves_are_not_listed(monkeypatch):
+    """8,000 leaves of two hubs have 32 million pairs; they go through the sums as a few classes."""
+    leaf = np.arange(2, 8_002)
+    src, dst = np.concatenate([np.zeros(7_000, int), np.ones(7_000, int)]), np.concatenate([leaf[:7_000], leaf[1_000:]])
+    listed = []
+    unique = np.unique
+    monkeypatch.setattr(hubs.np, "unique", lambda x, **k: (listed.append(len(x)), unique(x, **k))[1])
+    score = hubs.betweenness_share(np.concatenate([src, dst]), np.concatenate([dst, src]), 8_002, 2)
+    # Pairs of leaves that have both hubs are shared.
+    alone, shared = 7_000 * 6_999 / 2 - 6_000 * 5_999 / 2, 6_000 * 5_999 / 2
+    assert score[:2] == pytest.approx([alone + shared / 2] * 2)
+    # The hubs themselves are a pair with 6,000 neighbours in common.
+    assert score[2:] == pytest.approx(np.where((leaf >= 1_002) & (leaf < 7_002), 1 / 6_000, 0))
+    assert sum(listed) < 100_000
+
+
+@pytest.mark.parametrize("depth", [2, 4])
+def test_parts_of_betweenness_agree_whatever_the_order_of_rows(depth):
+    r = random.Random(depth)
+    pairs = {tuple(sorted(r.sample(range(30), 2))) for _ in range(60)}
+    rows = [{"src": f"n{a:02d}", "dst": f"n{b:02d}", "t0": 0, "t1": 0} for a, b in pairs] + [{"src": x, "dst": x, "t0": 0, "t1": 0} for x in (None, "alone")]
+    score: dict = {}
+    for part in range(3):
+        r.shuffle(rows)
+        for found in graph._shares_of(pa.Table.from_pylist(rows), range(1), depth, part, 3):
+            for x in found.to_pylist():
+                score[x["entity"]] = score.get(x["entity"], 0.0) + x["score"]
+    want = brandes(30, pairs, depth)
+    assert set(score) == {f"n{k:02d}" for k in itertools.chain(*pairs)} | {None, "alone"}
+    assert score.pop(None) == score.pop("alone") == 0
+    for name, x in score.items():
+        assert x == pytest.approx(want[int(name[1:])], abs=1e-9)
+
+
+@pytest.mark.parametrize("local", [500_000, 0])
+def test_betweenness_of_what_has_no_edge(versions, local):
+    """Ends of self-loops and of versions without one end are active."""
+    v = versions(*((a, "L", b, "2026-01-01", None, None) for a, b in (("a", "b"), ("b", "c"), ("d", "d"), (None, "e"), ("b", "a"))))
+    got = {r["entity"]: r["betweenness"] for r in graph.betweenness(v, "2026-01-02", 2, None, local).collect()}
+    assert got == {"a": 0, "b": 1, "c": 0, "d": 0, "e": 0, None: 0}
