@@ -112,7 +112,11 @@ class _Neighbours:
     """
 
     def __init__(self, src: np.ndarray, dst: np.ndarray, n: int):
-        self.n, self.key = n, np.sort(src.astype(np.int64) * n + dst)
+        # Numbered by degree, so that a pair is listed from its lesser end and no end has a large list.
+        self.order = np.argsort(np.bincount(src, minlength=n), kind="stable")
+        rank = np.empty(n, dtype=np.int64)
+        rank[self.order] = np.arange(n)
+        self.n, self.key = n, np.sort(rank[src] * n + rank[dst])
         self.src, self.dst = self.key // n, self.key % n
         self.borders = _borders(self.src, n)
         #: Place of each edge's other direction.
@@ -146,7 +150,9 @@ class _Neighbours:
         given = self._list(total, part, parts)
         if len(self.hubs):
             total[self.hubs] += self._classes(part, parts) + given
-        return total
+        found = np.empty(self.n)
+        found[self.order] = total
+        return found
 
     def _given(self, common: np.ndarray, weight: np.ndarray) -> np.ndarray:
         """By hub: sum of the weights of pairs that have it in common."""

@@ -273,6 +273,20 @@ def test_pairs_of_alike_leaves_are_not_listed(monkeypatch):
     assert sum(listed) < 100_000
 
 
+def test_pairs_are_listed_from_the_lesser_end(monkeypatch):
+    """A node beside 2,000 that have 10 neighbours each would list 20,000 pairs at once, its neighbours' leaves list 9 at most."""
+    middle = np.arange(1, 2_001)
+    src = np.concatenate([np.zeros(2_000, int), np.repeat(middle, 10)])
+    dst = np.concatenate([middle, np.arange(2_001, 22_001)])
+    monkeypatch.setattr(hubs, "WEDGES", 1_000)
+    held = []
+    unique = np.unique
+    monkeypatch.setattr(hubs.np, "unique", lambda x, **k: (held.append(len(x) if "return_inverse" in k and "return_counts" in k else 0), unique(x, **k))[1])
+    score = hubs.betweenness_share(np.concatenate([src, dst]), np.concatenate([dst, src]), 22_001, 2)
+    assert score[0] == 2_000 * 1_999 / 2 and (score[1:2_001] == 55).all() and not score[2_001:].any()
+    assert max(held) <= 1_100
+
+
 @pytest.mark.parametrize("depth", [2, 4])
 def test_parts_of_betweenness_agree_whatever_the_order_of_rows(depth):
     r = random.Random(depth)
