@@ -38,7 +38,7 @@ PAIR = ["src", "dst"]
 SPAN = ["t0", "t1"]
 #: Tasks that a local graph is dealt to.
 TASKS = 16
-#: So many edges of numbers take a task's room and time of one of names.
+#: Edges that betweenness of all is dealt, times ``local_edges``: its tasks keep names once and edges as numbers.
 CODED = 16
 #: Tasks for betweenness cut at two hops, most of which is getting the edges.
 TASKS_OF_TWO = 6
